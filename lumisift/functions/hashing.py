@@ -44,23 +44,27 @@ def fold_bits(bits: list[Column]) -> Column:
     )
 
 
-def grid_halves(grid: Column, kind: str = "average") -> tuple[Column, Column]:
-    """64 perceptual-hash bits of a grey grid, as two 32-bit halves (hi, lo).
+def grid_mean(grid: Column) -> Column:
+    """Mean of 64 grey cells, added up in order."""
+    return F.aggregate(grid, F.lit(0.0), lambda total, x: total + x) / F.lit(64.0)
 
-    `average` compares each of 64 cells with their mean; `difference` compares each
-    cell of an 8-row, 9-column grid with its right neighbour. Top left is the most
-    significant bit. A null grid gives null halves.
+
+def grid_halves(grid: Column, mean: Column, kind: str = "average") -> tuple[Column, Column]:
+    """64 perceptual-hash bits of a grey grid of doubles, as two 32-bit halves (hi, lo).
+
+    `average` compares each of 64 cells with `mean`; `difference` compares each cell
+    of an 8-row, 9-column grid with its right neighbour. Top left is the most
+    significant bit. A null grid, or one of another size, gives null halves.
     """
-    cell = [F.get(grid, F.lit(i)).cast("double") for i in range(72 if kind == "difference" else 64)]
+    cell = [F.get(grid, F.lit(i)) for i in range(72 if kind == "difference" else 64)]
     if kind == "average":
-        mean = reduce(lambda x, y: x + y, cell) / F.lit(64.0)
         bits = [c > mean for c in cell]
     elif kind == "difference":
         bits = [cell[r * 9 + c + 1] > cell[r * 9 + c] for r in range(8) for c in range(8)]
     else:
         raise ValueError(f"unknown fingerprint kind {kind!r}")
     known = grid.isNotNull() & (F.size(grid) == len(cell))
-    return (F.when(known, fold_bits(bits[:32])), F.when(known, fold_bits(bits[32:])))
+    return F.when(known, fold_bits(bits[:32])), F.when(known, fold_bits(bits[32:]))
 
 
 def join_halves(hi: Column, lo: Column) -> Column:

@@ -19,9 +19,12 @@ _STRIDE = 30
 def grid_fingerprint(df: DataFrame, grid: str = "grid", kind: str = "average") -> DataFrame:
     """Add `hi`, `lo` (32 bits each) and their 64-bit `hash` from a grey grid."""
     require(df, grid)
-    hi, lo = hs.grid_halves(F.col(grid), kind)
-    return (df.withColumn("hi", hi).withColumn("lo", lo)
-            .withColumn("hash", hs.join_halves(F.col("hi"), F.col("lo"))))
+    hi, lo = hs.grid_halves(F.col("_cells"), F.col("_mean"), kind)
+    # Cells and mean are columns of their own, computed once and not once per bit.
+    return (df.withColumn("_cells", F.col(grid).cast("array<double>"))
+            .withColumn("_mean", hs.grid_mean(F.col("_cells")))
+            .withColumns({"hi": hi, "lo": lo})
+            .withColumn("hash", hs.join_halves(F.col("hi"), F.col("lo"))).drop("_cells", "_mean"))
 
 
 def image_fingerprint(df: DataFrame, kind: str = "average", image: str = "image") -> DataFrame:
