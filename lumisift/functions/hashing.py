@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ def token_hash(token: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased whitespace words of a text."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def bit_run(value: Column, start: int, width: int) -> Column:
@@ -34,37 +32,32 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def fold_bits(bits: list[Column]) -> Column:
-    """Booleans, most significant first -> bigint."""
-    top = len(bits) - 1
-    return reduce(
-        lambda x, y: x.bitwiseOR(y),
-        [F.when(b, F.lit(1 << (top - i)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-         for i, b in enumerate(bits)],
-    )
-
-
 def grid_mean(grid: Column) -> Column:
     """Mean of 64 grey cells, added up in order."""
     return F.aggregate(grid, F.lit(0.0), lambda total, x: total + x) / F.lit(64.0)
 
 
-def grid_halves(grid: Column, mean: Column, kind: str = "average") -> tuple[Column, Column]:
+def grid_halves(grid: str, mean: str, kind: str = "average") -> tuple[Column, Column]:
     """64 perceptual-hash bits of a grey grid of doubles, as two 32-bit halves (hi, lo).
 
-    `average` compares each of 64 cells with `mean`; `difference` compares each cell
-    of an 8-row, 9-column grid with its right neighbour. Top left is the most
-    significant bit. A null grid, or one of another size, gives null halves.
+    Takes column names. `average` compares each of 64 cells with their `mean`;
+    `difference` compares each cell of an 8-row, 9-column grid with its right
+    neighbour. Top left is the most significant bit. A null grid, or one of another
+    size, gives null halves.
     """
-    cell = [F.get(grid, F.lit(i)) for i in range(72 if kind == "difference" else 64)]
     if kind == "average":
-        bits = [c > mean for c in cell]
+        cells, tests = 64, [f"{grid}[{i}] > {mean}" for i in range(64)]
     elif kind == "difference":
-        bits = [cell[r * 9 + c + 1] > cell[r * 9 + c] for r in range(8) for c in range(8)]
+        cells, tests = 72, [f"{grid}[{r * 9 + c + 1}] > {grid}[{r * 9 + c}]" for r in range(8) for c in range(8)]
     else:
         raise ValueError(f"unknown fingerprint kind {kind!r}")
-    known = grid.isNotNull() & (F.size(grid) == len(cell))
-    return F.when(known, fold_bits(bits[:32])), F.when(known, fold_bits(bits[32:]))
+
+    def half(part: list[str]) -> Column:
+        # SQL text, not Column calls: one call to the JVM for all the bits.
+        bits = " | ".join(f"if({test}, {1 << (31 - i)}L, 0L)" for i, test in enumerate(part))
+        return F.expr(f"CASE WHEN size({grid}) = {cells} THEN {bits} END")
+
+    return half(tests[:32]), half(tests[32:])
 
 
 def join_halves(hi: Column, lo: Column) -> Column:

@@ -64,7 +64,7 @@ def edit_tag_array(tags: Column, remove: Sequence[str] = (), replace: Mapping[st
         out = F.concat(out, F.array_except(_literals(add), out))
     if dedupe:
         out = F.array_distinct(out)
-    return F.array_sort(out) if sort else out
+    return F.sort_array(out) if sort else out
 
 
 def stem(path: Column) -> Column:

@@ -8,14 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def squared_norm(vec: Column) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-
-
 def unit(vec: Column) -> Column:
     """L2-normalised copy as doubles; null for a null, empty or all-zero vector."""
-    norm = F.sqrt(squared_norm(vec))
-    return F.when(norm > 0, F.transform(vec, lambda x: x.cast("double") / norm))
+    # The last function of `aggregate` sees the finished sum, so it is added up once.
+    return F.aggregate(
+        vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"),
+        lambda s: F.when(s > 0, F.transform(vec, lambda x: x.cast("double") / F.sqrt(s))))
 
 
 def matrix(series: pd.Series) -> np.ndarray:

@@ -131,7 +131,7 @@ def mean_centroids(df: DataFrame, by: str, features: str = "features", places: i
     require(df, by, features)
     summed = (df.select(F.col(by).cast("int").alias("cluster"), F.posexplode(features).alias("_i", "_x"))
               .groupBy("cluster", "_i").agg(F.round(F.avg(F.col("_x").cast("double")), places).alias("_m")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"])
     return summed.groupBy("cluster").agg(ordered.alias("centroid"))
 
 
@@ -173,7 +173,7 @@ def cluster_summary(df: DataFrame, top: int = 5, tag_rows: DataFrame | None = No
     near = (members.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "id")))
             .filter(F.col("_r") <= top))
     out = sizes.join(near.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda s: s["id"]).alias("nearest")), "cluster")
+        F.transform(F.sort_array(F.collect_list(F.struct("_r", "id"))), lambda s: s["id"]).alias("nearest")), "cluster")
     if tag_rows is None:
         return out
     require(tag_rows, "id", "tag")
@@ -182,5 +182,5 @@ def cluster_summary(df: DataFrame, top: int = 5, tag_rows: DataFrame | None = No
     common = (counted.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("_n"), "tag")))
               .filter(F.col("_r") <= top))
     tags = common.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "tag"))), lambda s: s["tag"]).alias("top_tags"))
+        F.transform(F.sort_array(F.collect_list(F.struct("_r", "tag"))), lambda s: s["tag"]).alias("top_tags"))
     return out.join(tags, "cluster", "left")

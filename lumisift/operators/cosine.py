@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -83,7 +83,7 @@ def _grid_pairs(distinct: DataFrame, threshold: float, block_rows: int) -> DataF
             .select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), (here <= there).alias("is_a"),
                     "id", "u"))
 
-    def meet(key, group: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
         left = group if same else group[group["is_a"]]
         right = group if same else group[~group["is_a"]]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ _STRIDE = 30
 def grid_fingerprint(df: DataFrame, grid: str = "grid", kind: str = "average") -> DataFrame:
     """Add `hi`, `lo` (32 bits each) and their 64-bit `hash` from a grey grid."""
     require(df, grid)
-    hi, lo = hs.grid_halves(F.col("_cells"), F.col("_mean"), kind)
+    hi, lo = hs.grid_halves("_cells", "_mean", kind)
     # Cells and mean are columns of their own, computed once and not once per bit.
     return (df.withColumn("_cells", F.col(grid).cast("array<double>"))
             .withColumn("_mean", hs.grid_mean(F.col("_cells")))
@@ -43,20 +41,12 @@ def simhash(df: DataFrame, tokens: Column, id_col: str = "id") -> DataFrame:
     of 31 numbers per id is all that is shuffled. An id without tokens has no hash.
     """
     require(df, id_col)
-    pair_mask = (1 << _STRIDE) | 1
     hashed = (df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("_t"))
               .select("id", hs.token_hash(F.col("_t")).alias("_h")))
-    sums = [F.sum(hs_lane(F.col("_h"), j, pair_mask)).alias(f"_s{j}") for j in range(_STRIDE)]
-    counted = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), *sums)
-    low = F.lit((1 << _STRIDE) - 1)
-    bits = []
-    for j in range(_STRIDE):
-        lane = F.col(f"_s{j}")
-        for half, votes in ((0, lane.bitwiseAND(low)), (1, F.shiftright(lane, _STRIDE))):
-            weight = F.lit(1 << (j + half * _STRIDE)).cast("bigint")
-            bits.append(F.when(votes * 2 > F.col("_n"), weight).otherwise(F.lit(0).cast("bigint")))
-    return counted.select("id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("hash"))
-
-
-def hs_lane(value: Column, j: int, mask: int) -> Column:
-    return F.shiftright(value, j).bitwiseAND(F.lit(mask))
+    # Long expressions are written as SQL text: one call to the JVM instead of hundreds.
+    mask, low = (1 << _STRIDE) | 1, (1 << _STRIDE) - 1
+    sums = [F.expr(f"sum(shiftright(_h, {j}) & {mask}L) AS _s{j}") for j in range(_STRIDE)]
+    votes = [f"(_s{j} & {low}L)" for j in range(_STRIDE)] + [f"shiftright(_s{j}, {_STRIDE})" for j in range(_STRIDE)]
+    bits = [f"if({v} * 2 > _n, {1 << j}L, 0L)" for j, v in enumerate(votes)]
+    return (hashed.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), *sums)
+            .select("id", F.expr(" | ".join(bits)).alias("hash")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.operators.exact import copy_links, first_of_value
@@ -94,10 +94,9 @@ def _keyed(df: DataFrame, parts: list[int], k: int, keep: list[str]) -> DataFram
     level = len(keep) // 2
     options = []
     for choice in combinations(range(len(parts)), len(parts) - k):
-        mask = sum(parts[i] for i in choice)
-        options.append(F.struct(F.lit(sum(1 << i for i in choice)).cast("bigint").alias("k"),
-                                F.col("h").bitwiseAND(F.lit(mask).cast("bigint")).alias("v")))
-    return (df.select("h", "id", *keep, F.explode(F.array(*options)).alias("_o"))
+        mask, chosen = sum(parts[i] for i in choice), sum(1 << i for i in choice)
+        options.append(f"struct({chosen}L AS k, h & {mask}L AS v)")
+    return (df.select("h", "id", *keep, F.expr(f"explode(array({', '.join(options)})) AS _o"))
             .select("h", "id", *keep, F.col("_o.k").alias(f"k{level}"), F.col("_o.v").alias(f"v{level}")))
 
 
@@ -105,22 +104,15 @@ def _join(keyed: DataFrame, levels: list[tuple[str, str, list[int]]], k: int) ->
     keys = [c for level in levels for c in level[:2]]
     a = keyed.select(*keys, F.col("h").alias("ha"), F.col("id").alias("ia"))
     b = keyed.select(*keys, F.col("h").alias("hb"), F.col("id").alias("ib"))
-    diff = F.col("ha").bitwiseXOR(F.col("hb"))
     # A pair may agree on several choices: it is taken from one of them only, which
     # needs no distinct over the pairs. The cheap distance test comes first.
-    once = F.lit(True)
-    for number, _, parts in levels:
-        once = once & (F.col(number) == _canonical_choice(diff, parts, k))
-    return (a.join(b, keys)
-            .filter((F.col("ia") < F.col("ib")) & F.when(F.bit_count(diff) <= k, once).otherwise(F.lit(False)))
-            .select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.bit_count(diff).cast("int").alias("distance")))
-
-
-def _canonical_choice(diff: Column, parts: list[int], k: int) -> Column:
-    """The highest len(parts) - k blocks without a differing bit, as a bit set."""
-    agreeing = F.lit(0).cast("bigint")
-    for i, part in enumerate(parts):
-        same = diff.bitwiseAND(F.lit(part).cast("bigint")) == 0
-        agreeing = agreeing.bitwiseOR(F.when(same, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), agreeing, lambda g, _: F.when(
-        F.bit_count(g) > len(parts) - k, g.bitwiseAND(g - 1)).otherwise(g))
+    once = " AND ".join(f"{number} = {_canonical_choice('(ha ^ hb)', parts, k)}" for number, _, parts in levels)
+    return (a.join(b, keys).filter(F.expr(f"ia < ib AND if(bit_count(ha ^ hb) <= {k}, {once}, false)"))
+            .select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.expr("bit_count(ha ^ hb)").alias("distance")))
+
+
+def _canonical_choice(diff: str, parts: list[int], k: int) -> str:
+    """SQL for the highest len(parts) - k blocks without a differing bit, as a bit set."""
+    agreeing = " | ".join(f"if({diff} & {part}L = 0, {1 << i}L, 0L)" for i, part in enumerate(parts))
+    return (f"aggregate(sequence(1, {k}), {agreeing}, "
+            f"(g, i) -> if(bit_count(g) > {len(parts) - k}, g & (g - 1), g))")

@@ -72,15 +72,15 @@ def edit_tags(df: DataFrame, edits: DataFrame, id_col: str = "id", tags: str = "
                                         F.coalesce("_new", "tag"))))
     # A tag array is bounded by one image, so collecting it per id is safe.
     packed = (edited.groupBy(id_col)
-              .agg(F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("_pos", "tag"))))
+              .agg(F.sort_array(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("_pos", "tag"))))
                    .alias("_packed")))
-    additions = (edits.filter(F.col("op") == "add").agg(F.array_sort(F.collect_set("tag")).alias("_add")))
+    additions = (edits.filter(F.col("op") == "add").agg(F.sort_array(F.collect_set("tag")).alias("_add")))
     kept = F.transform("_packed", lambda s: s["tag"])
     out = F.concat(kept, F.array_except("_add", kept))
     if dedupe:
         out = F.array_distinct(out)
     if sort:
-        out = F.array_sort(out)
+        out = F.sort_array(out)
     result = packed.join(F.broadcast(additions)).select(id_col, out.alias(tags))
     rest = [c for c in df.columns if c not in (id_col, tags)]
     if not rest:

@@ -22,6 +22,7 @@ from lumisift.sources.files import open_fs, to_uri
 
 SHARD_BYTES = 1 << 30
 MAX_MEMBER_BYTES = 1 << 30  # a binary cell cannot exceed 2 GiB
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1_000  # what a task holds before it hands rows on
 
 
 def archive_manifest(files: DataFrame, base: str, out: str) -> DataFrame:
@@ -185,9 +186,19 @@ def _read_members(batches: Iterator[pd.DataFrame], max_bytes: int) -> Iterator[p
             raise ValueError(f"member of {row.length} bytes is above the limit of {max_bytes}")
         return archive.read(row.member)
 
+    rows, held = [], 0
     for row, value, error in _each_member(batches, content):
-        yield pd.DataFrame({"archive": [row.archive], "member": [row.member],
-                            "length": pd.array([row.length], "Int64"), "content": [value], "error": [error]})
+        rows.append((row.archive, row.member, row.length, value, error))
+        held += len(value or b"")
+        if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+            yield _frame(rows, ["archive", "member", "length", "content", "error"])
+            rows, held = [], 0
+    if rows:
+        yield _frame(rows, ["archive", "member", "length", "content", "error"])
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns).astype({"length": "Int64"})
 
 
 def _each_member(batches: Iterator[pd.DataFrame], use):
@@ -237,9 +248,14 @@ def extract_archive(archives: DataFrame, out: str, path: str = "path") -> DataFr
                     sink.write(chunk)
             system.move(partial, name)
 
+        rows = []
         for row, _, error in _each_member(batches, copy):
-            yield pd.DataFrame({"archive": [row.archive], "member": [row.member],
-                                "length": pd.array([row.length], "Int64"), "error": [error]})
+            rows.append((row.archive, row.member, row.length, error))
+            if len(rows) >= BATCH_ROWS:
+                yield _frame(rows, ["archive", "member", "length", "error"])
+                rows = []
+        if rows:
+            yield _frame(rows, ["archive", "member", "length", "error"])
 
     tasks = archives.sparkSession.sparkContext.defaultParallelism
     placed = list_members(archives, path).repartition(tasks, F.xxhash64("archive", "member")).sortWithinPartitions("archive")

@@ -125,17 +125,21 @@ def read_content(files: DataFrame, path: str = "path") -> DataFrame:
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(len(batch)):  # one file at a time: files may be large
-                row = batch.iloc[i:i + 1].copy()
+            start, held, contents, errors = 0, 0, [], []
+            for i, uri in enumerate(batch[path]):
                 content, error = None, None
                 try:
-                    system, inner = open_fs(row[path].iloc[0])
+                    system, inner = open_fs(uri)
                     with system.open_input_stream(inner) as stream:
                         content = stream.read()
                 except (OSError, pa.ArrowException) as e:
                     error = f"{type(e).__name__}: {e}"
-                row["content"], row["error"] = [content], [error]
-                yield row
+                contents.append(content)
+                errors.append(error)
+                held += len(content or b"")
+                if held >= 4 << 20 or i == len(batch) - 1:  # a task holds a few megabytes, or one file
+                    yield batch.iloc[start:i + 1].assign(content=contents, error=errors)
+                    start, held, contents, errors = i + 1, 0, [], []
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInPandas(load, f"{fields}, content binary, error string")
