@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumisift.functions.pixels import resize
 from lumisift.schemas import require
-from lumisift.sources.files import is_image, probe_ends
+from lumisift.sources.files import is_image, plain_path, probe_ends
 
 # What to do with the outcome of a check.
 SKIP, REPORT, REPAIR, DELETE = -1, 0, 1, 2
@@ -81,8 +81,7 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     An image that cannot be decoded has a null `image`.
     """
     loaded = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace(F.col("image.origin"), "^file:/+", "file:/")
-    return (loaded.select(path.alias("path"), "image").filter(is_image(F.col("path")))
+    return (loaded.select(plain_path(F.col("image.origin")).alias("path"), "image").filter(is_image(F.col("path")))
             .withColumn("image", F.when(F.col("image.height") > 0, F.col("image"))))
 
 

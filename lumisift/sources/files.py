@@ -6,7 +6,7 @@ import os
 import posixpath
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
-from urllib.parse import quote, unquote, urlparse
+from urllib.parse import quote, urlparse
 
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +25,8 @@ IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "bmp")
 def to_uri(path: str, base: str | None = None) -> str:
     """Absolute URI without a closing slash; a plain path is a `file:` one below `base`.
 
-    Paths that differ only in `..`, `.` or doubled slashes become equal.
+    Paths that differ only in `..`, `.` or doubled slashes become equal. Names are
+    written as they are, without percent escapes.
     """
     if "://" in path or path.startswith("file:"):
         scheme, rest = path.split(":", 1)
@@ -49,21 +50,24 @@ def scan_files(spark: SparkSession, roots: Sequence[str], glob: str = "*", base:
     """
     roots = resolve_roots(roots, base)
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).load([unquote(r) for r in roots]))
+             .option("pathGlobFilter", glob).load(roots))
     rows = found.select(F.col("path"), "length", F.col("modificationTime").alias("mtime"))
     return rows.select("path", _root_of(F.col("path"), roots).alias("root"), "length", "mtime").dropDuplicates(["path"])
 
 
 def _root_of(path: Column, roots: list[str]) -> Column:
-    # Compared with one slash after the scheme and without percent signs.
-    plain = F.url_decode(F.replace(F.regexp_replace(path, "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
     column = F
     for root in sorted(roots, key=len, reverse=True):
-        bare = unquote(root).rstrip("/")
-        column = column.when(plain.startswith(bare + "/") | (plain == bare), F.lit(root))
+        column = column.when(path.startswith(root.rstrip("/") + "/") | (path == root), F.lit(root))
     return column
 
 
+def plain_path(uri: Column) -> Column:
+    """Escaped URI, as in `_metadata.file_path`, -> the plain form of the binaryFile source."""
+    one_slash = F.regexp_replace(uri, "^file:/+", "file:/")
+    return F.url_decode(F.replace(one_slash, F.lit("+"), F.lit("%2B")))  # a plus sign is no blank here
+
+
 def walk_files(spark: SparkSession, roots: Sequence[str], base: str | None = None, max_depth: int = 64) -> DataFrame:
     """The same rows for trees too large to list on the driver, hidden names included.
 
@@ -93,7 +97,7 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for start in range(0, len(found), 10_000):
                 part = found[start:start + 10_000]
                 yield pd.DataFrame({
-                    "path": [_child_uri(uri, f.base_name) for f in part],
+                    "path": [f"{uri.rstrip('/')}/{f.base_name}" for f in part],
                     "length": pd.array([None if f.type == pafs.FileType.Directory else f.size for f in part], "Int64"),
                     # Spark timestamps, as read back by the file source, hold whole milliseconds.
                     "mtime": [datetime.fromtimestamp(f.mtime_ns // 1_000_000 / 1000, timezone.utc).replace(tzinfo=None)
@@ -102,16 +106,11 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 })
 
 
-def _child_uri(folder: str, name: str) -> str:
-    # Same percent signs as the path column of Spark's file sources.
-    return folder.rstrip("/") + "/" + quote(name, safe="!$&'()*+,;=:@~-._")
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """(file system, path inside it) of a URI; runs inside tasks."""
     if urlparse(uri).scheme in ("", "file"):
-        return pafs.LocalFileSystem(), "/" + unquote(uri.removeprefix("file:")).lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(quote(uri, safe=":/@?&=,"))
 
 
 def is_image(path: Column) -> Column:
