@@ -20,7 +20,7 @@ PAIRS = "id_a bigint, id_b bigint, score double"
 
 
 def cosine_pairs(df: DataFrame, threshold: float, features: str = "features", id_col: str = "id",
-                 mode: str = "exact", block_rows: int = 4096, **lsh) -> DataFrame:
+                 mode: str = "exact", all_pairs: bool = True, block_rows: int = 4096, **lsh) -> DataFrame:
     """pairs(id_a, id_b, score): distinct vectors with cosine >= threshold; score to 6 places.
 
     Equal vectors are represented by the lowest id and linked to it with score 1.
@@ -29,7 +29,9 @@ def cosine_pairs(df: DataFrame, threshold: float, features: str = "features", id
     `exact` compares blocks of bounded size with one matrix product per pair of
     blocks, and skips pairs of cells that the triangle inequality on angles shows to
     be too far apart. It suits up to some 10**6 distinct vectors, or more when they
-    cluster well. `lsh` (Charikar 2002) compares only vectors that agree on a band
+    cluster well. With `all_pairs=False` vectors similar to the pivot of their cell are
+    linked to it and not compared with each other: the same groups, but a crowd of
+    near copies costs a link per row. `lsh` (Charikar 2002) compares only vectors that agree on a band
     of random hyperplane signs and may miss pairs; every score it gives is exact.
     """
     require(df, features, id_col)
@@ -41,7 +43,7 @@ def cosine_pairs(df: DataFrame, threshold: float, features: str = "features", id
     first = rows.groupBy("v").agg(F.min("id").alias("id"))
     distinct = rows.join(first.select("id"), "id", "left_semi").select("id", "u")
     if mode == "exact":
-        near = _grid_pairs(distinct, threshold, block_rows)
+        near = _grid_pairs(distinct, threshold, block_rows, all_pairs)
     elif mode == "lsh":
         near = _lsh_pairs(distinct, threshold, **lsh)
     else:
@@ -49,36 +51,44 @@ def cosine_pairs(df: DataFrame, threshold: float, features: str = "features", id
     return near.unionByName(copies)
 
 
-def _grid_pairs(distinct: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+def _grid_pairs(distinct: DataFrame, threshold: float, block_rows: int, all_pairs: bool) -> DataFrame:
     spark = distinct.sparkSession
     n = distinct.count()
     wanted = max(1, min(MAX_PIVOTS, n // block_rows))
     # Rows of lowest hash: a fixed sample of at most MAX_PIVOTS vectors.
-    pivots = np.array([r["u"] for r in distinct.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()])
-    if len(pivots) == 0:
+    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    if not sample:
         return spark.createDataFrame([], PAIRS)
+    pivots, pivot_ids = np.array([r["u"] for r in sample]), np.array([r["id"] for r in sample], dtype=np.int64)
 
-    @F.pandas_udf("cell int, angle double")
+    @F.pandas_udf("home int, pivot bigint, cosine double")
     def nearest(u: pd.Series) -> pd.DataFrame:
-        cos = np.clip(matrix(u) @ pivots.T, -1.0, 1.0) if len(u) else np.zeros((0, len(pivots)))
+        cos = np.round(matrix(u) @ pivots.T, 9) if len(u) else np.zeros((0, len(pivots)))
         best = cos.argmax(1)
-        return pd.DataFrame({"cell": best.astype(np.int32), "angle": np.arccos(cos[np.arange(len(best)), best])})
+        return pd.DataFrame({"home": best.astype(np.int32), "pivot": pivot_ids[best], "cosine": cos[np.arange(len(best)), best]})
 
-    placed = distinct.withColumn("_c", nearest("u")).select("id", "u", "_c.cell", "_c.angle")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
+    # Two cells per pivot: vectors similar to it (even numbers) and the others.
+    placed = (distinct.withColumn("_c", nearest("u")).select("id", "u", "_c.*")
+              .withColumn("cell", F.col("home") * 2 + (F.col("cosine") < threshold).cast("int")))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least")).collect()
     blocks = {c["cell"]: math.ceil(c["n"] / block_rows) for c in cells}
-    reach = math.acos(min(1.0, threshold)) + 1e-6
+    radius = {c["cell"]: math.acos(min(1.0, max(-1.0, c["least"]))) for c in cells}
+    reach = math.acos(min(1.0, threshold)) + 1e-4
     between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
-    routes = []  # at most MAX_PIVOTS ** 2 rows: each cell and a partner it must meet
-    for a in cells:
-        for b in cells:
-            if a["cell"] == b["cell"] or between[a["cell"], b["cell"]] - a["radius"] - b["radius"] <= reach:
-                routes.append((a["cell"], blocks[a["cell"]], b["cell"], blocks[b["cell"]]))
+    routes = []  # at most (2 * MAX_PIVOTS) ** 2 rows: each cell and a partner it must meet
+    for a in blocks:
+        for b in blocks:
+            if a == b and a % 2 == 0 and not all_pairs:
+                continue  # all of them hang together by their pivot
+            if a == b or between[a // 2, b // 2] - radius[a] - radius[b] <= reach:
+                routes.append((a, blocks[a], b, blocks[b]))
+    links = placed.filter((F.col("cell") % 2 == 0) & (F.col("id") != F.col("pivot"))).select(
+        F.least("id", "pivot").alias("id_a"), F.greatest("id", "pivot").alias("id_b"), F.col("cosine").alias("score"))
     routed = spark.createDataFrame(routes, "cell int, parts int, other int, other_parts int")
     # A crowded cell is cut into parts by id hash. Each row goes to every part it must meet.
     here = F.struct("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     there = F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
-    sent = (placed.drop("angle").join(F.broadcast(routed), "cell")
+    sent = (placed.select("id", "u", "cell").join(F.broadcast(routed), "cell")
             .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
             .select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), (here <= there).alias("is_a"),
                     "id", "u"))
@@ -89,7 +99,8 @@ def _grid_pairs(distinct: DataFrame, threshold: float, block_rows: int) -> DataF
         right = group if same else group[~group["is_a"]]
         return _block_product(left, right, same, threshold)
 
-    return sent.groupBy("a", "b").applyInPandas(meet, PAIRS).withColumn("score", F.round("score", 6))
+    met = sent.groupBy("a", "b").applyInPandas(meet, PAIRS)
+    return (met if all_pairs else met.unionByName(links)).withColumn("score", F.round("score", 6))
 
 
 def _block_product(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float, strip: int = 512) -> pd.DataFrame:

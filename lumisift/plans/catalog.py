@@ -315,8 +315,8 @@ pairs AS (
   UNION ALL SELECT f.id, s.id, 1.0 FROM sets s JOIN first f ON s.s = f.s AND s.id <> f.id)"""
 
 
-def document_pairs(spark, sf_dir):
-    return jaccard.jaccard_pairs(documents(spark, sf_dir, "text"), hs.words(F.col("text")), 0.8)
+def document_pairs(spark, sf_dir, all_pairs=True):
+    return jaccard.jaccard_pairs(documents(spark, sf_dir, "text"), hs.words(F.col("text")), 0.8, all_pairs=all_pairs)
 
 
 @query("jaccard_pairs", f"WITH {JACCARD} SELECT id_a, id_b, round(score, 6) AS score FROM pairs")
@@ -343,7 +343,7 @@ grouped AS (SELECT u AS id, least(u, min(v)) AS group_id FROM reach GROUP BY u)"
 
 @query("duplicate_groups", f"WITH RECURSIVE {GROUPS} SELECT id, group_id FROM grouped")
 def duplicate_groups(spark, sf_dir):
-    return groups.duplicate_groups(document_pairs(spark, sf_dir))
+    return groups.duplicate_groups(document_pairs(spark, sf_dir, all_pairs=False))
 
 
 @query("drop_near_copies", f"""

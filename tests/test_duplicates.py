@@ -120,6 +120,28 @@ def test_word_on_every_row(spark):
     assert pairs(jaccard.jaccard_pairs(df, hs.words(F.col("text")), 0.6, bucket_rows=10)) == brute_jaccard(sets, 60)
 
 
+@pytest.mark.parametrize("kept", [18, 20])
+@pytest.mark.parametrize("percent", [40, 70])
+def test_links_of_a_crowd_give_the_same_groups(spark, percent, kept):
+    # A third of the rows are near copies of one text, each with words of its own.
+    rng = random.Random(percent)
+    template, sets = [f"t{i}" for i in range(20)], []
+    for i in range(600):
+        if i % 3 == 0:
+            sets.append((i, set(rng.sample(template, kept)) | {f"u{rng.randrange(60)}" for _ in range(2)}))
+        else:
+            sets.append((i, set(rng.sample(template, 6)) | {f"v{rng.randrange(40)}" for _ in range(rng.randint(1, 12))}))
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets], "id bigint, text string")
+    every = brute_jaccard(sets, percent)
+    got = pairs(jaccard.jaccard_pairs(df, hs.words(F.col("text")), percent / 100, all_pairs=False, bucket_rows=25))
+    assert len(got) == len(set(got)) and set(got) <= set(every)
+    assert components(got) == components(every)
+    if kept == 20:  # one crowd, so a link or two per member instead of all its pairs
+        assert len(got) < len(every) / 3
+    else:
+        assert len(got) < len(every)
+
+
 def test_minhash_mode_gives_real_scores(spark):
     sets = [(i, {f"w{j}" for j in range(i % 5, i % 5 + 20)} | {f"x{i}"}) for i in range(40)]
     df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets], "id bigint, text string")
@@ -149,6 +171,14 @@ def test_cosine_equals_brute_force(spark, threshold, block_rows):
     assert got == sorted(want + [(1, 100)])
 
 
+def test_cosine_links_give_the_same_groups(spark):
+    v = vectors(240, 9)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id bigint, features array<double>")
+    every = pairs(cosine.cosine_pairs(df, 0.95, block_rows=20))
+    some = pairs(cosine.cosine_pairs(df, 0.95, all_pairs=False, block_rows=20))
+    assert set(some) <= set(every) and len(some) < len(every) and components(some) == components(every)
+
+
 def test_cosine_lsh_recall(spark):
     v = vectors(300, 4)
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id bigint, features array<double>")
