@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.functions.hashing import content_hash
+from lumisift.plans.skew import broadcast_if_small
 from lumisift.schemas import require
+from lumisift.session import cut
 
 
 def exact_duplicates(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
@@ -39,6 +41,16 @@ def copy_links(df: DataFrame, value: Column, id_col: str = "id", score: Column |
             .select("id_a", "id_b", (F.lit(1.0) if score is None else score).alias("score")))
 
 
+def copy_groups(df: DataFrame, value: Column, id_col: str = "id") -> DataFrame:
+    """groups(id, group_id) of all ids that share a value with another; group_id is the lowest.
+
+    `df` is read once: the ids and values are written down and then counted and joined.
+    """
+    keyed = cut(df.select(F.col(id_col).alias("id"), value.alias("_value")).filter(F.col("_value").isNotNull()), "values")
+    first = keyed.groupBy("_value").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return keyed.join(first, "_value").select("id", "group_id")
+
+
 def first_of_value(df: DataFrame, value: Column, id_col: str = "id") -> DataFrame:
     """(value, id): each distinct value with the lowest id that has it."""
     return (df.select(value.alias("value"), F.col(id_col).alias("id")).filter(F.col("value").isNotNull())
@@ -53,11 +65,11 @@ def removals(df: DataFrame, groups: DataFrame, order_by: Sequence[Column], id_co
     """
     require(df, id_col)
     require(groups, "id", "group_id")
-    ranked = (df.select(F.col(id_col).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_by)],
-                                                            F.col(id_col).alias("id")).alias("_order"))
-              .join(groups.select("id", "group_id"), "id"))
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_by)], F.col(id_col).alias("id"))
+    ranked = cut(df.select(F.col(id_col).alias("id"), order.alias("_order"))
+                 .join(groups.select("id", "group_id"), "id"), "ranked")
     best = ranked.groupBy("group_id").agg(F.min("_order")["id"].alias("kept_id"))
-    return (groups.join(best, "group_id").filter(F.col("id") != F.col("kept_id"))
+    return (ranked.join(best, "group_id").filter(F.col("id") != F.col("kept_id"))
             .select("id", "group_id", "kept_id"))
 
 
@@ -68,7 +80,8 @@ def keep_best(df: DataFrame, groups: DataFrame, order_by: Sequence[Column] = (),
     ones); nulls sort first, so replace them when they should lose.
     """
     gone = removals(df, groups, order_by, id_col).select(F.col("id").alias(id_col))
-    return df.join(gone, id_col, "left_anti")
+    # Few enough ids go to every task, and the wide rows are then not shuffled at all.
+    return df.join(broadcast_if_small(gone), id_col, "left_anti")
 
 
 def groups_from_links(links: DataFrame) -> DataFrame:

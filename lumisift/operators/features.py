@@ -6,10 +6,12 @@ from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumisift.functions.vectors import unit
 from lumisift.plans.skew import heavy_keys, salted_join
 from lumisift.schemas import require
+from lumisift.session import cut
 
 
 def vector_features(df: DataFrame, col: str, out: str = "features") -> DataFrame:
@@ -26,13 +28,12 @@ def tfidf_features(df: DataFrame, id_col: str = "id", tags: str = "tags", normal
     is joined to its count in slices.
     """
     require(df, id_col, tags)
-    tf = (df.select(F.col(id_col).alias("id"), F.explode(tags).alias("tag"))
-          .groupBy("id", "tag").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    tf = cut(df.select(F.col(id_col).alias("id"), F.explode(tags).alias("tag"))
+             .groupBy("id", "tag").agg(F.count(F.lit(1)).cast("int").alias("tf")), "tf")
     df_counts = tf.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
     images = df.agg(F.count(F.lit(1)).alias("_all"))
     largest, total = df_counts.agg(F.max("df"), F.sum("df")).first()
-    lookup = (df_counts.join(F.broadcast(images))
-              .select("tag", "df", F.log((F.col("_all") + 1) / (F.col("df") + 1)).alias("_idf")))
+    lookup = df_counts.select("tag", "df", F.log((images.scalar() + 1) / (F.col("df") + 1)).alias("_idf"))
     if (largest or 0) > rows_per_slice:
         heavy = heavy_keys(df_counts, "tag", "df", rows_per_slice, total)
         joined = salted_join(tf, lookup, "tag", F.xxhash64("id"), heavy)
@@ -41,8 +42,9 @@ def tfidf_features(df: DataFrame, id_col: str = "id", tags: str = "tags", normal
     rows = joined.select("id", "tag", "tf", "df", (F.col("tf") * F.col("_idf")).alias("weight"))
     if not normalise:
         return rows
-    norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    return (rows.join(norms, "id")
+    # A window over one id holds the tags of one image only.
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
+    return (rows.withColumn("_norm", norm)
             .select("id", "tag", "tf", "df",
                     F.when(F.col("_norm") > 0, F.col("weight") / F.col("_norm")).otherwise(F.lit(0.0)).alias("weight")))
 

@@ -47,9 +47,7 @@ def tag_counts(df: DataFrame, id_col: str = "id", tags: str = "tags") -> DataFra
     images = df.agg(F.count(F.lit(1)).alias("_all"))
     per_tag = (df.select(F.explode(F.array_distinct(tags)).alias("tag"))
                .groupBy("tag").agg(F.count(F.lit(1)).alias("images")))
-    # One row by construction, whatever the size of the table.
-    return (per_tag.join(F.broadcast(images))
-            .select("tag", "images", (F.col("images") / F.col("_all")).alias("share")))
+    return per_tag.select("tag", "images", (F.col("images") / images.scalar()).alias("share"))
 
 
 def edit_tags(df: DataFrame, edits: DataFrame, id_col: str = "id", tags: str = "tags",
@@ -76,12 +74,12 @@ def edit_tags(df: DataFrame, edits: DataFrame, id_col: str = "id", tags: str = "
                    .alias("_packed")))
     additions = (edits.filter(F.col("op") == "add").agg(F.sort_array(F.collect_set("tag")).alias("_add")))
     kept = F.transform("_packed", lambda s: s["tag"])
-    out = F.concat(kept, F.array_except("_add", kept))
+    out = F.concat(kept, F.array_except(F.col("_add"), kept))
     if dedupe:
         out = F.array_distinct(out)
     if sort:
         out = F.sort_array(out)
-    result = packed.join(F.broadcast(additions)).select(id_col, out.alias(tags))
+    result = packed.withColumn("_add", additions.scalar()).select(id_col, out.alias(tags))
     rest = [c for c in df.columns if c not in (id_col, tags)]
     if not rest:
         return result

@@ -255,7 +255,7 @@ RANKED_COPIES = """ranked AS (
 @query("removals", f"WITH {RANKED_COPIES} SELECT id, group_id, kept_id FROM ranked WHERE id <> kept_id")
 def removals(spark, sf_dir):
     docs = with_quality(spark, sf_dir)
-    found = exact.groups_from_links(exact.copy_links(docs, hs.content_hash(F.col("text"))))
+    found = exact.copy_groups(docs, hs.content_hash(F.col("text")))
     return exact.removals(docs, found, [-F.col("quality")])
 
 

@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lumisift.schemas import require
-from lumisift.sources.files import open_fs, plain_path, resolve_roots
+from lumisift.sources.files import open_fs, outermost, plain_path, resolve_roots
 
 
 def read_captions(spark: SparkSession, roots: Sequence[str], base: str | None = None) -> DataFrame:
     """texts(path, caption): every `.txt` below the roots, one row per file, each path once."""
     text = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-            .text(resolve_roots(roots, base), wholetext=True))
-    return (text.select(plain_path(F.col("_metadata.file_path")).alias("path"),
-                        F.col("value").alias("caption"))
-            .dropDuplicates(["path"]))
+            .text(outermost(resolve_roots(roots, base)), wholetext=True))
+    return text.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("caption"))
 
 
 def write_captions(df: DataFrame, folder: str, name: str = "name", caption: str = "caption") -> None:

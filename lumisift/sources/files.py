@@ -41,18 +41,24 @@ def resolve_roots(roots: Sequence[str], base: str | None = None) -> list[str]:
     return list(dict.fromkeys(to_uri(r.strip(), base) for r in roots if r.strip()))
 
 
+def outermost(roots: list[str]) -> list[str]:
+    """Roots that lie below no other root: reading these meets every path exactly once."""
+    return [r for r in roots if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in roots)]
+
+
 def scan_files(spark: SparkSession, roots: Sequence[str], glob: str = "*", base: str | None = None) -> DataFrame:
     """files(path, root, length, mtime) below all `roots`, each path once.
 
-    Overlapping roots are normal; `root` is the longest one that holds the path.
+    Overlapping roots are normal: only the outermost are read, so no path can come
+    twice and none need be dropped. `root` is the longest root that holds the path.
     The content column of the source is never asked for, so no file is opened. The
     source passes over names that begin with `_` or `.`; `walk_files` does not.
     """
     roots = resolve_roots(roots, base)
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).load(roots))
+             .option("pathGlobFilter", glob).load(outermost(roots)))
     rows = found.select(F.col("path"), "length", F.col("modificationTime").alias("mtime"))
-    return rows.select("path", _root_of(F.col("path"), roots).alias("root"), "length", "mtime").dropDuplicates(["path"])
+    return rows.select("path", _root_of(F.col("path"), roots).alias("root"), "length", "mtime")
 
 
 def _root_of(path: Column, roots: list[str]) -> Column:
@@ -75,17 +81,16 @@ def walk_files(spark: SparkSession, roots: Sequence[str], base: str | None = Non
     the roots. Folders found become the next round's input.
     """
     roots = resolve_roots(roots, base)
-    level = spark.createDataFrame([(r,) for r in roots], "path string")
+    level = spark.createDataFrame([(r,) for r in outermost(roots)], "path string")
     files = None
     for _ in range(max_depth):
         listed = pin(level.repartition(spark.sparkContext.defaultParallelism, "path")
                      .mapInPandas(_list_folders, "path string, length bigint, mtime timestamp, is_folder boolean"))
         here = listed.filter(~F.col("is_folder")).select("path", "length", "mtime")
         files = here if files is None else files.unionByName(here)
-        level = listed.filter("is_folder").select("path").distinct()
+        level = listed.filter("is_folder").select("path")
         if level.isEmpty():
-            return (files.select("path", _root_of(F.col("path"), roots).alias("root"), "length", "mtime")
-                    .dropDuplicates(["path"]))
+            return files.select("path", _root_of(F.col("path"), roots).alias("root"), "length", "mtime")
     raise RuntimeError(f"folders nest deeper than {max_depth}")
 
 

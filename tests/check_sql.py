@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -36,6 +37,10 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str:
     frame = got.toPandas()
     if sql is None:
         return f"rows={len(frame)} (no SQL)"
+    types = {c: SQL_TYPES.get(t, t) for c, t in got.dtypes}
+    sql_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if types != sql_types:
+        return f"MISMATCH types {types} / {sql_types}"
     want = con.execute(sql).df()
     if sorted(frame.columns) != sorted(want.columns):
         return f"MISMATCH columns {sorted(frame.columns)} / {sorted(want.columns)}"
