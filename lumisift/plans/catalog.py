@@ -12,7 +12,7 @@ from lumisift.functions import hashing as hs
 from lumisift.operators import (batch, clusters, cosine, exact, features, fingerprints, groups, hamming, index, jaccard,
                                 quality, select, tags)
 from lumisift.plans import curation
-from lumisift.session import fresh_dir, spread
+from lumisift.session import fresh_dir, ship, spread
 from lumisift.sources import archives, captions, files, image_info, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ---- shared inputs ---------------------------------------------------------

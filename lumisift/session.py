@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,11 +21,29 @@ DEFAULTS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def session(app: str = "lumisift", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per application.
+
+    Functions that run in tasks import it there. An installed package, or one passed
+    with `--py-files`, needs no shipping; doing it anyway is harmless.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="lumisift-"), "lumisift")
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
