@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # Image datasets are many small files: let a task take some two thousand of them.
     "spark.sql.files.openCostInBytes": str(64 * 1024),
+    # Decoded images are megabytes each: batches to Python are bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
 }
 
 

@@ -6,6 +6,7 @@ import os
 import posixpath
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from itertools import islice
 from urllib.parse import quote, urlparse
 
 import pandas as pd
@@ -97,20 +98,34 @@ def walk_files(spark: SparkSession, roots: Sequence[str], base: str | None = Non
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for uri in batch["path"]:
-            system, path = open_fs(uri)
-            found = system.get_file_info(pafs.FileSelector(path, recursive=False))
-            for start in range(0, len(found), 10_000):
-                part = found[start:start + 10_000]
+            entries = _entries(uri)
+            while part := list(islice(entries, 10_000)):  # a folder of any size goes out in pieces
+                names, sizes, times, folders = zip(*part)
                 yield pd.DataFrame({
-                    "path": [f"{uri.rstrip('/')}/{f.base_name}" for f in part],
-                    "length": pd.array([None if f.type == pafs.FileType.Directory else f.size for f in part], "Int64"),
-                    # Spark timestamps, as read back by the file source, hold whole milliseconds.
-                    "mtime": [datetime.fromtimestamp(f.mtime_ns // 1_000_000 / 1000, timezone.utc).replace(tzinfo=None)
-                              for f in part],
-                    "is_folder": [f.type == pafs.FileType.Directory for f in part],
+                    "path": [f"{uri.rstrip('/')}/{n}" for n in names],
+                    "length": pd.array(sizes, "Int64"),
+                    # The file source gives whole milliseconds.
+                    "mtime": [datetime.fromtimestamp(t // 1_000_000 / 1000, timezone.utc).replace(tzinfo=None) for t in times],
+                    "is_folder": folders,
                 })
 
 
+def _entries(uri: str) -> Iterator[tuple[str, int | None, int, bool]]:
+    """(name, size, modification time in ns, is folder) of one folder's entries."""
+    system, path = open_fs(uri)
+    if isinstance(system, pafs.LocalFileSystem):
+        with os.scandir(path) as found:  # streams; links to folders are not followed
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    yield e.name, None, 0, True
+                elif e.is_file():
+                    yield e.name, e.stat().st_size, e.stat().st_mtime_ns, False
+        return
+    for f in system.get_file_info(pafs.FileSelector(path, recursive=False)):
+        folder = f.type == pafs.FileType.Directory
+        yield f.base_name, None if folder else f.size, f.mtime_ns or 0, folder
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """(file system, path inside it) of a URI; runs inside tasks."""
     if urlparse(uri).scheme in ("", "file"):
