@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisift.llm import near
+from lumisift.llm import classify, decontaminate, html, mix, near, pitmanyor, repeats, rules, tokens, warc
 from lumisift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,101 @@ FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, s.s
 @query("op4_near_duplicates", _OP4)
 def op4_near_duplicates(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op5_repeated_passages")
+def op5_repeated_passages(spark, sf_dir):
+    return repeats.passage_report(table(spark, sf_dir, "documents"), window=200)
+
+
+# Windows of 10 words, or whole items of fewer, looked up among all runs of as many words.
+_OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS g
+       FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, g)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_benchmark_passages", _OP7)
+def op7_benchmark_passages(spark, sf_dir):
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+# Filling by level: sources in order of the level that fills them; queue order by the hash of the id.
+_OP8 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+           FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+      FROM d GROUP BY source),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+             coalesce(sum(2.0::DOUBLE * source_size) OVER w, 0) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open
+      FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min((budget - filled) / open, most / weight) AS level FROM r WHERE (budget - filled) / open <= most / weight),
+t AS (SELECT source, source_size, least(most, level * weight) AS target FROM r, v),
+q AS (SELECT doc_id, size, source_size, target, k, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size) AS sent
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, k, p, (p * source_size + sent)::DOUBLE / target AS finish FROM q, (VALUES (0), (1)) AS x(p) WHERE size > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, k, p) AS upto FROM c),
+e AS (SELECT doc_id, k, sum(size)::BIGINT AS taken FROM o WHERE upto - size < 1.5 * (SELECT sum(size) FROM d) GROUP BY ALL)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(e.taken, 0)::BIGINT AS taken FROM q LEFT JOIN e USING (doc_id, k)
+"""
+
+
+@query("op8_source_mix", _OP8)
+def op8_source_mix(spark, sf_dir):
+    return mix.fair_mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2])
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    return classify.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The counts and the base score; the sampled model's score has no counterpart in SQL.
+@query("op2_word_model")
+def op2_word_model(spark, sf_dir):
+    return pitmanyor.score_texts(table(spark, sf_dir, "documents"))
+
+
+_OP6 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
+@query("op6_warc_round_trip", _OP6)
+def op6_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+# Where the vocabulary files of public tokenizers are; any path that Spark can read.
+VOCABULARY = os.environ.get("LUMISIFT_VOCABULARY", "file:///opt/tokenizers/piece_bpe_32k.model")
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op10_main_text")
+def op10_main_text(spark, sf_dir):
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
