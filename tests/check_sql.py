@@ -23,28 +23,27 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def rows_of(frame) -> list[tuple]:
+def rows_of(columns: list[str], rows) -> list[tuple]:
     """Rows as sorted tuples of text, columns in name order."""
-    columns = sorted(frame.columns)
-    out = []
-    for row in frame[columns].itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else (repr(round(float(v), 9)) if isinstance(v, float) else str(v)) for v in row))
-    return sorted(out)
+    places = [columns.index(c) for c in sorted(columns)]
+
+    def shown(v):
+        return "" if v is None or v != v else repr(round(v, 9)) if isinstance(v, float) else str(v)
+
+    return sorted(tuple(shown(r[i]) for i in places) for r in rows)
 
 
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str:
     got = fn(spark, sf_dir)
-    frame = got.toPandas()
+    rows = got.collect()
     if sql is None:
-        return f"rows={len(frame)} (no SQL)"
+        return f"rows={len(rows)} (no SQL)"
     types = {c: SQL_TYPES.get(t, t) for c, t in got.dtypes}
     sql_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     if types != sql_types:
         return f"MISMATCH types {types} / {sql_types}"
-    want = con.execute(sql).df()
-    if sorted(frame.columns) != sorted(want.columns):
-        return f"MISMATCH columns {sorted(frame.columns)} / {sorted(want.columns)}"
-    a, b = rows_of(frame), rows_of(want)
+    want = con.execute(sql).fetchall()
+    a, b = rows_of(got.columns, rows), rows_of(list(sql_types), want)
     if a != b:
         only_a, only_b = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
         return f"MISMATCH rows {len(a)} / {len(b)}\n  spark only {str(only_a)[:600]}\n  sql only   {str(only_b)[:600]}"
