@@ -8,10 +8,14 @@ from lumisift.llm import stages
 from lumisift.llm.common import Scratch, table
 
 STAGES = [
+    ("quality_classifier", stages.quality_classifier),
     ("near_duplicates", stages.near_duplicates),
+    ("repeated_passages", stages.repeated_passages),
+    ("benchmark_passages", stages.benchmark_passages),
+    ("source_mix", stages.source_mix),
 ]
 
-# The classifier, the sampled shuffle order and the sketches have no counterpart in SQL.
+# The fitted classifier has no counterpart in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

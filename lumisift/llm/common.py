@@ -48,6 +48,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Mark a written table of ids for broadcast if it is counted to be within `most` rows.
+
+    A million numbers take some 16 MB in a task. Beyond that Spark joins by shuffle.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def by_row(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply `fn` to every Arrow batch of `df`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

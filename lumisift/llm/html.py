@@ -132,17 +132,19 @@ class Lines(HTMLParser):
 
 
 def content_lines(lengths: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Lines whose smoothed text-to-tag ratio is in the upper of two clusters.
+    """Lines whose text-to-tag ratio, smoothed along the page, is in the upper of two clusters.
 
-    Ratios are smoothed along the page by a Gaussian, so short lines amid long ones
-    rise and lone long lines sink. The two clusters start at the least and the greatest
-    value and are refined by means (Weninger, Hsu, Han 2010).
+    A Gaussian raises short lines amid long ones and sinks lone long lines. The two
+    clusters start at the least and the greatest value and are refined by means
+    (Weninger, Hsu, Han 2010). Of the lines found those whose own ratio is as high are
+    returned, if there are any: a list of links beside a long paragraph is not.
     """
     ratio = lengths / np.maximum(tags, 1)
     reach = math.ceil(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    inside = slice(reach, len(ratio) + reach)
     # The same weights at the ends of the page, over the lines that are there.
-    smooth = np.convolve(ratio, kernel)[reach:len(ratio) + reach] / np.convolve(np.ones(len(ratio)), kernel)[reach:len(ratio) + reach]
+    smooth = np.convolve(ratio, kernel)[inside] / np.convolve(np.ones(len(ratio)), kernel)[inside]
     low, high = smooth.min(), smooth.max()
     for _ in range(100):
         upper = smooth >= (low + high) / 2
@@ -152,7 +154,10 @@ def content_lines(lengths: np.ndarray, tags: np.ndarray, sigma: float = 1.0) ->
         if now == (low, high):
             break
         low, high = now
-    return smooth >= (low + high) / 2
+    bound = (low + high) / 2
+    found = smooth >= bound
+    own = found & (ratio >= bound)
+    return own if own.any() else found
 
 
 def main_text(html: str) -> str:

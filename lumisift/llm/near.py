@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.llm import text as tx
-from lumisift.llm.common import PIECE, Scratch, by_row
+from lumisift.llm.common import PIECE, Scratch, by_row, few
 from lumisift.operators.groups import duplicate_groups
 
-BANDS, ROWS = 40, 5  # a pair at similarity 0.8 shares no band once in 8 million pairs
+BANDS, ROWS = 80, 8  # a pair at similarity 0.8 shares no band once in 2.4 million pairs
 BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 # Of 200 coordinates a pair at 0.8 agrees in 160 +- 5.7; below 116 is eight deviations away.
-MIN_AGREE = 116
+SIGNED, MIN_AGREE = 200, 116
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +79,11 @@ def _sketched(size: int):
                 sums.append(total.view(np.int64))
             coords = sketch(text, h, n)
             keys = _fold(coords.reshape(n, BANDS, ROWS), np.arange(BANDS, dtype=np.uint64))
-            parts.append((count, *sums, keys.view(np.int64), tx.mix(coords).astype(np.uint8)))
+            parts.append((count, *sums, keys.view(np.int64), tx.mix(coords[:, :SIGNED]).astype(np.uint8)))
         count, a, b, keys, sig = (np.concatenate(p) for p in zip(*parts, strict=True))
         n = len(count)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-        raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * BINS).astype(np.int32).tobytes()),
+        raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SIGNED).astype(np.int32).tobytes()),
                                                      pa.py_buffer(sig.tobytes())])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(a), pa.array(b), bands, raw],
                                           ["id", "n", "class_a", "class_b", "bands", "sig"])
@@ -105,7 +105,7 @@ def _sets(size: int):
 
 
 def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
+    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNED) for c in ("sig_a", "sig_b"))
     near = pa.array((a == b).sum(axis=1) >= MIN_AGREE)
     return pa.RecordBatch.from_arrays([batch.column("ia").filter(near), batch.column("ib").filter(near)], ["ia", "ib"])
 
@@ -117,6 +117,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFra
             .join(sig.withColumnsRenamed({"id": "ib", "sig": "sig_b"}), "ib"))
     near = scratch.cut(by_row(both, _agreeing, "ia bigint, ib bigint").distinct(), "near")
     needed = near.select(F.col("ia").alias("id")).unionByName(near.select(F.col("ib").alias("id"))).distinct()
+    needed = few(scratch.cut(needed, "needed"))
     sets = scratch.cut(by_row(docs.join(needed, "id", "left_semi"), _sets(size), "id bigint, s array<bigint>"), "sets")
     a = sets.withColumnsRenamed({"id": "ia", "s": "sa"})
     b = sets.withColumnsRenamed({"id": "ib", "s": "sb"})
@@ -159,11 +160,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = with_id.groupBy("class_a", "class_b").agg(F.min("id").alias("rep"))
     classed = scratch.cut(sketches.select("id", "n", "class_a", "class_b").join(first, ["class_a", "class_b"], "left")
                           .select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classed")
-    own = classed.filter("id = rep").select("id")
-    reps = scratch.cut(with_id.select("id", "n", "bands", "sig").join(own, "id", "left_semi"), "reps")
-    scratch.drop(sketches)
+    lone = classed.filter("id <> rep").select("id").distinct().join(classed.filter("id = rep").select("id"), "id", "left_anti")
+    copies = few(scratch.cut(lone, "copies"))
+    reps = with_id.select("id", "bands", "sig").join(copies, "id", "left_anti")
 
-    rows = reps.select("id", "n", F.explode("bands").alias("key"))
+    rows = reps.select("id", F.explode("bands").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last")
     shared = scratch.cut(rows.join(pivots.select("key", "pivot"), "key"), "shared")
     star = shared.filter("id <> pivot").select(F.col("pivot").alias("ia"), F.col("id").alias("ib")).distinct()
@@ -171,19 +172,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = _components(links)
 
     # Buckets that are not yet one component: their odd members meet all others.
-    placed = shared.join(groups, "id", "left").withColumn("comp", F.coalesce("group_id", "id")).select("key", "id", "n", "comp")
+    placed = shared.join(groups, "id", "left").withColumn("comp", F.coalesce("group_id", "id")).select("key", "id", "comp")
     per_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     split = (per_comp.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .filter("comps > 1").select("key", "main"))
-    open_rows = scratch.cut(placed.join(split, "key"), "open")
+    sizes = classed.filter("id = rep").groupBy("id").agg(F.max("n").alias("n"))
+    open_rows = scratch.cut(placed.join(split, "key").join(sizes, "id"), "open")
     odd = open_rows.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
     met = (odd.join(open_rows, "key").filter((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id")))
                                              & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent))
            .select(F.least("x", "id").alias("ia"), F.greatest("x", "id").alias("ib")).distinct().join(star, ["ia", "ib"], "left_anti"))
     more = _verified(scratch, met, reps, docs, shingle, percent)
-    scratch.drop(shared, open_rows, reps)
+    scratch.drop(shared, open_rows, sketches)
     groups = _components(links.unionByName(more))
-    component = F.coalesce("group_id", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("group_id", "rep", "id"))
     return (classed.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                     F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 BUCKETS = 1 << 16
 TRUSTED = 200_000  # labelled documents the trusted n-grams are counted in, those with the lowest hashes of their ids
+ADDED = 5.0
 MICRO = 1_000_000  # weights are whole millionths: sums are the same in any order
 
 
@@ -65,7 +66,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Millionths of log(p / q) per bucket: p over the trusted texts, q over all texts.
 
     docs(id, text); trusted(id) is small enough to send to all tasks. Both multinomials
-    have one added to every bucket. Counts are summed in the tasks first, so what is
+    are taken at the total of the trusted one, with ADDED in every bucket: what is seen a
+    few times only says little either way. Counts are summed in the tasks first, so what is
     shuffled and brought back is one row per bucket.
     """
     marked = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "id", "left")
@@ -74,8 +76,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     rows = (hashed.select("trusted", F.explode(_buckets()).alias("bucket")).groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")))
     counts = {r.bucket: (r.raw, r.target) for r in rows.collect()}  # at most BUCKETS rows
-    raw, target = (sum(c[k] for c in counts.values()) + BUCKETS for k in (0, 1))
-    return [round(MICRO * (math.log((t + 1) / target) - math.log((r + 1) / raw))) for r, t in (counts.get(b, (0, 0)) for b in range(BUCKETS))]
+    raw, target = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    return [round(MICRO * math.log((t + ADDED) / (r * target / raw + ADDED))) for r, t in (counts.get(b, (0, 0)) for b in range(BUCKETS))]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.05,
@@ -104,7 +106,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     total = F.aggregate(_buckets(), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
     out = counted.withColumn("total", total).withColumn("n_grams", F.size("h1") + F.size("h2"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fits = F.col("total") >= F.lit(round(threshold * MICRO)) * F.col("n_grams")
+    fits = F.col("total") >= F.lit(round(threshold * MICRO)).cast("long") * F.col("n_grams")
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       failed.alias("base_failed"), (F.col("total") / F.greatest("n_grams", F.lit(1)) / MICRO).alias("ratio"),
                       (~failed & fits).alias("kept"))

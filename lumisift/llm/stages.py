@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import near
-from lumisift.llm.common import Scratch
+from lumisift.llm import classify, decontaminate, mix, near, repeats
+from lumisift.llm.common import Scratch, few, table
 from lumisift.session import ship
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is not among `ids`; rows without an id stay."""
-    return docs.join(ids.select(id_col), id_col, "left_anti").select(*docs.columns)
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not among `ids`, a written table; rows without an id stay."""
+    return docs.join(few(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """`docs` with n_chars, where there is one, as long as the text now is."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = dict(docs.dtypes)["n_chars"]
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for poor or toxic go; rows without an id stay."""
+    labels = table(spark, sf_dir, "labels")
+    scratch = Scratch(spark)
+    rejected = scratch.cut(classify.quality(docs, labels).filter("NOT kept").select("doc_id").distinct(), "rejected")
+    return without(docs, rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +40,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     scratch = Scratch(spark)
     found = scratch.cut(near.near_duplicates(docs.select("doc_id", "text")), "found")
-    kept = without(docs, found.filter("NOT kept"))
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    kept = without(docs, scratch.cut(found.filter("NOT kept").select("doc_id").distinct(), "dropped"))
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL")
+    repeated = scratch.cut(repeated.select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return without(kept, repeated).unionByName(once)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes or more that are found more than once are cut out of all texts; all rows stay."""
+    ship(spark)
+    return recounted(repeats.without_passages(docs, "text", 200))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 10 words of benchmark items are cut out; documents more than half of which they cover go."""
+    return recounted(decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"), "text", 10, 0.5))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
+    ship(spark)
+    return mix.fair_mix(docs, weights=[3, 1, 2])

@@ -112,17 +112,14 @@ class UnigramCounter:
         here, score, tokens = -1, 0.0, 0
         for end, (length, gain, n) in self.automaton.iter(joined):
             start = end + 1 - length
-            total = best[start] + gain
             if end != here:
-                if here >= 0:
-                    best[here + 1], count[here + 1] = score, tokens
-                here, score, tokens = end, total, count[start] + n
+                best[here + 1], count[here + 1] = score, tokens
+                here, score, tokens = end, best[start] + gain, count[start] + n
                 if joined[end] == "\n":  # words start afresh
                     score, tokens = 0.0, 0
-            elif total > score:
-                score, tokens = total, count[start] + n
-        if here >= 0:
-            best[here + 1], count[here + 1] = score, tokens
+            elif best[start] + gain > score:
+                score, tokens = best[start] + gain, count[start] + n
+        best[here + 1], count[here + 1] = score, tokens
         at = 0
         for word in words:
             self.cache[word] = count[at + len(word)]
