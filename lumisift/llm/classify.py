@@ -14,6 +14,7 @@ from lumisift.llm.common import PIECE, Scratch
 
 GOOD, POOR, TOXIC = 0, 1, 2
 SAMPLE = 40_000  # labelled documents the evidence is learnt from, those with the lowest hashes of their ids
+MEASURES = 8  # columns of Evidence.sums
 MICRO = 1_000_000  # probabilities are summed as whole millionths: the same sum in any order
 
 _LINE = np.ones(256, bool)
@@ -82,12 +83,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, by_kind)], ["feature", "good", "poor", "toxic"])
 
 
-def log_odds(counts: Column, good: Column, n: int, n_good: int, least: float = 1.0, deviations: float = 3.0) -> Column:
-    """Log odds of a feature in a class against the good texts; 0 unless large and beyond chance."""
+def log_odds(counts: Column, good: Column, n: int, n_good: int, least: float = 1.0, deviations: float = 2.5) -> Column:
+    """Log odds of a feature in a class against the good texts, less so many standard errors; 0 if small or negative."""
     a, b = counts + F.lit(0.5), good + F.lit(0.5)
     odds = F.log(a / F.lit(n + 1.0)) - F.log(b / F.lit(n_good + 1.0))
-    error = F.sqrt(1 / a + 1 / b)
-    return F.when((F.abs(odds) >= least) & (F.abs(odds) >= F.lit(deviations) * error), odds).otherwise(F.lit(0.0))
+    return F.when(odds >= least, F.greatest(odds - F.lit(deviations) * F.sqrt(1 / a + 1 / b), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def kinds(labels: DataFrame, id_col: str) -> DataFrame:
@@ -98,46 +98,101 @@ def kinds(labels: DataFrame, id_col: str) -> DataFrame:
 
 
 class Evidence:
-    """Weights of features against poor and toxic texts, and the odds of these classes."""
+    """Weights of features against poor and toxic texts, and a logistic curve over their sums."""
 
-    def __init__(self, keys: np.ndarray, poor: np.ndarray, toxic: np.ndarray, prior: tuple[float, float]):
+    def __init__(self, keys: np.ndarray, poor: np.ndarray, toxic: np.ndarray, curve: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.weights, self.prior = keys[order], np.stack([poor[order], toxic[order]]), prior
+        self.keys, self.weights, self.curve = keys[order], np.stack([poor[order], toxic[order]]), curve
 
-    def good(self, texts: list[bytes]) -> np.ndarray:
-        """Probability that each text is neither poor nor toxic, by its own words."""
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Per text: 1, log of the words, sums of the weights of its shape, of its words, and of its words per hundred.
+
+        A long text meets more words that look telling by chance, so what counts is also
+        how densely they stand; its shape is not subject to that.
+        """
         n = len(texts)
         owner, h = features(texts)
+        shape = np.arange(len(h)) >= len(h) - n * len(GRADES)
+        words = np.bincount(owner, minlength=n) - len(GRADES)
+        sums = np.zeros((4, n))
         if len(self.keys):
             at = np.searchsorted(self.keys, h)
             at[at == len(self.keys)] = 0
             known = self.keys[at] == h
-            owner, at = _distinct(owner[known], at[known].astype(np.uint64))
-            at = at.astype(np.int64)
-            sums = [np.bincount(owner, weights=w[at], minlength=n) for w in self.weights]
-        else:
-            sums = [np.zeros(n)] * 2
-        odds = [p * np.exp(np.clip(s, -30, 30)) for p, s in zip(self.prior, sums, strict=True)]
-        return 1 / (1 + odds[0] + odds[1])
+            # Once per text, shapes apart from words.
+            group, at = _distinct((2 * owner + shape)[known], at[known].astype(np.uint64))
+            both = [np.bincount(group, weights=w[at.astype(np.int64)], minlength=2 * n) for w in self.weights]
+            sums = np.stack([*(b[1::2] for b in both), *(b[::2] for b in both)])
+        return np.stack([np.ones(n), np.log1p(words), *sums, *(sums[2:] / (1 + words / 100))], axis=1)
 
+    def good(self, texts: list[bytes]) -> np.ndarray:
+        """Probability that each text is neither poor nor toxic, by its own words."""
+        return 1 / (1 + np.exp(np.clip(self.sums(texts) @ self.curve, -30, 30)))
 
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Evidence:
-    """Learn from docs(id, text) the words and shapes that tell poor and toxic texts.
 
-    A feature counts once per text. Its log odds between a class and the good texts are
-    kept where they are beyond three standard errors and one in size, and are 0
-    otherwise: most words differ by chance only.
-    """
-    chosen = F.broadcast(labelled.orderBy(F.xxhash64("id"), "id").limit(sample))  # at most `sample` pairs of numbers
+def _weights(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counted = docs.join(chosen, "id").select("text", "kind").mapInArrow(_tally, "feature bigint, good bigint, poor bigint, toxic bigint")
-    per_kind = {r["kind"]: r["count"] for r in docs.select("id").join(chosen, "id").groupBy("kind").count().collect()}
+    per_kind = {r["kind"]: r["count"] for r in chosen.groupBy("kind").count().collect()}
     n = [per_kind.get(k, 0) for k in (GOOD, POOR, TOXIC)]
     sums = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("good", "poor", "toxic")])
-    weights = (sums.select("feature", *[log_odds(F.col(c), F.col("good"), n[k], n[GOOD]).alias(c) for c, k in (("poor", POOR), ("toxic", TOXIC))])
-               .filter("poor <> 0 OR toxic <> 0").toPandas())
-    prior = tuple((n[k] + 0.5) / (n[GOOD] + 1) for k in (POOR, TOXIC))
-    return Evidence(weights["feature"].to_numpy(np.int64).view(np.uint64), weights["poor"].to_numpy(float),
-                    weights["toxic"].to_numpy(float), prior)
+    found = (sums.select("feature", *[log_odds(F.col(c), F.col("good"), n[k], n[GOOD]).alias(c) for c, k in (("poor", POOR), ("toxic", TOXIC))])
+             .filter("poor <> 0 OR toxic <> 0").toPandas())
+    return found["feature"].to_numpy(np.int64).view(np.uint64), found["poor"].to_numpy(float), found["toxic"].to_numpy(float)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Coefficients of a logistic regression by Newton steps; the first column is the constant."""
+    if not len(y):
+        return np.append(-30.0, np.zeros(x.shape[1] - 1))  # nothing known: all texts are taken to be good
+    scale = np.append(1.0, np.maximum(x[:, 1:].std(axis=0), 1e-6))
+    z, w, penalty = x / scale, np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        step = np.linalg.solve(hessian, z.T @ (y - p) - penalty * w)
+        w += np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w / scale
+
+
+def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Evidence:
+    """Learn from docs(id, text) the words and shapes that tell poor and toxic texts.
+
+    A feature counts once per text. Its log odds between a class and the good texts
+    shrink by 2.5 standard errors, to 0 for most words, which differ by chance only; odds
+    below one are dropped, as the many common words they belong to go together, and so is
+    all that speaks for a text: a lack of common words is no proof of a good one. The
+    curve that turns sums of weights into a probability is fitted to one half of the
+    sample with weights from the other half, so it knows how much they promise too much.
+    """
+    scratch = Scratch(docs.sparkSession)
+    chosen = F.broadcast(scratch.cut(labelled.orderBy(F.xxhash64("id"), "id").limit(sample), "sample"))  # at most `sample` pairs of numbers
+    half = F.xxhash64(F.lit(2), "id") % 2 == 0
+    partial = Evidence(*_weights(docs, chosen.filter(half)), np.zeros(MEASURES))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = tx.blobs(batch.column("text"))
+            parts = [partial.sums(blobs[piece]) for piece in tx.chunks([len(b) for b in blobs], PIECE)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), *map(pa.array, np.concatenate(parts).T)],
+                                             ["id", "kind", *[f"x{k}" for k in range(MEASURES)]])
+
+    rest = docs.join(chosen.filter(~half), "id").select("id", "kind", "text")
+    measured = rest.mapInArrow(measure, ", ".join(["id bigint", "kind bigint", *[f"x{k} double" for k in range(MEASURES)]])).toPandas()
+    measured = measured.sort_values(list(measured.columns))  # the same sums in any run
+    x, y = measured[[f"x{k}" for k in range(MEASURES)]].to_numpy(), (measured["kind"] != GOOD).to_numpy(float)
+    # Evidence against a text never speaks for it: sums that would do so are left out.
+    used, curve = np.ones(MEASURES, bool), np.zeros(MEASURES)
+    while True:
+        curve[:] = 0
+        curve[used] = logistic(x[:, used], y)
+        against = used & (curve < 0)
+        against[:2] = False
+        if not against.any():
+            break
+        used &= ~against
+    return Evidence(*_weights(docs, chosen), curve)
 
 
 def strength(groups: DataFrame, centre: Column) -> float:

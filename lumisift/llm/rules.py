@@ -80,7 +80,7 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     return [round(MICRO * math.log((t + ADDED) / (r * target / raw + ADDED))) for r, t in (counts.get(b, (0, 0)) for b in range(BUCKETS))]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.05,
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.1,
                   trusted: int = TRUSTED, bucket_weights: list[int] | None = None) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept) per document.
 

@@ -29,7 +29,7 @@ def test_sites_of_few_documents_shrink(spark, make):
     # One site where half of the labelled texts are poor, and one with a single poor text.
     rows = [(i, f"text {i}", "big" if i < 200 else "fair" if i < 399 else "single") for i in range(400)]
     labels = labels_frame(spark, [(i, int(i % 2 == 0 if i < 200 else i < 399), 0) for i in range(400)])
-    plain = classify.Evidence(*([classify.np.zeros(0)] * 3), (0.1, 0.1))
+    plain = classify.Evidence(*([classify.np.zeros(0)] * 3), classify.np.array([-2.0] + [0] * 7))
     got = {r.doc_id: r for r in classify.quality(make(rows, extra=False), labels, evidence=plain).collect()}
     assert got[0].site < 0.6 < got[300].site and 0.5 < got[399].site < 0.9
 
