@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumisift.functions.vectors import matrix, squared_distances
+from lumisift.functions.vectors import matrix, nearest_rows
 from lumisift.operators.features import ml_vectors
 from lumisift.schemas import require
 from lumisift.session import cut
 
 # Centroids are a parameter of the user's choice and travel with the task code.
 MAX_CENTROIDS = 65_536
+MAX_CENTROID_BYTES = 256 << 20  # all centroids as doubles, on the driver and in every task
 CENTROIDS = "cluster int, centroid array<double>"
 
 
@@ -76,7 +77,7 @@ def _partial_sums(centroids: np.ndarray, features: str):
             if len(known) == 0:
                 continue
             x = matrix(known)
-            nearest = squared_distances(x, centroids).argmin(1)
+            nearest, _ = nearest_rows(x, centroids)
             n += np.bincount(nearest, minlength=k)
             np.add.at(sums, nearest, x)
         used = np.flatnonzero(n)
@@ -102,10 +103,9 @@ def assign_clusters(df: DataFrame, centroids: DataFrame, features: str = "featur
                             "distance": pd.Series(np.nan, index=vectors.index)})
         known = vectors.dropna()
         if len(known):
-            d = squared_distances(matrix(known), points)
-            best = d.argmin(1)
+            best, least = nearest_rows(matrix(known), points)
             out.loc[known.index, "cluster"] = labels[best]
-            out.loc[known.index, "distance"] = d[np.arange(len(best)), best]
+            out.loc[known.index, "distance"] = least
         return out
 
     return (df.withColumn("_near", nearest(F.col(features)))
@@ -119,6 +119,8 @@ def _centroid_matrix(centroids: DataFrame, with_labels: bool = False):
     rows = centroids.select("cluster", "centroid").orderBy("cluster").limit(MAX_CENTROIDS + 1).collect()
     if not 1 <= len(rows) <= MAX_CENTROIDS:
         raise ValueError(f"need 1 to {MAX_CENTROIDS} centroids")
+    if sum(len(r["centroid"]) for r in rows) * 8 > MAX_CENTROID_BYTES:
+        raise ValueError(f"centroids of more than {MAX_CENTROID_BYTES} bytes")
     points = np.array([r["centroid"] for r in rows], dtype=np.float64)
     return (points, np.array([r["cluster"] for r in rows], np.int32)) if with_labels else points
 

@@ -32,15 +32,20 @@ def cosine_pairs(df: DataFrame, threshold: float, features: str = "features", id
     cluster well. With `all_pairs=False` vectors similar to the pivot of their cell are
     linked to it and not compared with each other: the same groups, but a crowd of
     near copies costs a link per row. `lsh` (Charikar 2002) compares only vectors that agree on a band
-    of random hyperplane signs and may miss pairs; every score it gives is exact.
+    of random hyperplane signs and may miss pairs; every score it gives is exact. What it
+    finds does not depend on how crowded a bucket is: a bucket of many vectors is cut
+    into blocks that are compared two by two.
     """
     require(df, features, id_col)
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(features).alias("v"))
     rows = cut(rows.withColumn("u", unit(F.col("v"))).filter(F.col("u").isNotNull()), "vectors")
-    copies = copy_links(rows, F.col("v"))
-    first = rows.groupBy("v").agg(F.min("id").alias("id"))
+    # Copies meet by two hashes of the vector, not by the vector itself; -0.0 counts as 0.0.
+    plain = F.transform("v", lambda x: x + F.lit(0).cast("float"))
+    rows = rows.withColumn("h", F.struct(F.xxhash64(plain), F.xxhash64(F.lit(1), plain)))
+    copies = copy_links(rows, F.col("h"))
+    first = rows.groupBy("h").agg(F.min("id").alias("id"))
     distinct = rows.join(first.select("id"), "id", "left_semi").select("id", "u")
     if mode == "exact":
         near = _grid_pairs(distinct, threshold, block_rows, all_pairs)
@@ -121,31 +126,34 @@ def _block_product(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshol
     return pd.concat(found, ignore_index=True)
 
 
-def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int = 32, band_bits: int = 16, bucket_rows: int = 2_000,
+def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int = 32, band_bits: int | None = None, bucket_rows: int = 2_000,
                seed: int = 17) -> DataFrame:
-    """Vectors agreeing on all signs of a band; crowded buckets must agree on 32 more signs."""
+    """Vectors agreeing on all signs of a band.
+
+    `band_bits` follows the number of vectors unless given: some 64 unrelated vectors
+    share a bucket, however many there are. `bucket_rows` only cuts the work.
+    """
     distinct = cut(distinct, "units")
-    extra = 32
+    if band_bits is None:
+        band_bits = min(48, max(8, math.ceil(math.log2(max(1, distinct.count()) / 64))))
 
     @F.pandas_udf("array<bigint>")
     def signatures(u: pd.Series) -> pd.Series:
         if len(u) == 0:
             return pd.Series([], dtype=object)
         x = matrix(u)
-        planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * (band_bits + extra)))
-        signs = (x @ planes > 0).reshape(len(u), bands, band_bits + extra)
-        weights = 1 << np.arange(band_bits + extra, dtype=np.int64)
-        return pd.Series(list((signs * weights).sum(2)))
-
-    keyed = distinct.select("id", F.posexplode(signatures("u")).alias("band", "bits")).select(
-        "id", "band", F.col("bits").bitwiseAND(F.lit((1 << band_bits) - 1)).alias("key"),
-        F.shiftright("bits", band_bits).alias("more"))
-    counts = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    sized = (keyed.join(counts, ["band", "key"])
-             .withColumn("more", F.when(F.col("_n") > bucket_rows, F.col("more")).otherwise(F.lit(0).cast("bigint"))))
-    a = sized.select("band", "key", "more", F.col("id").alias("id_a"))
-    b = sized.select("band", "key", "more", F.col("id").alias("id_b"))
-    candidates = a.join(b, ["band", "key", "more"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
+        planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * band_bits))
+        signs = (x @ planes > 0).reshape(len(u), bands, band_bits)
+        return pd.Series(list((signs * (1 << np.arange(band_bits, dtype=np.int64))).sum(2)))
+
+    keyed = distinct.select("id", F.posexplode(signatures("u")).alias("band", "key"))
+    counts = (keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+              .select("band", "key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
+    sized = keyed.join(counts, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = sized.withColumn("other", every).select("band", "key", F.col("part").alias("pa"), F.col("other").alias("pb"), F.col("id").alias("id_a"))
+    b = sized.withColumn("other", every).select("band", "key", F.col("other").alias("pa"), F.col("part").alias("pb"), F.col("id").alias("id_b"))
+    candidates = a.join(b, ["band", "key", "pa", "pb"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
     scored = (candidates.join(distinct.select(F.col("id").alias("id_a"), F.col("u").alias("ua")), "id_a")
               .join(distinct.select(F.col("id").alias("id_b"), F.col("u").alias("ub")), "id_b"))
     dot = F.round(F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
@@ -153,15 +161,28 @@ def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int = 32, band_bits
         "score", F.round("score", 6))
 
 
-def lsh_recall(df: DataFrame, threshold: float, share: float = 0.01, features: str = "features", id_col: str = "id",
+def lsh_recall(df: DataFrame, threshold: float, anchors: int = 200, features: str = "features", id_col: str = "id",
                **lsh) -> float:
-    """Share of exact pairs that `lsh` finds, measured on a fixed hash sample of the vectors.
+    """Share of the exact pairs of some vectors with all others that `lsh` finds.
 
-    A report on settings, not a filter: no pair is dropped by it.
+    The anchors are the vectors of lowest id hash, at most `anchors` of them; each is
+    compared with every row, so buckets are as crowded as they are in use.
     """
-    limit = int(share * (1 << 31))
-    part = df.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) < limit)
-    exact = cosine_pairs(part, threshold, features, id_col).filter(F.col("score") < 1)
-    near = cosine_pairs(part, threshold, features, id_col, mode="lsh", **lsh)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), unit(F.col(features)).alias("u")).filter(F.col("u").isNotNull())
+    rows = rows.groupBy(F.xxhash64("u"), F.xxhash64(F.lit(1), "u")).agg(F.min_by("u", "id").alias("u"), F.min("id").alias("id"))
+    rows = cut(rows.select("id", "u"), "units")
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(anchors).collect()
+    if not chosen:
+        return 1.0
+    points, ids = np.array([r["u"] for r in chosen]), np.array([r["id"] for r in chosen], np.int64)
+
+    def near(batches):
+        for batch in batches:
+            i, j = np.nonzero(np.round(matrix(batch["u"]) @ points.T, 9) >= threshold) if len(batch) else ([], [])
+            a, b = batch["id"].to_numpy()[i], ids[j]
+            yield pd.DataFrame({"id_a": np.minimum(a, b)[a != b], "id_b": np.maximum(a, b)[a != b]})
+
+    exact = cut(rows.mapInPandas(near, "id_a bigint, id_b bigint").distinct(), "anchors")
     total = exact.count()
-    return 1.0 if total == 0 else exact.join(near, ["id_a", "id_b"], "left_semi").count() / total
+    found = cosine_pairs(df, threshold, features, id_col, mode="lsh", **lsh)
+    return 1.0 if total == 0 else exact.join(found, ["id_a", "id_b"], "left_semi").count() / total

@@ -49,12 +49,15 @@ def tfidf_features(df: DataFrame, id_col: str = "id", tags: str = "tags", normal
                     F.when(F.col("_norm") > 0, F.col("weight") / F.col("_norm")).otherwise(F.lit(0.0)).alias("weight")))
 
 
-def tfidf_vectors(df: DataFrame, tags: str = "tags", out: str = "features", vocabulary: int = 1 << 18) -> DataFrame:
+def tfidf_vectors(df: DataFrame, tags: str = "tags", out: str = "features", vocabulary: int = 1 << 20) -> DataFrame:
     """The same weights as sparse ML vectors, for estimators that need them.
 
-    The vocabulary lives in the model, so it is bounded: the commonest tags win.
+    The vocabulary lives in the model, on the driver. No tag is cut off: more than
+    `vocabulary` different tags raise an error; `tfidf_features` has no such bound.
     """
     require(df, tags)
+    if (n := df.select(F.explode(tags).alias("tag")).distinct().count()) > vocabulary:
+        raise ValueError(f"{n} different tags are above the bound of {vocabulary}; use tfidf_features")
     model = CountVectorizer(inputCol=tags, outputCol="_tf", vocabSize=vocabulary, minDF=1.0).fit(df)
     counted = model.transform(df)
     weighted = IDF(inputCol="_tf", outputCol="_w").fit(counted).transform(counted)

@@ -50,12 +50,16 @@ def select_by_tag_rows(df: DataFrame, tag_rows: DataFrame, all_of: Sequence[str]
 
 
 def take_n(df: DataFrame, n: int, order_by: Sequence[str | Column] = ("id",)) -> DataFrame:
-    """The first `n` rows in an order that should end in a unique column."""
+    """The first `n` rows, in order. The order should end in a unique column.
+
+    However large `n` is the rows come sorted; beyond SMALL_N they are ranked by a range
+    sort, so that no task holds them all.
+    """
     if n < 0:
         raise ValueError("n must not be negative")
     if n <= SMALL_N:
         return df.orderBy(*order_by).limit(n)
-    return rank_rows(df, order_by, "_rank").filter(F.col("_rank") < n).drop("_rank")
+    return rank_rows(df, order_by, "_rank").filter(F.col("_rank") < n).orderBy("_rank").drop("_rank")
 
 
 def assign_batches(df: DataFrame, unit: int = 100, order_by: Sequence[str | Column] = ("id",),

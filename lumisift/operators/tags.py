@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lumisift.functions import tags as tg
 from lumisift.plans.skew import broadcast_if_small
 from lumisift.schemas import require
+from lumisift.session import cut
 
 EDIT_OPS = ("remove", "replace", "add")
+MOST_LITERAL = 256  # edits that go into the expression
 
 
 def format_tags(df: DataFrame, add_comma: bool = True, remove_underscore: bool = True,
@@ -51,39 +53,44 @@ def tag_counts(df: DataFrame, id_col: str = "id", tags: str = "tags") -> DataFra
 
 
 def edit_tags(df: DataFrame, edits: DataFrame, id_col: str = "id", tags: str = "tags",
-              dedupe: bool = True, sort: bool = False) -> DataFrame:
+              dedupe: bool = True, sort: bool = False, most_literal: int = MOST_LITERAL) -> DataFrame:
     """Apply a table `edits(op, tag, new_tag)` of bulk edits to a tag array.
 
     Order: remove, replace (one pass, no chaining), add if absent, dedupe (first
-    wins), sort. For a handful of literal edits, `functions.tags.edit_tag_array`
-    does the same without any join.
+    wins), sort. Two replacements of one tag by different tags raise an error. Every row
+    is edited by itself, whatever its id: null and repeated ids stay as they are.
+
+    Up to `most_literal` edits go into the expression and nothing is shuffled. Beyond
+    that rows are numbered, written, and their tags joined with the edits.
     """
     require(df, id_col, tags)
     require(edits, "op", "tag", "new_tag")
-    changes = (edits.filter(F.col("op").isin("remove", "replace"))
-               .groupBy("tag")
-               .agg(F.max(F.col("op") == "remove").alias("_remove"),
-                    F.min(F.when(F.col("op") == "replace", F.col("new_tag"))).alias("_new")))
-    rows = df.select(id_col, F.posexplode_outer(tags).alias("_pos", "tag"))
-    edited = (rows.join(broadcast_if_small(changes), "tag", "left")
-              .withColumn("tag", F.when(~F.coalesce("_remove", F.lit(False)),
-                                        F.coalesce("_new", "tag"))))
-    # A tag array is bounded by one image, so collecting it per id is safe.
-    packed = (edited.groupBy(id_col)
-              .agg(F.sort_array(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("_pos", "tag"))))
-                   .alias("_packed")))
-    additions = (edits.filter(F.col("op") == "add").agg(F.sort_array(F.collect_set("tag")).alias("_add")))
+    changes = (edits.filter(F.col("op").isin(*EDIT_OPS) & F.col("tag").isNotNull()).groupBy("tag")
+               .agg(F.max(F.col("op") == "remove").alias("remove"), F.max(F.col("op") == "add").alias("add"),
+                    F.min(F.when(F.col("op") == "replace", F.col("new_tag"))).alias("new"),
+                    F.max(F.when(F.col("op") == "replace", F.col("new_tag"))).alias("new2")))
+    changes = cut(changes, "edits")
+    n, clash = changes.agg(F.count(F.lit(1)), F.min(F.when(F.col("new") != F.col("new2"), F.col("tag")))).first()
+    if clash is not None:
+        raise ValueError(f"{clash!r} has two replacements")
+    present = F.filter(tags, lambda t: t.isNotNull())
+    if n <= most_literal:
+        rows = changes.collect()
+        return df.withColumn(tags, tg.edit_tag_array(
+            present, [r.tag for r in rows if r.remove], {r.tag: r.new for r in rows if r.new is not None and not r.remove},
+            sorted(r.tag for r in rows if r.add), dedupe, sort))
+    numbered = cut(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("_row", F.posexplode_outer(present).alias("_pos", "tag"))
+    edited = (rows.join(broadcast_if_small(changes.select("tag", "remove", "new")), "tag", "left")
+              .withColumn("tag", F.when(~F.coalesce("remove", F.lit(False)), F.coalesce("new", "tag"))))
+    # A tag array is bounded by one image, so collecting it per row is safe.
+    packed = edited.groupBy("_row").agg(F.sort_array(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("_pos", "tag")))).alias("_packed"))
+    additions = changes.filter("add").agg(F.sort_array(F.collect_list("tag")).alias("_add"))
     kept = F.transform("_packed", lambda s: s["tag"])
-    out = F.concat(kept, F.array_except(F.col("_add"), kept))
-    if dedupe:
-        out = F.array_distinct(out)
-    if sort:
-        out = F.sort_array(out)
-    result = packed.withColumn("_add", additions.scalar()).select(id_col, out.alias(tags))
-    rest = [c for c in df.columns if c not in (id_col, tags)]
-    if not rest:
-        return result
-    return df.select(id_col, *rest).join(result, id_col).select(*df.columns)
+    out = F.concat(kept, F.array_except(additions.scalar(), kept))
+    out = F.array_distinct(out) if dedupe else out
+    packed = packed.select("_row", (F.sort_array(out) if sort else out).alias("_tags"))
+    return numbered.join(packed, "_row").withColumn(tags, F.col("_tags")).select(*df.columns)
 
 
 def filename_tags(df: DataFrame, regex: str = "", path: str = "path", out: str = "tags") -> DataFrame:

@@ -12,7 +12,7 @@ from lumisift.functions import hashing as hs
 from lumisift.operators import (batch, clusters, cosine, exact, features, fingerprints, groups, hamming, index, jaccard,
                                 quality, select, tags)
 from lumisift.plans import curation
-from lumisift.session import fresh_dir, ship, spread
+from lumisift.session import cut, fresh_dir, ship
 from lumisift.sources import archives, captions, files, image_info, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- shared inputs ---------------------------------------------------------
@@ -427,7 +427,7 @@ WITH {ASSIGNED}, {updated_sql(0)}, {assigned_sql(1)}, {updated_sql(1)}, {assigne
 SELECT vec_id, cluster FROM a3""")
 def lloyd_clusters(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    start = clusters.mean_centroids(rows, "label")
+    start = cut(clusters.mean_centroids(rows, "label"), "start")
     fitted = clusters.fit_clusters(rows, start.count(), "lloyd", start, rounds=3, id_col="vec_id")
     return clusters.assign_clusters(rows, fitted).select("vec_id", "cluster")
 
@@ -570,9 +570,48 @@ def scan_files(spark, sf_dir):
 
 
 @query("archive_round_trip", """
-SELECT concat(source, '/', doc_id, '.txt') AS member, octet_length(encode(text)) AS length, sha256(text) AS hash FROM documents""")
+SELECT concat(source, '/', doc_id, '.txt') AS member, octet_length(encode(text)) AS length, sha256(text) AS hash,
+       NULL::VARCHAR AS error FROM documents""")
 def archive_round_trip(spark, sf_dir):
     folder, packed = caption_folder(spark, sf_dir), fresh_dir(spark, "archive")
     archives.export_archive(files.scan_files(spark, [folder]), folder, packed, shards=4)
     members = archives.import_archive(files.scan_files(spark, [packed], "*.zip"))
-    return members.filter("error IS NULL").select("member", "length", F.sha2("content", 256).alias("hash"))
+    return members.select("member", "length", F.sha2("content", 256).alias("hash"), "error")
+
+
+@query("extract_archive", """
+SELECT concat(source, '/', doc_id, '.txt') AS member, octet_length(encode(text)) AS length, text AS caption, NULL::VARCHAR AS error
+FROM documents""")
+def extract_archive(spark, sf_dir):
+    folder, packed, out = caption_folder(spark, sf_dir), fresh_dir(spark, "archive"), fresh_dir(spark, "extracted")
+    archives.export_archive(files.scan_files(spark, [folder]), folder, packed, shards=4)
+    done = cut(archives.extract_archive(files.scan_files(spark, [packed], "*.zip"), out), "done")
+    texts = captions.read_captions(spark, [out]).select(F.substring_index("path", "/", -2).alias("member"), "caption")
+    return done.join(texts, "member", "left").select("member", "length", "caption", "error")
+
+
+@query("cosine_pairs_lsh")
+def cosine_pairs_lsh(spark, sf_dir):
+    return cosine.cosine_pairs(table(spark, sf_dir, "embeddings"), 0.35, "embedding", "vec_id", mode="lsh")
+
+
+@query("jaccard_pairs_lsh")
+def jaccard_pairs_lsh(spark, sf_dir):
+    return jaccard.jaccard_pairs(documents(spark, sf_dir, "text"), hs.words(F.col("text")), 0.8, mode="lsh")
+
+
+@query("curation_flow", """
+WITH first AS (SELECT text, min(concat(source, '/', doc_id, '.txt')) AS member FROM documents GROUP BY text)
+SELECT member, octet_length(encode(text)) AS length,
+       len(list_filter(list_transform(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ','), lambda t: trim(t)), lambda t: t <> ''))::INTEGER AS tags
+FROM first""")
+def curation_flow(spark, sf_dir):
+    """Files on disk to an archive: scan, captions, copies dropped, tags parsed, export, listing."""
+    folder, packed = caption_folder(spark, sf_dir), fresh_dir(spark, "archive")
+    found = files.scan_files(spark, [folder])
+    paired = found.join(captions.read_captions(spark, [folder]), "path")
+    unique = cut(curation.drop_copies(paired, "caption", id_col="path"), "unique")
+    archives.export_archive(unique, folder, packed, shards=4)
+    members = archives.list_members(files.scan_files(spark, [packed], "*.zip"))
+    counted = tags.parse_tags(unique).select(F.substring_index("path", "/", -2).alias("member"), F.size("tags").alias("tags"))
+    return members.join(counted, "member", "left").select("member", "length", "tags")

@@ -91,14 +91,3 @@ def pin(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out an input of no more splits than cores, one partition per core.
-
-    Spark cuts a small input into one split per core, yet a file's rows all go to the
-    splits that hold the start of a row group. Such an input is at most cores x one
-    split in size, so the shuffle is small. Any larger table passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

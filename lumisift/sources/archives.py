@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 import zipfile
 import zlib
@@ -21,7 +22,10 @@ from lumisift.sources.captions import safe_join, unsafe_member
 from lumisift.sources.files import open_fs, to_uri
 
 SHARD_BYTES = 1 << 30
-MAX_MEMBER_BYTES = 1 << 30  # a binary cell cannot exceed 2 GiB
+SHARD_NAME = re.compile(r"part-\d{5,}\.zip")
+# What a binary cell holds. A larger member is an error row of `import_archive`;
+# `extract_archive` streams members of any size.
+MAX_MEMBER_BYTES = (1 << 31) - (1 << 20)
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1_000  # what a task holds before it hands rows on
 
 
@@ -115,17 +119,30 @@ class ZipShardWriter(DataSourceArrowWriter):
                     with source.open_input_stream(inner) as data, open_zips[shard][0].open(member, "w", force_zip64=True) as entry:
                         while chunk := data.read(1 << 20):
                             entry.write(chunk)
-        finally:
-            for archive, sink in open_zips.values():
-                archive.close()
+        except BaseException:
+            # Nobody else knows the names of this attempt's files.
+            for _, sink in open_zips.values():
                 sink.close()
+            for path in partial.values():
+                if system.get_file_info(path).type == pafs.FileType.File:
+                    system.delete_file(path)
+            raise
+        for archive, sink in open_zips.values():
+            archive.close()
+            sink.close()
         return Shards(partial)
 
     def commit(self, messages: list[Shards | None]) -> None:
         system, root = open_fs(self.folder)
+        written = set()
         for message in messages:
             for shard, path in (message.partial if message else {}).items():
-                system.move(path, f"{root}/part-{shard:05d}.zip")
+                system.move(path, name := f"{root}/part-{shard:05d}.zip")
+                written.add(name.rsplit("/", 1)[1])
+        # An export replaces the one before: shards it did not write are older.
+        for info in system.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if SHARD_NAME.fullmatch(info.base_name) and info.base_name not in written:
+                system.delete_file(info.path)
 
     def abort(self, messages: list[Shards | None]) -> None:
         system, _ = open_fs(self.folder)

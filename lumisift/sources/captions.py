@@ -7,31 +7,49 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lumisift.schemas import require
-from lumisift.sources.files import open_fs, outermost, plain_path, resolve_roots
+from lumisift.sources.files import open_fs, read_content, scan_files, to_uri
 
 
 def read_captions(spark: SparkSession, roots: Sequence[str], base: str | None = None) -> DataFrame:
-    """texts(path, caption): every `.txt` below the roots, one row per file, each path once."""
-    text = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-            .text(outermost(resolve_roots(roots, base)), wholetext=True))
-    return text.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("caption"))
+    """texts(path, caption): every `.txt` below the roots, in either case, one row per file.
+
+    Hidden names are read too. Bytes that are no UTF-8 become replacement characters. A
+    file that cannot be read fails the job: a caption that is silently missing would be
+    taken for none.
+    """
+    rows = read_content(scan_files(spark, roots, "*.[tT][xX][tT]", base).select("path"))
+    failed = F.raise_error(F.concat(F.lit("cannot read "), F.col("path"), F.lit(": "), F.col("error")))
+    text = F.when(F.col("error").isNotNull(), failed.cast("string")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    return rows.select("path", text.alias("caption"))
 
 
 def write_captions(df: DataFrame, folder: str, name: str = "name", caption: str = "caption") -> None:
     """Write one `<name>.txt` per row below `folder`, folders in the name included.
 
-    A null caption writes nothing. Each file appears under its final name only when
-    complete, and writing it again gives the same bytes, so repeated tasks are safe.
+    A null caption writes nothing; two rows of one name raise an error before anything is
+    written. Files are written under hidden names and get their own when the whole job
+    has succeeded; a failed job leaves none behind.
     """
     require(df, name, caption)
     rows = df.select(F.col(name).cast("string").alias("name"), F.col(caption).cast("string").alias("caption"))
+    rows = rows.filter(F.col("caption").isNotNull())
+    twice = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['n']} captions have the name {twice['name']!r}")
     df.sparkSession.dataSource.register(CaptionFolder)
-    rows.filter(F.col("caption").isNotNull()).write.format("caption_folder").mode("append").option("folder", folder).save()
+    rows.write.format("caption_folder").mode("append").option("folder", to_uri(folder)).save()
+
+
+def write_caption_table(df: DataFrame, folder: str, name: str = "name", caption: str = "caption") -> None:
+    """The same pairs as a Parquet table, for numbers of captions that no folder should hold as files."""
+    require(df, name, caption)
+    df.select(F.col(name).cast("string").alias("name"), F.col(caption).cast("string").alias("caption")).write.mode("overwrite").parquet(to_uri(folder))
 
 
 class CaptionFolder(DataSource):
@@ -50,7 +68,8 @@ class CaptionFolder(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: int
+    attempt: str
+    names: list[str]
 
 
 class CaptionFolderWriter(DataSourceArrowWriter):
@@ -58,22 +77,46 @@ class CaptionFolderWriter(DataSourceArrowWriter):
         self.folder = folder
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        """Files of one attempt at a task lie together in a hidden folder, under their final names below it."""
         system, root = open_fs(self.folder)
-        made, files = set(), 0
-        for batch in batches:
-            for name, caption in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = safe_join(root, f"{name}.txt")
-                parent = target.rsplit("/", 1)[0]
+        attempt, names, made = f"{root}/_{uuid.uuid4().hex}.part", [], set()
+        try:
+            for batch in batches:
+                for name, caption in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    target = safe_join(attempt, f"{name}.txt")
+                    parent = target.rsplit("/", 1)[0]
+                    if parent not in made:
+                        system.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    with system.open_output_stream(target) as out:
+                        out.write(caption.encode("utf-8"))
+                    names.append(f"{name}.txt")
+        except BaseException:
+            _remove(system, attempt)
+            raise
+        return Written(attempt, names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = open_fs(self.folder)
+        made = set()
+        for message in filter(None, messages):
+            for name in message.names:
+                parent = safe_join(root, name).rsplit("/", 1)[0]
                 if parent not in made:
                     system.create_dir(parent, recursive=True)
                     made.add(parent)
-                # The hidden name keeps a half-written file out of any scan.
-                partial = f"{parent}/_{uuid.uuid4().hex}.part"
-                with system.open_output_stream(partial) as out:
-                    out.write(caption.encode("utf-8"))
-                system.move(partial, target)
-                files += 1
-        return Written(files)
+                system.move(f"{message.attempt}/{name}", safe_join(root, name))
+            _remove(system, message.attempt)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, _ = open_fs(self.folder)
+        for message in filter(None, messages):
+            _remove(system, message.attempt)
+
+
+def _remove(system: pafs.FileSystem, folder: str) -> None:
+    if system.get_file_info(folder).type == pafs.FileType.Directory:
+        system.delete_dir(folder)
 
 
 def safe_join(root: str, member: str) -> str:

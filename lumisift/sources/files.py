@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 from itertools import islice
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.functions.tags import last_segment
-from lumisift.schemas import FILES, require
+from lumisift.schemas import FILES, require  # noqa: F401
 from lumisift.session import pin
 
 # Extensions taken for images.
@@ -48,18 +49,33 @@ def outermost(roots: list[str]) -> list[str]:
 
 
 def scan_files(spark: SparkSession, roots: Sequence[str], glob: str = "*", base: str | None = None) -> DataFrame:
-    """files(path, root, length, mtime) below all `roots`, each path once.
+    """files(path, root, length, mtime) below all `roots` whose names match `glob`, each path once.
 
-    Overlapping roots are normal: only the outermost are read, so no path can come
-    twice and none need be dropped. `root` is the longest root that holds the path.
-    The content column of the source is never asked for, so no file is opened. The
-    source passes over names that begin with `_` or `.`; `walk_files` does not.
+    Every file is listed, names that begin with `_` or `.` included, and roots are names
+    as they stand, whatever characters they hold. Folders are listed in tasks, level by
+    level, so the driver holds only the roots. Overlapping roots are normal: only the
+    outermost are listed, and `root` is the longest root that holds the path. No file is
+    opened.
     """
-    roots = resolve_roots(roots, base)
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).load(outermost(roots)))
-    rows = found.select(F.col("path"), "length", F.col("modificationTime").alias("mtime"))
-    return rows.select("path", _root_of(F.col("path"), roots).alias("root"), "length", "mtime")
+    found = walk_files(spark, roots, base)
+    return found if glob == "*" else found.filter(last_segment(F.col("path")).rlike(glob_pattern(glob)))
+
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a name pattern with `*`, `?`, `[...]` and `{a,b}`."""
+    out, depth, at = "", 0, 0
+    while at < len(glob):
+        c = glob[at]
+        if c == "[" and (end := glob.find("]", at + 2)) > 0:
+            out += "[" + glob[at + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("!", "^", 1) + "]"
+            at = end
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            out += "(?:" if c == "{" else ")"
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or ("|" if c == "," and depth else re.escape(c))
+        at += 1
+    return f"(?s)^{out}$"
 
 
 def _root_of(path: Column, roots: list[str]) -> Column:
@@ -128,9 +144,16 @@ def _entries(uri: str) -> Iterator[tuple[str, int | None, int, bool]]:
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """(file system, path inside it) of a URI; runs inside tasks."""
-    if urlparse(uri).scheme in ("", "file"):
+    scheme = urlparse(uri).scheme
+    if scheme in ("", "file"):
         return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(quote(uri, safe=":/@?&=,"))
+    if scheme in ("s3a", "s3n"):  # Spark's names for the same store
+        uri = "s3" + uri[len(scheme):]
+    try:
+        return pafs.FileSystem.from_uri(quote(uri, safe=":/@?&=,"))
+    except pa.ArrowInvalid as e:
+        # A path no reader here knows is a mistake of the caller, not a damaged file.
+        raise RuntimeError(f"no file system for {uri}: {e}") from e
 
 
 def is_image(path: Column) -> Column:
@@ -162,30 +185,3 @@ def read_content(files: DataFrame, path: str = "path") -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInPandas(load, f"{fields}, content binary, error string")
-
-
-def probe_ends(files: DataFrame, head: int = 16, tail: int = 64, path: str = "path") -> DataFrame:
-    """Add the first and last bytes of each file: two short reads, whatever the file's size."""
-    require(files, path)
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            heads, tails = [], []
-            for uri in batch[path]:
-                try:
-                    system, inner = open_fs(uri)
-                    with system.open_input_file(inner) as f:
-                        size = f.size()
-                        heads.append(f.read_at(min(head, size), 0))
-                        tails.append(f.read_at(min(tail, size), max(0, size - tail)))
-                except (OSError, pa.ArrowException):
-                    heads.append(None)
-                    tails.append(None)
-            yield batch.assign(head=heads, tail=tails)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInPandas(probe, f"{fields}, head binary, tail binary")
-
-
-def empty_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FILES)

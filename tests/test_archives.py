@@ -29,6 +29,20 @@ def test_single_shard_is_deflated(spark, image_tree, tmp_path):
         assert "sub dir/b.png" in z.namelist()
 
 
+def test_an_export_replaces_the_one_before(spark, image_tree, tmp_path):
+    found = files.scan_files(spark, [str(image_tree)])
+    archives.export_archive(found, str(image_tree), str(tmp_path / "o"), shards=4)
+    archives.export_archive(found, str(image_tree), str(tmp_path / "o"), shards=1)
+    assert [p.name for p in (tmp_path / "o").iterdir()] == ["part-00000.zip"]
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    found = spark.createDataFrame([("file:/gone/a.png", 1)], "path string, length bigint")
+    with pytest.raises(Exception):
+        archives.export_archive(found, "/gone", str(tmp_path / "o"), shards=1)
+    assert list((tmp_path / "o").iterdir()) == []
+
+
 def test_manifest_rules(spark):
     rows = spark.createDataFrame([("file:/x/a b.png",), ("file:/x/y/c.png",), ("file:/x/out.zip",), ("file:/x2/d.png",)], "path string")
     got = {r["path"]: r["member"] for r in archives.archive_manifest(rows, "file:/x/", "file:/x/out.zip").collect()}

@@ -116,3 +116,25 @@ def test_batch_model(spark):
     assert batch.infer_batch(df, good, "id bigint, n bigint").filter("n = 3").count() == 400
     with pytest.raises(Exception, match="model returned"):
         batch.infer_batch(df, lossy, "id bigint, n bigint").count()
+
+
+def test_strips_change_nothing():
+    import numpy as np
+
+    from lumisift.functions.vectors import nearest_rows, squared_distances
+
+    rng = np.random.default_rng(2)
+    x, c = rng.integers(0, 4, (50, 3)).astype(float), rng.integers(0, 4, (700, 3)).astype(float)
+    d = squared_distances(x, c)
+    at, least = nearest_rows(x, c, strip_bytes=8 * 256 * 5)
+    assert (at == d.argmin(1)).all() and (least == d.min(1)).all()
+
+
+def test_a_vocabulary_is_not_cut_off(spark):
+    from lumisift.operators import features
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c"])], "id int, tags array<string>")
+    with pytest.raises(ValueError, match="3 different tags"):
+        features.tfidf_vectors(df, vocabulary=1)
+    a, b = features.tfidf_vectors(df).orderBy("id").collect()
+    assert a["features"] != b["features"]

@@ -95,9 +95,9 @@ def brute_jaccard(sets, percent):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bucket_rows, broadcast_rows", [(5000, 10**6), (3, 10**6), (3, 5)])
+@pytest.mark.parametrize("bucket_rows, broadcast_bytes", [(5000, 10**6), (3, 10**6), (3, 5)])
 @pytest.mark.parametrize("percent", [30, 60, 80, 100])
-def test_jaccard_equals_brute_force(spark, percent, bucket_rows, broadcast_rows):
+def test_jaccard_equals_brute_force(spark, percent, bucket_rows, broadcast_bytes):
     rng = random.Random(percent)
     words = [f"w{i}" for i in range(40)]
     base = [rng.sample(words, rng.randint(1, 14)) for _ in range(15)]
@@ -108,7 +108,7 @@ def test_jaccard_equals_brute_force(spark, percent, bucket_rows, broadcast_rows)
             s ^= {rng.choice(words)}
         sets.append((i, s))
     df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets], "id bigint, text string").repartition(3)
-    got = jaccard.jaccard_pairs(df, hs.words(F.col("text")), percent / 100, bucket_rows=bucket_rows, broadcast_rows=broadcast_rows)
+    got = jaccard.jaccard_pairs(df, hs.words(F.col("text")), percent / 100, bucket_rows=bucket_rows, broadcast_bytes=broadcast_bytes)
     assert pairs(got) == brute_jaccard(sets, percent)
 
 
@@ -185,7 +185,10 @@ def test_cosine_lsh_recall(spark):
     full = set(pairs(cosine.cosine_pairs(df, 0.97), "score"))
     near = set(pairs(cosine.cosine_pairs(df, 0.97, mode="lsh", bands=24, band_bits=8), "score"))
     assert near <= full and len(near) > 0.9 * len(full)
-    assert cosine.lsh_recall(df, 0.97, 1.0, bands=24, band_bits=8) > 0.9
+    assert cosine.lsh_recall(df, 0.97, bands=24, band_bits=8) > 0.9
+    # What is found does not depend on how buckets are cut.
+    cut_small = set(pairs(cosine.cosine_pairs(df, 0.97, mode="lsh", bands=24, band_bits=8, bucket_rows=2), "score"))
+    assert cut_small == set(pairs(cosine.cosine_pairs(df, 0.97, mode="lsh", bands=24, band_bits=8, bucket_rows=100_000), "score")) == near
 
 
 def components(edges):
@@ -247,3 +250,16 @@ def test_partitions_do_not_matter(spark, partitions):
     got = (pairs(p, "score"), pairs(h, "distance"), sorted(tuple(r) for r in duplicate_groups(p).collect()))
     first = test_partitions_do_not_matter.__dict__.setdefault("first", got)
     assert got == first
+
+
+def test_vectors_with_nan_or_infinity_pair_with_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, None), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    for all_pairs in (True, False):
+        got = cosine.cosine_pairs(df, 0.9, all_pairs=all_pairs).collect()
+        assert [(r.id_a, r.id_b) for r in got] == [(1, 2)]
+
+
+def test_zero_has_one_sign(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0])], "id long, features array<double>")
+    assert [(r.id_a, r.id_b, r.score) for r in cosine.cosine_pairs(df, 0.9).collect()] == [(1, 2, 1.0)]

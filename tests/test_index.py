@@ -43,7 +43,7 @@ def test_pages_cover_everything_once(spark):
 def test_scan_lists_each_path_once(spark, image_tree):
     roots = [str(image_tree), str(image_tree / "sub dir"), f" {image_tree}/../{image_tree.name} "]
     found = {r["path"].rsplit("/", 1)[1]: r["root"] for r in files.scan_files(spark, roots, "*.png").collect()}
-    assert set(found) == {"a.png", "b.png", "c.png", "trunc.png", "late.png", "info.png", "wide.png"}
+    assert set(found) == {"a.png", "b.png", "c.png", "trunc.png", "late.png", "info.png", "wide.png", "_h.png", ".d.png"}
     assert found["a.png"] == f"file:{image_tree}" and found["b.png"] == f"file:{image_tree}/sub dir"
 
 
@@ -53,8 +53,23 @@ def test_walk_adds_hidden_files(spark, image_tree):
     assert len(names) == len(set(names)) == 11 and {"_h.png", ".d.png"} <= set(names)
     common = ["path", "root", "length", "mtime"]
     scanned = files.scan_files(spark, [str(image_tree), str(image_tree / "sub dir")])
-    visible = walked.filter(~F.regexp_extract("path", "[^/]*$", 0).rlike("^[_.]"))
-    assert {tuple(r) for r in visible.select(common).collect()} == {tuple(r) for r in scanned.select(common).collect()}
+    assert {tuple(r) for r in walked.select(common).collect()} == {tuple(r) for r in scanned.select(common).collect()}
+
+
+def test_roots_are_names_not_patterns(spark, tmp_path):
+    for name in ("set [1]", "set 1", "a{b}*"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.TXT").write_text(name)
+    for name in ("set [1]", "set 1", "a{b}*"):
+        assert [r["path"] for r in files.scan_files(spark, [str(tmp_path / name)]).collect()] == [f"file:{tmp_path}/{name}/{name}.TXT"]
+        assert [r["caption"] for r in captions.read_captions(spark, [str(tmp_path / name)]).collect()] == [name]
+
+
+@pytest.mark.parametrize("glob, name, want", [
+    ("*.{png,jpg}", "a.jpg", True), ("*.{png,jpg}", "a.gif", False), ("a?.txt", "ab.txt", True), ("a?.txt", "a.txt", False),
+    ("[!a]*", "b", True), ("[!a]*", "a", False), ("a+(b)", "a+(b)", True), ("*", "", True)])
+def test_name_patterns(spark, glob, name, want):
+    assert spark.range(1).select(F.lit(name).rlike(files.glob_pattern(glob))).first()[0] is want
 
 
 def test_relative_roots(tmp_path):
@@ -65,7 +80,7 @@ def test_captions_and_orphans(spark, image_tree):
     images = files.scan_files(spark, [str(image_tree)], "*.png")
     texts = captions.read_captions(spark, [str(image_tree)])
     paired = {r["path"].rsplit("/", 1)[1]: r["caption"] for r in index.attach_captions(images, texts).collect()}
-    assert paired["a.png"] == "1girl, solo" and paired["b.png"] is None and len(paired) == 7
+    assert paired["a.png"] == "1girl, solo" and paired["b.png"] is None and len(paired) == 9
     assert [r["path"].rsplit("/", 1)[1] for r in index.orphan_captions(images, texts).collect()] == ["orphan.txt"]
 
 
@@ -76,8 +91,13 @@ def test_written_captions_read_back(spark, tmp_path):
     got = {r["path"].split(f"{tmp_path.name}/")[1]: r["caption"] for r in captions.read_captions(spark, [str(tmp_path)]).collect()}
     assert got == {"a.txt": "x, y", "deep/er/b c.txt": "né\nz"}
     assert not [p for p in tmp_path.rglob("*") if p.name.endswith(".part")]
+    with pytest.raises(ValueError, match="2 captions have the name 'a'"):
+        captions.write_captions(spark.createDataFrame([("a", "1"), ("a", "2")], "name string, caption string"), str(tmp_path))
+    captions.write_caption_table(df, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
     with pytest.raises(Exception, match="unsafe"):
         captions.write_captions(spark.createDataFrame([("../up", "x")], "name string, caption string"), str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.name.endswith(".part")]
 
 
 def test_arrivals_are_taken_once(spark, tmp_path):

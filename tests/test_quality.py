@@ -15,11 +15,11 @@ def names(df, *columns):
 def test_report_finds_cut_files(spark, image_tree):
     found = files.scan_files(spark, [str(image_tree)])
     report = names(quality.check_images(found, quality.REPORT), "problem")
-    assert report == {"a.png": None, "b.png": None, "c.png": None, "info.png": None, "wide.png": None,
-                      "trunc.png": "truncated", "late.png": "truncated"}
-    assert set(names(quality.check_images(found, quality.DELETE), "path")) == {"a.png", "b.png", "c.png", "info.png", "wide.png"}
+    sound = {"a.png", "b.png", "c.png", "info.png", "wide.png", "_h.png", ".d.png", "a.txt", "orphan.txt"}
+    assert report == dict.fromkeys(sound) | {"trunc.png": "truncated", "late.png": "truncated"}
+    assert set(names(quality.check_images(found, quality.DELETE), "path")) == sound
     repaired = names(quality.check_images(found, quality.REPAIR), "quarantine")
-    assert repaired["trunc.png"] and not repaired["a.png"] and len(repaired) == 7
+    assert repaired["trunc.png"] and not repaired["a.png"] and len(repaired) == 11
     assert quality.check_images(found, quality.SKIP).columns == found.columns
     with pytest.raises(ValueError):
         quality.check_images(found, 3)
@@ -37,9 +37,26 @@ def test_decode_flag_counts_too(spark, image_tree):
 def test_formats(spark):
     rows = [("jpeg", b"\xff\xd8\xff\xe0" + b"0" * 50 + b"\xff\xd9\0\0"), ("cut jpeg", b"\xff\xd8\xff\xe0" + b"0" * 90),
             ("gif", b"GIF89a" + b"0" * 30 + b";"), ("other", b"hello"), ("empty", b""), ("null", None)]
+    gif = b"GIF89a" + bytes([1, 0, 1, 0, 0x80, 0, 0]) + b"\0" * 6 + b"!\xf9\x04\0\0\0\0\0" + b",\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    bmp, webp = b"BM" + (60).to_bytes(4, "little") + b"0" * 54, b"RIFF" + (20).to_bytes(4, "little") + b"WEBP" + b"0" * 16
+    rows += [("real gif", gif), ("cut real gif", gif[:-3]), ("gif, one mark", b"GIF89a" + b"\0" * 7 + b";" + b"\0" * 60), ("bmp", bmp), ("cut bmp", bmp[:-1]),
+             ("webp", webp), ("cut webp", webp[:-2]), ("jpeg, trailer", b"\xff\xd8\xff\xe0" + b"0" * 50 + b"\xff\xd9" + b"t" * 500)]
     df = spark.createDataFrame(rows, "name string, content binary")
     got = {r["name"]: r["problem"] for r in quality.check_content(df, quality.REPORT).collect()}
-    assert got == {"jpeg": None, "cut jpeg": "truncated", "gif": None, "other": "unknown format", "empty": "unreadable", "null": "unreadable"}
+    bad = {"cut jpeg", "gif", "cut real gif", "cut bmp", "cut webp"}
+    assert got == {n: "unreadable" if n in ("empty", "null") else "truncated" if n in bad else None for n, _ in rows}
+
+
+def test_files_that_cannot_be_read_are_not_deleted(spark, image_tree):
+    found = files.scan_files(spark, [str(image_tree)], "a.png").select("path").unionByName(spark.createDataFrame([("file:/nowhere/x.png",)], "path string"))
+    assert names(quality.check_images(found, quality.DELETE), "error")["x.png"] and len(quality.check_images(found, quality.DELETE).collect()) == 2
+    assert names(quality.check_images(found, quality.REPORT), "problem") == {"a.png": None, "x.png": None}
+    with pytest.raises(Exception, match="no file system"):
+        quality.check_images(spark.createDataFrame([("odd://a/x.png",)], "path string")).collect()
+
+
+def test_names_of_object_stores():
+    assert files.open_fs("s3a://bucket/a b.png")[1] == "bucket/a b.png" == files.open_fs("s3n://bucket/a b.png")[1]
 
 
 def test_generation_info(spark, image_tree):

@@ -60,6 +60,16 @@ def test_literal_edit_and_edit_table_agree(spark):
     assert table == {1: ["c", "new"], 2: ["new"], 3: ["new"], 4: ["d", "x", "new"]}  # one pass: a becomes c, not d
 
 
+def test_edit_keeps_every_row_on_both_paths(spark):
+    df = spark.createDataFrame([(None, ["a"]), (1, ["a", None, "b"]), (1, ["c"]), (2, None)], "id int, tags array<string>")
+    edits = spark.createDataFrame([("replace", "a", "x"), ("remove", "b", None), ("add", "z", None)], "op string, tag string, new_tag string")
+    for most in (256, 0):
+        got = sorted([(r["id"], tuple(r["tags"])) for r in tags.edit_tags(df, edits, most_literal=most).collect()], key=str)
+        assert got == sorted([(None, ("x", "z")), (1, ("x", "z")), (1, ("c", "z")), (2, ("z",))], key=str)
+    with pytest.raises(ValueError, match="two replacements"):
+        tags.edit_tags(df, edits.unionByName(spark.createDataFrame([("replace", "a", "y")], edits.schema.simpleString()[7:-1].replace(":", " "))))
+
+
 def test_edit_table_keeps_other_columns_and_repeats(spark):
     df = spark.createDataFrame([(1, "p", ["a", "a"])], "id int, path string, tags array<string>")
     edits = spark.createDataFrame([("remove", "z", None)], "op string, tag string, new_tag string")
