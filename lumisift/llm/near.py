@@ -16,6 +16,7 @@ BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 # Of 200 coordinates a pair at 0.8 agrees in 160 +- 5.7; below 116 is eight deviations away.
 SIGNED, MIN_AGREE = 200, 116
+TURNS = 3  # further pivots that the odd members of crowded buckets meet before they meet all members
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal sets are one class, represented by its lowest id; only
     representatives are sketched into bands and compared. Each bucket of a band first
     compares its members with one of them (its pivot), which joins most of them into
-    components; members outside the bucket's largest component are then compared with
-    all members of other components. So a bucket of k copies costs k comparisons, yet
+    components; in crowded buckets members outside the largest component then meet a few
+    more of its members, one at a time, and at last all members of other components. So a bucket of k copies costs k comparisons, yet
     every pair in a bucket is either compared or already connected. Candidates whose
     sketches disagree far beyond chance are dropped, all others are verified on their
     full sets.
@@ -171,17 +172,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(scratch, star, reps, docs, shingle, percent)
     groups = _components(links)
 
-    # Buckets that are not yet one component: their odd members meet all others.
-    placed = shared.join(groups, "id", "left").withColumn("comp", F.coalesce("group_id", "id")).select("key", "id", "comp")
-    per_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    split = (per_comp.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-             .filter("comps > 1").select("key", "main"))
     sizes = classed.filter("id = rep").groupBy("id").agg(F.max("n").alias("n"))
-    open_rows = scratch.cut(placed.join(split, "key").join(sizes, "id"), "open")
-    odd = open_rows.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    met = (odd.join(open_rows, "key").filter((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id")))
-                                             & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent))
-           .select(F.least("x", "id").alias("ia"), F.greatest("x", "id").alias("ib")).distinct().join(star, ["ia", "ib"], "left_anti"))
+    near_size = F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent
+    tested = star
+    for turn in range(TURNS + 1):
+        # Buckets that are not yet one component, and their odd members: those outside the largest.
+        placed = shared.join(groups, "id", "left").withColumn("comp", F.coalesce("group_id", "id")).select("key", "id", "comp")
+        per_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        split = (per_comp.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+                 .filter("comps > 1").select("key", "main"))
+        open_rows = scratch.cut(placed.join(split, "key").join(sizes, "id"), "open")
+        odd = open_rows.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        load = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("odd"))
+        rows, pairs = load.agg(F.sum("all"), F.sum(F.col("all") * F.col("odd"))).first()
+        if turn == TURNS or (pairs or 0) <= 4 * (rows or 0):
+            break
+        # Many pairs are left: the odd members first meet one more member of the largest component, another in each bucket.
+        more = open_rows.filter("comp = main").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key", F.lit(turn))).alias("p"))
+        met = (odd.join(more.select("key", "p.id", "p.n"), "key").filter(near_size)
+               .select(F.least("x", "id").alias("ia"), F.greatest("x", "id").alias("ib")).distinct().join(tested, ["ia", "ib"], "left_anti"))
+        met = scratch.cut(met, "met")
+        links = links.unionByName(_verified(scratch, met, reps, docs, shingle, percent))
+        tested = tested.unionByName(met)
+        groups = _components(links)
+        scratch.drop(open_rows)
+    met = (odd.join(open_rows, "key").filter((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id"))) & near_size)
+           .select(F.least("x", "id").alias("ia"), F.greatest("x", "id").alias("ib")).distinct().join(tested, ["ia", "ib"], "left_anti"))
     more = _verified(scratch, met, reps, docs, shingle, percent)
     scratch.drop(shared, open_rows, sketches)
     groups = _components(links.unionByName(more))
