@@ -52,7 +52,7 @@ def fit_clusters(df: DataFrame, k: int, method: str = "lloyd", init: DataFrame |
 
 def _lloyd(df: DataFrame, centroids: np.ndarray, rounds: int, features: str) -> np.ndarray:
     """Rounds of assign and mean. Each task sends one row of sums per cluster."""
-    data, dims = df.select(features), centroids.shape[1]
+    data, dims = cut(df.select(features), "features"), centroids.shape[1]
     schema = "cluster int, n bigint, " + ", ".join(f"s{i} double" for i in range(dims))
     for _ in range(rounds):
         partial = data.mapInPandas(_partial_sums(centroids.copy(), features), schema)

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lumisift.schemas import MEMBERS, require
+from lumisift.session import cut
 from lumisift.sources.captions import safe_join, unsafe_member
 from lumisift.sources.files import open_fs, to_uri
 
 SHARD_BYTES = 1 << 30
+SLICE_BYTES = 128 << 20  # packed bytes of one archive that one task reads
 SHARD_NAME = re.compile(r"part-\d{5,}\.zip")
 # What a binary cell holds. A larger member is an error row of `import_archive`;
 # `extract_archive` streams members of any size.
@@ -158,39 +160,53 @@ def list_members(archives: DataFrame, path: str = "path") -> DataFrame:
     Folder entries are left out. A broken archive gives one row with its error, and
     so does a member whose name would leave the target folder.
     """
+    return _listed(archives, path).drop("slice", "packed")
+
+
+def _listed(archives: DataFrame, path: str) -> DataFrame:
+    """The members with their packed size and `slice`, the place of that size in the archive in steps of SLICE_BYTES."""
     require(archives, path)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for uri in batch[path]:
-                rows = []
+                rows, before = [], 0
                 try:
                     with _open_zip(uri) as archive:
                         for info in archive.infolist():
                             if not info.is_dir():
                                 error = "unsafe name" if unsafe_member(info.filename) else None
-                                rows.append((uri, info.filename, info.file_size, error))
+                                rows.append((uri, info.filename, info.file_size, error, before // SLICE_BYTES, info.compress_size))
+                                before += info.compress_size
                 except (OSError, zipfile.BadZipFile, pa.ArrowException) as e:
-                    rows = [(uri, None, None, f"{type(e).__name__}: {e}")]
+                    rows = [(uri, None, None, f"{type(e).__name__}: {e}", 0, 0)]
                 for start in range(0, len(rows), 10_000):
-                    part = pd.DataFrame(rows[start:start + 10_000], columns=["archive", "member", "length", "error"])
+                    part = pd.DataFrame(rows[start:start + 10_000], columns=["archive", "member", "length", "error", "slice", "packed"])
                     yield part.astype({"length": "Int64"})
 
-    return archives.select(path).mapInPandas(entries, "archive string, member string, length bigint, error string")
+    return archives.select(path).mapInPandas(entries, "archive string, member string, length bigint, error string, slice bigint, packed bigint")
+
+
+def _placed(archives: DataFrame, path: str) -> DataFrame:
+    """Members dealt out by archive and slice: an archive below a slice is opened by one task.
+
+    The number of tasks follows the bytes. The listing is written once, so that counting
+    and reading do not list twice.
+    """
+    listed = cut(_listed(archives, path), "members")
+    total = listed.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
+    tasks = max(archives.sparkSession.sparkContext.defaultParallelism, math.ceil(total / SLICE_BYTES))
+    return listed.repartition(tasks, "archive", "slice").sortWithinPartitions("archive", "slice").drop("slice", "packed")
 
 
 def import_archive(archives: DataFrame, path: str = "path", max_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
     """members(archive, member, length, content, error): one row per file in the archives.
 
-    The directories are listed first and the members then spread over all tasks, so
-    one huge archive is read by many of them. A member above `max_bytes`, or damaged,
-    gives a row with its error and no content.
+    The directories are listed first and the members then dealt out in slices of so many
+    bytes, so one huge archive is read by many tasks and a small one by a single task. A
+    member above `max_bytes`, or damaged, gives a row with its error and no content.
     """
-    listed = list_members(archives, path)
-    tasks = archives.sparkSession.sparkContext.defaultParallelism
-    # Hashed by archive and member; sorted so that a task opens each archive once.
-    placed = listed.repartition(max(tasks, 1), F.xxhash64("archive", "member")).sortWithinPartitions("archive")
-    return placed.mapInPandas(lambda batches: _read_members(batches, max_bytes), MEMBERS)
+    return _placed(archives, path).mapInPandas(lambda batches: _read_members(batches, max_bytes), MEMBERS)
 
 
 # What a damaged archive or member raises.
@@ -274,9 +290,7 @@ def extract_archive(archives: DataFrame, out: str, path: str = "path") -> DataFr
         if rows:
             yield _frame(rows, ["archive", "member", "length", "error"])
 
-    tasks = archives.sparkSession.sparkContext.defaultParallelism
-    placed = list_members(archives, path).repartition(tasks, F.xxhash64("archive", "member")).sortWithinPartitions("archive")
-    return placed.mapInPandas(write, "archive string, member string, length bigint, error string")
+    return _placed(archives, path).mapInPandas(write, "archive string, member string, length bigint, error string")
 
 
 def _open_zip(uri: str) -> zipfile.ZipFile:

@@ -18,6 +18,9 @@ PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 TEXT_CHUNKS = (b"tEXt", b"zTXt", b"iTXt")
 
 
+MAX_TEXT = 64 << 20
+
+
 def read_generation_info(images: DataFrame, path: str = "path", content: str | None = None) -> DataFrame:
     """Add `info map<string,string>` and `error`: every text entry of each image, unparsed.
 
@@ -65,7 +68,7 @@ def png_text(f) -> dict[str, str]:
             if len(body) < length:
                 raise ValueError("cut off inside a text entry")
             key, value = _decode(kind, body)
-            out[key] = value
+            out[key] = f"{out[key]}\n{value}" if key in out else value  # a repeated keyword adds to the first
             f.seek(f.tell() + 4)
         else:
             f.seek(f.tell() + length + 4)
@@ -80,8 +83,17 @@ def _decode(kind: bytes, body: bytes) -> tuple[str, str]:
     if kind == b"tEXt":
         return name, rest.decode("latin-1")
     if kind == b"zTXt":
-        return name, zlib.decompress(rest[1:]).decode("latin-1")
+        return name, _inflate(rest[1:]).decode("latin-1")
     packed, rest = rest[:1] == b"\1", rest[2:]
     _, _, rest = rest.partition(b"\0")  # language
     _, _, text = rest.partition(b"\0")  # translated keyword
-    return name, (zlib.decompress(text) if packed else text).decode("utf-8")
+    return name, (_inflate(text) if packed else text).decode("utf-8")
+
+
+def _inflate(data: bytes) -> bytes:
+    """Unpacked text of at most MAX_TEXT bytes; more is an error of the file's row, not of the task."""
+    unpack = zlib.decompressobj()
+    out = unpack.decompress(data, MAX_TEXT)
+    if unpack.unconsumed_tail:
+        raise ValueError(f"text entry of more than {MAX_TEXT} bytes")
+    return out

@@ -101,3 +101,12 @@ def test_shards_are_stable(spark):
     a = archives.plan_shards(rows, 4).orderBy("member").collect()
     assert a == archives.plan_shards(rows.repartition(7), 4).orderBy("member").collect()
     assert archives.plan_shards(rows.withColumn("length", F.lit(archives.SHARD_BYTES // 10))).agg(F.max("shard")).first()[0] == 9
+
+
+def test_a_small_archive_is_opened_by_one_task(spark, image_tree, tmp_path, monkeypatch):
+    archives.export_archive(files.scan_files(spark, [str(image_tree)]), str(image_tree), str(tmp_path / "o"), shards=4)
+    placed = archives._placed(zips(spark, tmp_path / "o"), "path").select("archive", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(placed) == len({r["archive"] for r in placed})
+    monkeypatch.setattr(archives, "SLICE_BYTES", 100)
+    cut = archives._listed(zips(spark, tmp_path / "o"), "path").select("archive", "slice").distinct().count()
+    assert cut > len(placed)

@@ -119,3 +119,19 @@ def test_colour_order(spark):
     df = spark.createDataFrame([(r,) for r in row], "image struct<origin string, height int, width int, nChannels int, mode int, data binary>")
     assert df.schema["image"].dataType == IMAGE
     assert abs(df.select(pixels.grey_grid(1, 1)("image").alias("g")).first()["g"][0] - 255 * 0.114) < 1e-6
+
+
+def test_repeated_and_oversized_text_entries():
+    import io
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    start = b"\x89PNG\r\n\x1a\n"
+    twice = start + chunk(b"tEXt", b"k\0one") + chunk(b"zTXt", b"k\0\0" + zlib.compress(b"two")) + chunk(b"IEND", b"")
+    assert image_info.png_text(io.BytesIO(twice)) == {"k": "one\ntwo"}
+    bomb = start + chunk(b"zTXt", b"k\0\0" + zlib.compress(b"0" * (image_info.MAX_TEXT + 1)))
+    with pytest.raises(ValueError, match="more than"):
+        image_info.png_text(io.BytesIO(bomb))
