@@ -31,12 +31,17 @@ def _next(h: Column, other: Column, skip: int) -> Column:
     return F.zip_with(F.slice(h, 1, n), F.slice(other, skip + 1, n), lambda a, b: F.xxhash64(a, b))
 
 
-def _covered(h: Column, width: int) -> Column:
-    """Number of places in windows whose hash is found twice or more; h holds one hash per window start."""
-    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+def _placed(h: Column) -> Column:
+    """(hash, place) of all windows in order of the hash, or null if no hash is found twice."""
+    pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    return F.when(F.size(h) > F.size(F.array_distinct(h)), F.sort_array(pairs))
+
+
+def _covered(placed: Column, width: int) -> Column:
+    """Number of places in windows whose hash is found twice or more; `placed` is a column of its own, as it is read often."""
     n = F.size(placed)
     equal = F.zip_with(F.slice(placed, 1, n - 1), F.slice(placed, 2, n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.filter(equal, lambda p: p.isNotNull()))))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(equal, lambda p: p.isNotNull()))))
     # Windows in order of place: each adds what the one before has not covered.
     return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).alias("last")),
                        lambda s, i: F.struct((s["n"] + F.least(F.lit(width), i - s["last"])).cast("long").alias("n"), i.alias("last")),
@@ -48,13 +53,13 @@ def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_words = docs.withColumn("w", words(text)).withColumn("h1", _hashes(F.col("w"))).withColumn("h2", _next(F.col("h1"), F.col("h1"), 1))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    counted = with_words.withColumn("h3", _next(F.col("h2"), F.col("h1"), 2)).withColumn("lines", lines)
-    repeated = F.when(F.size("h3") == F.size(F.array_distinct("h3")), F.lit(0).cast("long")).otherwise(_covered(F.col("h3"), 3))
+    counted = with_words.withColumn("h3", _next(F.col("h2"), F.col("h1"), 2)).withColumn("placed", _placed(F.col("h3"))).withColumn("lines", lines)
+    repeated = F.when(F.col("placed").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("placed"), 3))
     return counted.withColumns({
         "n_words": F.size("w").cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_repeat_words": repeated,
-    }).drop("w", "h3", "lines")
+    }).drop("w", "h3", "placed", "lines")
 
 
 def _buckets() -> Column:
@@ -77,7 +82,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
             .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")))
     counts = {r.bucket: (r.raw, r.target) for r in rows.collect()}  # at most BUCKETS rows
     raw, target = (sum(c[k] for c in counts.values()) for k in (0, 1))
-    return [round(MICRO * math.log((t + ADDED) / (r * target / raw + ADDED))) for r, t in (counts.get(b, (0, 0)) for b in range(BUCKETS))]
+    scale = target / max(raw, 1)
+    return [round(MICRO * math.log((t + ADDED) / (r * scale + ADDED))) for r, t in (counts.get(b, (0, 0)) for b in range(BUCKETS))]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.1,
