@@ -212,7 +212,7 @@ def strength(groups: DataFrame, centre: Column) -> float:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-            path_col: str = "lang", threshold: float = 0.5, sample: int = SAMPLE, evidence: Evidence | None = None) -> DataFrame:
+            path_col: str = "lang", threshold: float = 0.25, sample: int = SAMPLE, evidence: Evidence | None = None) -> DataFrame:
     """(id_col, host, path, own, site, score, kept) for every document.
 
     `own` is the probability by the document's words and shape that it is neither poor
@@ -221,7 +221,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     are estimated from all hosts and paths; a site of few documents says little. Labels
     stand for the probability where there are any, and a document's own share is left
     out of its `site`. `score` moves the odds of `own` by those of the site against the
-    corpus; a document with a score of at least `threshold` is kept.
+    corpus; a document with a score of at least `threshold` is kept: by default one goes
+    only if that is three times as likely to be right.
 
     A null or empty text has only its shape as evidence. Null hosts and paths are sites
     of their own. A null id has no label; ids with several labels take the worst. Rows
