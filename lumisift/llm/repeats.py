@@ -17,6 +17,7 @@ from lumisift.llm.common import PIECE, Scratch, by_row
 GRAM = 40  # bytes of an anchor
 SHARD = 1 << 20  # bytes of text in one suffix array
 HOT = 1_000  # different neighbourhoods of one anchor that are still kept together
+_PLACE_BITS, _BLOCK = 24, 1 << 22  # places of one array that are numbered at a time
 _STEP = 8  # window starts of a part when the neighbourhoods of a hot anchor are cut up
 _BASE = 0xA24BAED4963EE407 | 1
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -35,6 +36,21 @@ class Grams:
         return tx.mix((self.sums[stop] - self.sums[start]) * inverse[start])
 
 
+def _least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least hash among each `width` neighbours, the first of equals.
+
+    The hash's upper 40 bits decide, whatever the length of the text: the order must not
+    depend on what a window is joined with.
+    """
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    least, have = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return (least & low).astype(np.int64)
+
+
 def anchors(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Cut the window starts of each text into runs that share an anchor.
 
@@ -50,15 +66,9 @@ def anchors(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, window: i
     if n < window:
         return {"text": empty, "x": empty, "more": empty, "offset": empty, "anchor": empty, "content": empty}
     grams = Grams(data)
-    bits = np.uint64(max(1, n.bit_length()))
     h = grams.of(slice(0, n - gram + 1), slice(gram, n + 1))
-    least = (h << bits) | np.arange(len(h), dtype=np.uint64)
-    width, have = window - gram + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
-    where = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    width = window - gram + 1
+    where = np.concatenate([_least_places(h[a:a + _BLOCK + width - 1], width) + a for a in range(0, len(h) - width + 1, _BLOCK)])
     text = np.repeat(np.arange(len(lengths)), np.maximum(lengths - window + 1, 0))
     counts = np.maximum(lengths - window + 1, 0)
     starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begins[text]
