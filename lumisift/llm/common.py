@@ -35,6 +35,8 @@ class Scratch:
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh_dir(self.spark, label)
         df.write.option("compression", "zstd").parquet(path)
+        # Shuffles behind the table are done with; Spark deletes their files when the driver collects garbage.
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = getattr(self, "_keep", []) + [out]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +42,27 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _least(a: np.ndarray) -> bytes:
-    """Non-negative whole numbers as a width and the fewest bytes each."""
+    """Non-negative whole numbers, packed: their width, and their lowest bytes, next bytes and so on, compressed."""
     top = int(a.max()) if len(a) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+    width = next(w for w in (1, 2, 3, 4, 5, 8) if top < 1 << (8 * w))
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view("<i8")[:, 0]
 
 
 # ---- blocks ------------------------------------------------------------------
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block: a = tokens as places in b, b = hashes of the block's words in order, c = ids, flags, lengths."""
+    """One row per block: a = tokens as places in b, b = hashes of the block's words in order, c = ids, flags, lengths.
+
+    `part` holds the place of the end, v the number of words: once the words are numbered, b is not read again.
+    """
     serial = 0
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
@@ -74,7 +82,8 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             writer.write_table(table)
         number = TaskContext.get().partitionId() << 32 | serial
         serial += 1
-        return _rows([(number, None, CODED, _least(codes[:-1]), hashes.tobytes(), sink.getvalue().to_pybytes(), len(tokens), len(hashes))])
+        place = int(np.searchsorted(hashes, END))
+        return _rows([(number, place, CODED, _least(codes[:-1]), hashes.tobytes(), sink.getvalue().to_pybytes(), len(tokens), len(hashes))])
 
     rows, size = [], 0
     for batch in batches:
@@ -93,7 +102,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.number = row["block"]
-        self.hashes = np.frombuffer(row["b"], np.uint64)
+        self.words = row["v"]
         self.codes = _wide(row["a"])
         with pa.ipc.open_stream(row["c"]) as reader:
             table = reader.read_all()
@@ -101,13 +110,12 @@ class Block:
         self.lengths = table.column("length").to_numpy()
         self.first = np.cumsum(self.lengths) - self.lengths
         self.learnt = np.repeat(~self.held, self.lengths)
-        end = int(np.searchsorted(self.hashes, END))
-        self.before = np.append(end, self.codes[:-1])
-        self.before[self.first] = end
+        self.before = np.append(row["part"], self.codes[:-1])
+        self.before[self.first] = row["part"]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(context, word, learnt tokens) of the distinct pairs, by context, and the place of each token's pair."""
-        n = len(self.hashes)
+        n = self.words
         keys, where = np.unique(self.before * n + self.codes, return_inverse=True)
         counts = np.bincount(where, weights=self.learnt, minlength=len(keys)).astype(np.int64)
         return keys // n, keys % n, counts, where
@@ -131,9 +139,10 @@ def _words_out(parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                counts = np.bincount(b.codes[b.learnt], minlength=len(b.hashes))
-                yield _rows([(b.number, p, CODED, b.hashes[s].tobytes(), _least(counts[s]), None, None, None)
-                             for p, s in _runs(_part_of(b.hashes, parts))])
+                hashes = np.frombuffer(row["b"], np.uint64)
+                counts = np.bincount(b.codes[b.learnt], minlength=len(hashes))
+                yield _rows([(b.number, p, CODED, hashes[s].tobytes(), _least(counts[s]), None, None, None)
+                             for p, s in _runs(_part_of(hashes, parts))])
     return fn
 
 
@@ -192,8 +201,8 @@ def _pairs_out(parts: int, heavy: int, total: int):
         block = Block(next(r for r in rows if r["kind"] == CODED))
         numbers, counts = _known(rows)
         context, word, learnt, _, part, order = _deal(block, numbers, counts, parts, heavy)
-        # The share of a word in all tokens to a sixteenth of an octave is close enough for seating.
-        share = np.rint(-16 * np.log2((counts + 0.5) / (total + 1))).astype(np.int64)
+        # The share of a word in all tokens to an eighth of an octave is close enough for seating.
+        share = np.rint(-8 * np.log2((counts + 0.5) / (total + 1))).astype(np.int64)
         out = []
         for p, s in _runs(part[order]):
             at = order[s]
@@ -310,7 +319,7 @@ def _pairs_met(level: Restaurant, sweeps: int, samples: int, seed: int, word_par
         customers = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
         share = np.zeros(len(keys))
         share[where] = np.concatenate(shares)
-        tables, totals = sample_tables(customers, keys // len(w_all), slices, np.exp2(-share / 16), level, sweeps, samples, seed + part)
+        tables, totals = sample_tables(customers, keys // len(w_all), slices, np.exp2(-share / 8), level, sweeps, samples, seed + part)
         out, at, cat = [], 0, 0
         for r, c, w in zip(rows, contexts, words, strict=True):
             mine, own = where[at:at + len(w)], u_where[cat:cat + len(c[0])]
@@ -442,6 +451,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_train, types = answered.filter("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     asked = answered.filter("block IS NOT NULL")
 
+    coded = coded.withColumn("b", F.lit(None).cast("binary"))
     sent = coded.unionByName(asked).groupBy("block").applyInArrow(_pairs_out(pair_parts, heavy, n_train), _SCHEMA)
     seated = scratch.cut(sent.groupBy("part").applyInArrow(_pairs_met(pairs, sweeps, samples, seed, word_parts), _SCHEMA), "pairs")
     # Words of more than `heavy` tokens: at most tokens / heavy of them.
