@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumisift.session import fresh_dir, ship
 
 # Texts are joined and worked on in pieces of about this many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from lumisift.llm import text as tx
 from lumisift.llm.common import PIECE, Scratch, by_row
 
 GRAM = 40  # bytes of an anchor
-SHARD = 1 << 20  # bytes of text in one suffix array
+SHARD = 1 << 19  # bytes of text in one suffix array
 HOT = 1_000  # different neighbourhoods of one anchor that are still kept together
 _PLACE_BITS, _BLOCK = 24, 1 << 22  # places of one array that are numbered at a time
 _STEP = 8  # window starts of a part when the neighbourhoods of a hot anchor are cut up
