@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumisift.llm import text as tx
 from lumisift.llm.common import Scratch
+from lumisift.session import fresh_dir
 
 BLOCK_BYTES = 4 << 20  # text in one block
 PART_ENTRIES = 1_500_000  # entries of all blocks that meet in one group
@@ -33,7 +34,7 @@ WORDS, PAIRS = Restaurant(0.65, 10.0), Restaurant(0.75, 5.0)
 _SCHEMA = "block bigint, part bigint, kind int, a binary, b binary, c binary, n bigint, v bigint"
 _NAMES = ["block", "part", "kind", "a", "b", "c", "n", "v"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-CODED, WORD_BACK, PAIR_OUT, PAIR_BACK, PARENT_OUT, PARENT_BACK = range(6)
+CODED, WORD_BACK, PAIR_OUT, PAIR_BACK, PARENT_OUT, PARENT_BACK, HASHES = range(7)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -59,9 +60,8 @@ def _wide(data: bytes) -> np.ndarray:
 # ---- blocks ------------------------------------------------------------------
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block: a = tokens as places in b, b = hashes of the block's words in order, c = ids, flags, lengths.
-
-    `part` holds the place of the end, v the number of words: once the words are numbered, b is not read again.
+    """Two rows per block. Its texts: a = tokens as places in the list of words, c = ids, flags, lengths, part = place of the
+    end, v = number of words. The list: a = hashes in order, b = learnt tokens of each, read until the words are numbered.
     """
     serial = 0
 
@@ -83,7 +83,11 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32 | serial
         serial += 1
         place = int(np.searchsorted(hashes, END))
-        return _rows([(number, place, CODED, _least(codes[:-1]), hashes.tobytes(), sink.getvalue().to_pybytes(), len(tokens), len(hashes))])
+        codes = codes[:-1]
+        learnt = np.repeat(~np.array([r[1] for r in rows], bool), lengths)
+        counts = np.bincount(codes[learnt], minlength=len(hashes))
+        return _rows([(number, place, CODED, _least(codes), None, sink.getvalue().to_pybytes(), len(tokens), len(hashes)),
+                      (number, None, HASHES, hashes.tobytes(), _least(counts), None, None, None)])
 
     rows, size = [], 0
     for batch in batches:
@@ -138,10 +142,8 @@ def _words_out(parts: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                hashes = np.frombuffer(row["b"], np.uint64)
-                counts = np.bincount(b.codes[b.learnt], minlength=len(hashes))
-                yield _rows([(b.number, p, CODED, hashes[s].tobytes(), _least(counts[s]), None, None, None)
+                hashes, counts = np.frombuffer(row["a"], np.uint64), _wide(row["b"])
+                yield _rows([(row["block"], p, HASHES, hashes[s].tobytes(), _least(counts[s]), None, None, None)
                              for p, s in _runs(_part_of(hashes, parts))])
     return fn
 
@@ -416,6 +418,19 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 10 == 0
 
 
+def _by_kind(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[int], None]]:
+    """`df` as a table with a folder for each kind of rows, and a way to delete a kind that is done with."""
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, label)
+    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
+
+    def drop(kind: int) -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return spark.read.schema(df.schema).parquet(path).select(*_NAMES), drop
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs: Restaurant = PAIRS, words: Restaurant = WORDS,
                 sweeps: int = 2, samples: int = 3, seed: int = 11, part_entries: int = PART_ENTRIES, heavy: int = HEAVY) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every text.
@@ -442,27 +457,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
-    coded = scratch.cut(source.mapInArrow(_code, _SCHEMA), "coded")
+    written, drop_written = _by_kind(source.mapInArrow(_code, _SCHEMA), "coded")
+    coded = written.filter(F.col("kind") == CODED)
     tokens, listed = coded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     word_parts, pair_parts = 1 + listed // part_entries, 1 + tokens // part_entries
 
-    sent = coded.mapInArrow(_words_out(word_parts), _SCHEMA)
+    sent = written.filter(F.col("kind") == HASHES).select(*_NAMES).mapInArrow(_words_out(word_parts), _SCHEMA)
     answered = scratch.cut(sent.groupBy("part").applyInArrow(_words_met(word_parts), _SCHEMA), "words")
     n_train, types = answered.filter("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     asked = answered.filter("block IS NOT NULL")
 
-    coded = coded.withColumn("b", F.lit(None).cast("binary"))
+    drop_written(HASHES)
     sent = coded.unionByName(asked).groupBy("block").applyInArrow(_pairs_out(pair_parts, heavy, n_train), _SCHEMA)
-    seated = scratch.cut(sent.groupBy("part").applyInArrow(_pairs_met(pairs, sweeps, samples, seed, word_parts), _SCHEMA), "pairs")
+    met = sent.groupBy("part").applyInArrow(_pairs_met(pairs, sweeps, samples, seed, word_parts), _SCHEMA)
+    seated, drop_seated = _by_kind(met, "pairs")
     # Words of more than `heavy` tokens: at most tokens / heavy of them.
     split: dict[int, list[int]] = {}
     if tokens > heavy:
-        for r in seated.filter("part = -1").toLocalIterator():
+        for r in seated.filter(F.col("kind") == PARENT_OUT).filter("part = -1").toLocalIterator():
             for word, *tables in zip(_wide(r.a).tolist(), *(x.tolist() for x in _unpack(r.b)), strict=True):
                 split[word] = [s + t for s, t in zip(split.get(word, [0] * samples), tables, strict=True)]
 
     sent = seated.filter(F.col("kind") == PARENT_OUT).filter("part >= 0").unionByName(asked)
     parents = scratch.cut(sent.groupBy("part").applyInArrow(_parents_met(words, word_parts, sweeps, samples, seed, types), _SCHEMA), "parents")
+    drop_seated(PARENT_OUT)
     sums = {r.m: (r.c, r.t) for r in parents.filter("block IS NULL").groupBy(F.expr("n & 255").alias("m"))
             .agg(F.sum(F.shiftright("n", 8)).alias("c"), F.sum("v").alias("t")).collect()}
     totals = [sums.get(m, (0, 0)) for m in range(samples)]
