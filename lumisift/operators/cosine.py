@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from lumisift.functions.vectors import matrix, unit
 from lumisift.operators.exact import copy_links
+from lumisift.plans.skew import broadcast_if_small
 from lumisift.schemas import require
 from lumisift.session import cut
 
 MAX_PIVOTS = 256  # bounds what the driver holds: pivots, cell statistics, cell pairs
+MISSED = 0.01  # chance that `lsh` misses a pair whose cosine is the threshold; likelier pairs are missed less
+SENT = 300  # products of two vectors that take as long as sending one vector to a task
 PAIRS = "id_a bigint, id_b bigint, score double"
 
 
@@ -32,9 +36,10 @@ def cosine_pairs(df: DataFrame, threshold: float, features: str = "features", id
     cluster well. With `all_pairs=False` vectors similar to the pivot of their cell are
     linked to it and not compared with each other: the same groups, but a crowd of
     near copies costs a link per row. `lsh` (Charikar 2002) compares only vectors that agree on a band
-    of random hyperplane signs and may miss pairs; every score it gives is exact. What it
-    finds does not depend on how crowded a bucket is: a bucket of many vectors is cut
-    into blocks that are compared two by two.
+    of random hyperplane signs and may miss pairs; every score it gives is exact. There are
+    as many bands as a pair at the threshold needs to be found but for a chance of MISSED,
+    whatever the number of vectors. What it finds does not depend on how crowded a bucket
+    is: a bucket of many vectors is cut into blocks that are compared two by two.
     """
     require(df, features, id_col)
     if not 0 < threshold <= 1:
@@ -108,34 +113,63 @@ def _grid_pairs(distinct: DataFrame, threshold: float, block_rows: int, all_pair
     return (met if all_pairs else met.unionByName(links)).withColumn("score", F.round("score", 6))
 
 
-def _block_product(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float, strip: int = 512) -> pd.DataFrame:
-    ids_r, y = right["id"].to_numpy(), matrix(right["u"])
-    ids_l = left["id"].to_numpy()
+def _block_product(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
+    if not len(left) or not len(right):
+        return _frame([])
+    return _frame(_products(left["id"].to_numpy(), matrix(left["u"]), right["id"].to_numpy(), matrix(right["u"]), same, threshold))
+
+
+def _products(ids_l: np.ndarray, x: np.ndarray, ids_r: np.ndarray, y: np.ndarray, same: bool, threshold: float,
+              strip: int = 512) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lower id, higher id, score) of the pairs of a row of x and a row of y, each pair once if they are the `same` rows."""
     found = []
-    for start in range(0, len(left) if len(right) else 0, strip):
-        x = matrix(left["u"].iloc[start:start + strip])
-        score = np.round(x @ y.T, 9)
+    for start in range(0, len(x), strip):
+        score = np.round(x[start:start + strip] @ y.T, 9)
         i, j = np.nonzero(score >= threshold)
         a, b = ids_l[start:start + strip][i], ids_r[j]
         keep = a < b if same else np.ones(len(a), bool)
-        found.append(pd.DataFrame({"id_a": np.minimum(a, b)[keep], "id_b": np.maximum(a, b)[keep],
-                                   "score": score[i, j][keep]}))
-    if not found:
-        return pd.DataFrame({"id_a": pd.Series(dtype="int64"), "id_b": pd.Series(dtype="int64"),
-                             "score": pd.Series(dtype="float64")})
-    return pd.concat(found, ignore_index=True)
+        found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], score[i, j][keep]))
+    return found
+
+
+def _frame(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b, score = zip(*found, strict=True) if found else [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    return pd.DataFrame({"id_a": np.concatenate(a), "id_b": np.concatenate(b), "score": np.concatenate(score)})
+
+
+def bands_needed(threshold: float, band_bits: int) -> int:
+    """Bands of so many signs that a pair at the threshold agrees on one of them but for a chance of MISSED."""
+    # Two vectors are on one side of a random plane with chance 1 - angle / pi. Scores are rounded to nine places.
+    alike = (1 - math.acos(threshold - 5e-10) / math.pi) ** band_bits
+    return 1 if alike >= 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-alike))
+
 
+def banding(n: int, threshold: float, bucket_rows: int, bands: int | None = None, band_bits: int | None = None) -> tuple[int, int]:
+    """(bands, signs per band) that find pairs at the threshold among `n` vectors with least work.
 
-def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int = 32, band_bits: int | None = None, bucket_rows: int = 2_000,
-               seed: int = 17) -> DataFrame:
+    More signs make smaller buckets and need more bands. A row is sent once per band and
+    block it meets, and multiplied with the rows of its bucket. At low thresholds no
+    signs at all can be cheapest: then one bucket holds all, cut into blocks.
+    """
+    def work(bits: int) -> float:
+        crowd = n / 2 ** bits
+        return bands_needed(threshold, bits) * (SENT * max(1.0, crowd / bucket_rows) + crowd / 2)
+
+    if band_bits is None:
+        fit = [b for b in range(49) if bands is None or bands_needed(threshold, b) <= bands]
+        band_bits = min(fit, key=work)
+    return bands_needed(threshold, band_bits) if bands is None else bands, band_bits
+
+
+def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int | None = None, band_bits: int | None = None,
+               bucket_rows: int = 2_000, seed: int = 17) -> DataFrame:
     """Vectors agreeing on all signs of a band.
 
-    `band_bits` follows the number of vectors unless given: some 64 unrelated vectors
-    share a bucket, however many there are. `bucket_rows` only cuts the work.
+    `bands` and `band_bits` follow the threshold and the number of vectors unless given
+    (see `banding`). `bucket_rows` only cuts the work.
     """
     distinct = cut(distinct, "units")
-    if band_bits is None:
-        band_bits = min(48, max(8, math.ceil(math.log2(max(1, distinct.count()) / 64))))
+    bands, band_bits = banding(distinct.count(), threshold, bucket_rows, bands, band_bits)
 
     @F.pandas_udf("array<bigint>")
     def signatures(u: pd.Series) -> pd.Series:
@@ -143,22 +177,53 @@ def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int = 32, band_bits
             return pd.Series([], dtype=object)
         x = matrix(u)
         planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * band_bits))
-        signs = (x @ planes > 0).reshape(len(u), bands, band_bits)
-        return pd.Series(list((signs * (1 << np.arange(band_bits, dtype=np.int64))).sum(2)))
-
-    keyed = distinct.select("id", F.posexplode(signatures("u")).alias("band", "key"))
-    counts = (keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("band", "key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
-    sized = keyed.join(counts, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = sized.withColumn("other", every).select("band", "key", F.col("part").alias("pa"), F.col("other").alias("pb"), F.col("id").alias("id_a"))
-    b = sized.withColumn("other", every).select("band", "key", F.col("other").alias("pa"), F.col("part").alias("pb"), F.col("id").alias("id_b"))
-    candidates = a.join(b, ["band", "key", "pa", "pb"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
-    scored = (candidates.join(distinct.select(F.col("id").alias("id_a"), F.col("u").alias("ua")), "id_a")
-              .join(distinct.select(F.col("id").alias("id_b"), F.col("u").alias("ub")), "id_b"))
-    dot = F.round(F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
-    return scored.select("id_a", "id_b", dot.alias("score")).filter(F.col("score") >= threshold).withColumn(
-        "score", F.round("score", 6))
+        bit, out = 1 << np.arange(band_bits, dtype=np.int64), []
+        strip = max(1, (4 << 20) // max(1, bands * band_bits))
+        for start in range(0, len(x), strip):
+            rows = x[start:start + strip]
+            out.extend((rows @ planes > 0).reshape(len(rows), bands, band_bits) @ bit)
+        return pd.Series(out)
+
+    signed = cut(distinct.select("id", "u", signatures("u").alias("keys")), "signed")
+    counts = signed.select(F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    crowded = broadcast_if_small(counts.filter(F.col("n") > bucket_rows).select("band", "key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    placed = (signed.select("id", "u", F.posexplode("keys").alias("band", "key")).join(crowded, ["band", "key"], "left")
+              .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))))
+    block = ["band", "key", "pa", "pb"]
+    sent = placed.select("band", "key", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"),
+                         (F.col("part") <= F.col("other")).alias("is_a"), "id", "u")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Multiply blocks that arrive one after another; the last of a batch may go on in the next."""
+        def settle(rows: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+            ids, x, is_a = rows["id"].to_numpy(), matrix(rows["u"]), rows["is_a"].to_numpy()
+            same, found = (rows["pa"] == rows["pb"]).to_numpy(), []
+            for begin, end in zip(begins, [*begins[1:], len(rows)], strict=True):
+                here = np.arange(begin, end)
+                left = here[is_a[here]]
+                right = left if same[begin] else here[~is_a[here]]
+                if len(left) and len(right):
+                    found += _products(ids[left], x[left], ids[right], x[right], same[begin], threshold)
+            return _frame(found)
+
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            rows = pd.concat([*rest, batch], ignore_index=True) if rest else batch
+            if not len(rows):
+                continue
+            keys = rows[block].to_numpy()
+            begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+            if len(begins) > 1:
+                yield settle(rows[:begins[-1]], begins[:-1])
+            rest = [rows[begins[-1]:]]
+        if rest:
+            yield settle(rest[0], np.zeros(1, np.int64))
+
+    met = sent.repartition(*block).sortWithinPartitions(*block).mapInPandas(meet, PAIRS)
+    # A pair may meet in many bands.
+    return met.groupBy("id_a", "id_b").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def lsh_recall(df: DataFrame, threshold: float, anchors: int = 200, features: str = "features", id_col: str = "id",

@@ -191,6 +191,20 @@ def test_cosine_lsh_recall(spark):
     assert cut_small == set(pairs(cosine.cosine_pairs(df, 0.97, mode="lsh", bands=24, band_bits=8, bucket_rows=100_000), "score")) == near
 
 
+def test_cosine_lsh_finds_pairs_at_the_threshold_of_the_query(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    for signs in ({}, {"band_bits": 8}):
+        assert cosine.lsh_recall(df, 0.35, features="embedding", id_col="vec_id", **signs) >= 0.9
+
+
+@pytest.mark.parametrize("n", [2_000, 10**6, 3 * 10**7])
+@pytest.mark.parametrize("t", [0.35, 0.85, 0.97, 1.0])
+def test_cosine_bands_follow_threshold_and_signs(n, t):
+    bands, bits = cosine.banding(n, t, 2_000)
+    alike = (1 - np.arccos(t) / np.pi) ** bits
+    assert 1 - (1 - alike) ** bands >= 0.98
+
+
 def components(edges):
     parent = {}
 
