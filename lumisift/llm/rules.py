@@ -8,9 +8,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumisift.llm.common import Scratch, few
+
 SPACE = " \t\n\x0b\x0c\r"
 BUCKETS = 1 << 16
-TRUSTED = 200_000  # labelled documents the trusted n-grams are counted in, those with the lowest hashes of their ids
 ADDED = 5.0
 MICRO = 1_000_000  # weights are whole millionths: sums are the same in any order
 
@@ -70,12 +71,12 @@ def _buckets() -> Column:
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Millionths of log(p / q) per bucket: p over the trusted texts, q over all texts.
 
-    docs(id, text); trusted(id) is small enough to send to all tasks. Both multinomials
-    are taken at the total of the trusted one, with ADDED in every bucket: what is seen a
+    docs(id, text); trusted(id) is a written table of any number of ids, each once, sent to
+    all tasks only while they are few. Both multinomials are taken at the total of the trusted one, with ADDED in every bucket: what is seen a
     few times only says little either way. Counts are summed in the tasks first, so what is
     shuffled and brought back is one row per bucket.
     """
-    marked = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "id", "left")
+    marked = docs.join(few(trusted).select("id", F.lit(1).alias("trusted")), "id", "left")
     h1 = _hashes(words(F.col("text")))
     hashed = marked.select("trusted", h1.alias("h1")).withColumn("h2", _next(F.col("h1"), F.col("h1"), 1))
     rows = (hashed.select("trusted", F.explode(_buckets()).alias("bucket")).groupBy("bucket")
@@ -87,7 +88,7 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.1,
-                  trusted: int = TRUSTED, bucket_weights: list[int] | None = None) -> DataFrame:
+                  bucket_weights: list[int] | None = None) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept) per document.
 
     base_failed: fewer than 50 words, or more than half of the words in three-word runs
@@ -104,7 +105,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if bucket_weights is None:
         per_id = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
         good = per_id.filter("q = 1 AND coalesce(t, 0) = 0 AND id IS NOT NULL").select("id")
-        good = good.orderBy(F.xxhash64("id"), "id").limit(trusted)
+        good = Scratch(docs.sparkSession).cut(good, "trusted")
         bucket_weights = [0] * BUCKETS if good.isEmpty() else weights(plain, good)
     # A constant array: 65,536 numbers in the plan, read by place.
     table = F.from_json(F.lit(json.dumps(bucket_weights)), "array<bigint>")

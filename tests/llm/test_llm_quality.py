@@ -79,6 +79,24 @@ def test_ratio_is_that_of_the_bucket_counts(spark, make):
         assert abs(r.ratio - want) < 2e-6
 
 
+def test_rules_count_all_trusted_documents(spark, monkeypatch):
+    n = 200_300
+    docs = spark.range(n).selectExpr("id AS doc_id", "'a b' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    seen, weights = [], rules.weights
+    monkeypatch.setattr(rules, "weights", lambda plain, trusted: seen.append(trusted.count()) or weights(plain, trusted))
+    rules.quality_rules(docs, labels)
+    assert seen == [n]
+
+
+def test_rules_weights_are_the_same_past_a_broadcast(spark, make, monkeypatch, messy):
+    rows = [*messy, (10, "good words here " * 20), (10, "more words " * 20), (11, "bad | stuff " * 20)]
+    labels = labels_frame(spark, [(1, 1, 0), (10, 1, 0), (11, 0, 0)])
+    sent = sorted(map(tuple, rules.quality_rules(make(rows, extra=False), labels).collect()), key=str)
+    monkeypatch.setattr(rules, "few", lambda ids: ids.hint("merge"))
+    assert sorted(map(tuple, rules.quality_rules(make(rows, extra=False), labels).collect()), key=str) == sent
+
+
 def test_rules_tell_junk_from_good_texts(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     kinds = classify.kinds(labels, "doc_id")
