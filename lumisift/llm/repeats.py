@@ -16,9 +16,8 @@ from lumisift.llm.common import PIECE, Scratch, by_row
 
 GRAM = 40  # bytes of an anchor
 SHARD = 1 << 19  # bytes of text in one suffix array
-HOT = 1_000  # different neighbourhoods of one anchor that are still kept together
+HOT = 1_000  # different neighbourhoods of one anchor that are still kept together; those of others go by windows
 _PLACE_BITS, _BLOCK = 24, 1 << 22  # places of one array that are numbered at a time
-_STEP = 8  # window starts of a part when the neighbourhoods of a hot anchor are cut up
 _BASE = 0xA24BAED4963EE407 | 1
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -107,35 +106,62 @@ def _runs(window: int):
     return fn
 
 
+_WINDOWS = "anchor bigint, content bigint, first bigint, last bigint"
+_PIECES = "anchor bigint, content bigint, weight bigint, bytes binary, part int, w1 bigint, w2 bigint"
+
+
 def _neighbourhoods(window: int):
-    """Bytes around each wanted anchor: (key, anchor, content, part, weight, bytes).
+    """Bytes around each wanted anchor: (anchor, content, weight, bytes, part, w1, w2).
 
-    The neighbourhoods of a hot anchor are cut into parts of a few window starts. All
-    windows of a part hold its core, the bytes common to them, and equal windows have
-    equal cores at equal offsets, so parts are dealt out by core.
+    The neighbourhoods of a hot anchor are not sent: each window of theirs, the one at
+    `part`, is named by two hashes, so that equal windows can be counted before they meet.
     """
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for raw, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            for w in wanted:
-                x, more, offset = w["at"] >> 24, w["at"] >> 12 & 0xFFF, w["at"] & 0xFFF
-                if not w["hot"]:
-                    rows.append((w["anchor"], w["anchor"], w["content"], 0, w["weight"], raw[x:x + more + window]))
-                    continue
-                # Starts by their distance to the anchor: start x + i is at distance offset - i.
-                low = offset - more
-                for block in range(low // _STEP, offset // _STEP + 1):
-                    far, close = min(offset, block * _STEP + _STEP - 1), max(low, block * _STEP)
-                    begin, end = x + offset - far, x + offset - close
-                    core = raw[x + offset - block * _STEP:x + offset - (block * _STEP + _STEP - 1) + window]
-                    code = hashlib.blake2b(core, digest_size=8, salt=block.to_bytes(4, "little"), key=w["anchor"].to_bytes(8, "little", signed=True))
-                    rows.append((int.from_bytes(code.digest(), "little", signed=True), w["anchor"], w["content"],
-                                 begin - x, w["weight"], raw[begin:end + window]))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                          ["key", "anchor", "content", "part", "weight", "bytes"])
-    return fn
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("weight", pa.int64()), ("bytes", pa.binary()),
+                        ("part", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        none = pa.nulls(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types[:4], strict=True)]
+                                          + [none.cast(t) for t in schema.types[4:]], schema=schema)
+
+    def cut_up(raw: bytes, w: dict) -> pa.RecordBatch:
+        x, n = w["at"] >> 24, (w["at"] >> 12 & 0xFFF) + 1
+        codes = b"".join(hashlib.blake2b(raw[i:i + window], digest_size=16).digest() for i in range(x, x + n))
+        codes = np.frombuffer(codes, np.int64).reshape(n, 2)
+        cols = [np.full(n, w["anchor"]), np.full(n, w["content"]), np.full(n, w["weight"]), pa.nulls(n, pa.binary()),
+                np.arange(n, dtype=np.int32), np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
+                raw, rows, cuts, n = text.as_py().encode(), [], [], 0
+                for w in wanted.as_py():
+                    x, more = w["at"] >> 24, w["at"] >> 12 & 0xFFF
+                    if not w["hot"]:
+                        rows.append((w["anchor"], w["content"], w["weight"], raw[x:x + more + window]))
+                        continue
+                    cuts.append(cut_up(raw, w))
+                    n += more + 1
+                    if n > 1 << 16:
+                        yield from pa.Table.from_batches(cuts).combine_chunks().to_batches()
+                        cuts, n = [], 0
+                if cuts:
+                    yield from pa.Table.from_batches(cuts).combine_chunks().to_batches()
+                if rows:
+                    yield sent(rows)
+    return run
+
+
+def _runs_of_parts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(anchor, content, first, last) of the parts that follow each other."""
+    rows = []
+    for anchor, content, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        p = np.sort(np.array(parts))
+        edge = np.flatnonzero(np.diff(p) > 1)
+        rows += [(anchor, content, int(i), int(j)) for i, j in zip(p[np.append(0, edge + 1)], p[np.append(edge, len(p) - 1)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["anchor", "content", "first", "last"])
 
 
 def repeated_windows(pieces: list[bytes], weights: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,20 +188,13 @@ def repeated_windows(pieces: list[bytes], weights: np.ndarray, window: int) -> t
 
 
 def _sorted_shards(window: int):
-    """Suffix-sort rows that arrive ordered by (key, content, part), whole keys at a time."""
+    """Suffix-sort rows (anchor, content, weight, bytes) that arrive ordered by anchor, whole anchors at a time.
+
+    An anchor has at most HOT rows here, each with bytes of its own.
+    """
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        merged: list[list] = []
-        for key, anchor, content, part, weight, raw in rows:
-            if merged and merged[-1][0] == key and merged[-1][5] == raw:
-                # The same bytes again: other places, unless the row only repeats one.
-                if (merged[-1][1:4]) != [anchor, content, part]:
-                    merged[-1][4] += weight
-                    merged[-1][6].append((anchor, content, part))
-            else:
-                merged.append([key, anchor, content, part, weight, raw, [(anchor, content, part)]])
-        piece, first, last = repeated_windows([m[5] for m in merged], np.array([m[4] for m in merged]), window)
-        out = [(*name[:2], name[2] + int(a), name[2] + int(b)) for p, a, b in zip(piece, first, last, strict=True)
-               for name in merged[p][6]]
+        piece, first, last = repeated_windows([r[3] for r in rows], np.array([r[2] for r in rows]), window)
+        out = [(*rows[p][:2], int(a), int(b)) for p, a, b in zip(piece, first, last, strict=True)]
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "content", "first", "last"])
 
@@ -188,7 +207,7 @@ def _sorted_shards(window: int):
                     yield settle(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[5])
+                size += len(row[3])
         if rows:
             yield settle(rows)
     return run
@@ -210,7 +229,9 @@ def repeated_passages(docs: DataFrame, window: int, scratch: Scratch) -> DataFra
     so equal windows meet without any window being sent alone. Anchors found in one
     place only leave here. Neighbourhoods with equal bytes are one piece with a weight.
     The pieces are joined into shards of bounded size by anchor, a suffix array of each
-    is built by induced sorting, and common prefixes tell the repeated windows.
+    is built by induced sorting, and common prefixes tell the repeated windows. Windows of
+    anchors with more than HOT neighbourhoods are counted one by one: however many texts
+    hold one, a task is sent one sum per task that read them.
     """
     found = by_row(docs.select(*text_key(), "text").filter(F.octet_length("text") >= window), _runs(window),
                    "anchor bigint, content bigint, ka bigint, kb bigint, at bigint")
@@ -223,10 +244,18 @@ def repeated_passages(docs: DataFrame, window: int, scratch: Scratch) -> DataFra
     first = F.min(F.struct("ka", "kb", "at")).alias("at")
     wanted = (places.groupBy("anchor", "content", "hot").agg(F.count(F.lit(1)).alias("weight"), first)
               .groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("anchor", "content", "hot", "weight", F.col("at.at").alias("at"))).alias("wanted")))
-    texts = docs.select(*text_key(), "text").join(wanted, ["ka", "kb"]).select("text", "wanted")
-    pieces = by_row(texts, _neighbourhoods(window), "key bigint, anchor bigint, content bigint, part int, weight bigint, bytes binary")
-    shards = pieces.repartition("key").sortWithinPartitions("key", "bytes", "anchor", "content", "part")
-    windows = scratch.cut(shards.mapInArrow(_sorted_shards(window), "anchor bigint, content bigint, first bigint, last bigint"), "windows")
+    # Copies of a text hold nothing new: one of them is read.
+    texts = (docs.filter(F.octet_length("text") >= window).select(*text_key(), "text").groupBy("ka", "kb").agg(F.first("text").alias("text"))
+             .join(wanted, ["ka", "kb"]).select("text", "wanted"))
+    pieces = scratch.cut(texts.mapInArrow(_neighbourhoods(window), _PIECES), "pieces")
+    shards = pieces.filter("bytes IS NOT NULL").select("anchor", "content", "weight", "bytes").repartition("anchor").sortWithinPartitions("anchor", "content")
+    sorted_out = shards.mapInArrow(_sorted_shards(window), _WINDOWS)
+    # Equal windows of hot anchors are summed in the tasks before they are sent.
+    single = pieces.filter("bytes IS NULL")
+    often = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2")
+    parts = single.join(often, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_list("part").alias("parts"))
+    windows = scratch.cut(sorted_out.unionByName(by_row(parts, _runs_of_parts, _WINDOWS)), "windows")
+    scratch.drop(pieces)
     x = F.shiftright("at", 24)
     spans = (places.join(windows, ["anchor", "content"])
              .select("ka", "kb", F.struct((x + F.col("first")).alias("first"), (x + F.col("last")).alias("last")).alias("span")).distinct()

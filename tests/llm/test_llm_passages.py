@@ -70,6 +70,41 @@ def test_hot_anchors_are_cut_up_without_loss(make, monkeypatch):
     assert found(repeats.passage_report(make(rows), window=64)) == brute(rows, 64)
 
 
+def rows_sent(monkeypatch, run):
+    """Rows that tasks which suffix-sort are sent, by key, and windows of hot anchors, by hash."""
+    cut, seen = repeats.Scratch.cut, {}
+
+    def spy(self, df, label):
+        out = cut(self, df, label)
+        if label == "pieces":
+            seen["sorted"] = Counter(r.anchor for r in out.filter("bytes IS NOT NULL").collect())
+            seen["names"] = out.filter("bytes IS NULL").select("anchor", "content", "part").collect()
+        return out
+    monkeypatch.setattr(repeats.Scratch, "cut", spy)
+    return run(), seen
+
+
+def test_copies_are_sent_once(make, monkeypatch):
+    rows = [(i, "copy " + LONG_TEXT) for i in range(50)]
+    got, seen = rows_sent(monkeypatch, lambda: found(repeats.passage_report(make(rows), window=64)))
+    assert got == brute(rows, 64) and max(seen["sorted"].values()) < 5
+
+
+def test_a_passage_amid_different_texts_fills_no_list(make, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 10)
+    r = random.Random(3)
+
+    def other():
+        return "".join(r.choice("abcdefg \n") for _ in range(150))
+    rows = [(i, other() + LONG_TEXT + other()) for i in range(60)]
+    got, seen = rows_sent(monkeypatch, lambda: found(repeats.passage_report(make(rows), window=64)))
+    assert got == brute(rows, 64) and max(seen["sorted"].values(), default=0) <= 10
+    assert len(seen["names"]) == len(set(seen["names"])) > 0
+
+
+LONG_TEXT = "".join(random.Random(8).choice("abcdefghij ") for _ in range(400))
+
+
 def test_messy_and_empty(make, messy):
     rows = [(d, t if t is None or len(t) < 1000 else t[:4000]) for d, t in messy]
     assert found(repeats.passage_report(make(rows), window=60)) == brute(rows, 60)
