@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head title script style noscript template iframe object embed applet canvas svg math audio video map form button "
+NEVER = frozenset("head title script style noscript template iframe object embed applet canvas svg math audio video map button "
                   "select option textarea input datalist nav menu aside footer dialog frameset noframes".split())
 ARTICLE = frozenset(("article", "main"))
 REGION = frozenset("article main section div td body".split())
 RAW = frozenset(("script", "style"))
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # others end an open head
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words in classes and ids that tell what is not the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments "
@@ -35,7 +36,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def unwanted(tag: str, attributes: dict[str, str | None], in_article: bool) -> bool:
-    """Whether an element is no part of the article, by its name, role, class and id."""
+    """Whether an element is no part of the article, by its name, role and style."""
     if tag in NEVER or (tag == "header" and not in_article):
         return True
     if not attributes:
@@ -45,51 +46,81 @@ def unwanted(tag: str, attributes: dict[str, str | None], in_article: bool) -> b
         return True
     if _HIDDEN.search((attributes.get("style") or "").lower()):
         return True
+    return False
+
+
+def marked(tag: str, attributes: dict[str, str | None], in_article: bool) -> bool:
+    """Whether an element is a form, or a class or id of its own says that it is no part of the article.
+
+    A class counts as a whole: `has-sidebar` tells nothing, `ad-banner` is of marks only.
+    """
     if tag in ("html", "body") or tag in ARTICLE:
         return False
-    names = _WORD.findall(f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower())
-    return any(n in MARKS or (n in HEADS and not in_article) for n in names)
+    if tag == "form":
+        return True
+    if not attributes:
+        return False
+    for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split():
+        words = _WORD.findall(name)
+        if words and all(w in MARKS or (w in HEADS and not in_article) for w in words):
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags met since the line before, region, whether in an article)."""
+    """Lines of a page: (text, tags met since the line before, region, whether in an article).
+
+    Elements that are `marked` are read too; `finish` leaves out those that hold neither
+    the page's articles nor most of its text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, unwanted, region, in an article
+        self.line_marks: list[int] = []
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # name, unwanted, region, in an article, innermost marked element
+        self.mark_above = [0]
+        self.articles: list[int] = []  # innermost marked element around each
         self.parts: list[str] = []
         self.tags = self.regions = 0
 
-    def _state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+    def _state(self) -> tuple[bool, int, bool, int]:
+        return self.open[-1][1:] if self.open else (False, 0, False, 0)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            _, region, article = self._state()
+            _, region, article, mark = self._state()
             self.lines.append((text, self.tags, region, article))
+            self.line_marks.append(mark)
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        skip, region, article = self._state()
-        self.tags += 1
+        # The end tag of the head may be left out.
+        if (tag == "body" and any(e[0] == "head" for e in self.open)) or (tag not in IN_HEAD and self.open and self.open[-1][0] == "head"):
+            self._close("head")
+        skip, region, article, mark = self._state()
+        attributes = dict(attrs)
+        self.tags += not (skip or unwanted(tag, attributes, article))
         if tag not in INLINE:
             self._end_line()
         if tag in VOID:
             return
         if tag == "p" or tag == "li":  # these close the one before
             self._close(tag, barrier=REGION | {"ul", "ol", "table", "blockquote"})
-            skip, region, article = self._state()
-        attributes = dict(attrs)
+            skip, region, article, mark = self._state()
         skip = skip or unwanted(tag, attributes, article)
+        if not skip and marked(tag, attributes, article):
+            self.mark_above.append(mark)
+            mark = len(self.mark_above) - 1
         if tag in REGION and not skip:
             self.regions += 1
             region = self.regions
-            article = article or tag in ARTICLE or (attributes.get("role") or "") in ("main", "article") \
-                or (attributes.get("itemprop") or "").lower() == "articlebody"
-        self.open.append((tag, skip, region, article))
+            if tag in ARTICLE or (attributes.get("role") or "") in ("main", "article") or (attributes.get("itemprop") or "").lower() == "articlebody":
+                article = True
+                self.articles.append(mark)
+        self.open.append((tag, skip, region, article, mark))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash in a start tag means nothing in HTML
@@ -104,7 +135,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self._state()[0]
         if tag in VOID:
             if tag == "br":
                 self._end_line()
@@ -122,13 +153,39 @@ class Lines(HTMLParser):
                     return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close("head")
         if not self._state()[0]:
             self.parts.append(data)
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
         self.close()
         self._end_line()
-        return self.lines
+        gone = self._passed_over()
+        kept = [x for x, m in zip(self.lines, self.line_marks, strict=True) if not gone.intersection(self._marks(m))]
+        return kept or self.lines
+
+    def _marks(self, mark: int) -> list[int]:
+        out = []
+        while mark:
+            out.append(mark)
+            mark = self.mark_above[mark]
+        return out
+
+    def _passed_over(self) -> set[int]:
+        """Marked elements that are no part of the article: another article stands beside them, or they hold none and little text."""
+        n = len(self.mark_above)
+        inside = np.zeros(n, np.int64)
+        for line, mark in zip(self.lines, self.line_marks, strict=True):
+            inside[self._marks(mark)] += len(line[0])
+        total, gone = sum(len(x[0]) for x in self.lines), set()
+        around = [set(self._marks(m)) for m in self.articles]
+        for mark in range(1, n):
+            outer = set(self._marks(mark)) - {mark}
+            beside = any(a <= outer for a in around)
+            if beside or not (any(mark in a for a in around) or 2 * inside[mark] > total):
+                gone.add(mark)
+        return gone
 
 
 def content_lines(lengths: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:

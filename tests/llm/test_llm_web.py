@@ -84,6 +84,18 @@ def test_page_without_an_article_element():
     assert got == " ".join(f"{long} Brief. {long}".split())
 
 
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>No</title><meta charset=utf-8><body>{ARTICLE}</body></html>",
+    f"<head><title>No</title>{ARTICLE}",
+    f"<body><div class='site has-sidebar'>{ARTICLE}</div></body>",
+    f"<body class='x'><div class='no-comments with-social'><div class=sidebar>side</div>{ARTICLE}</div></body>",
+    f"<body><form id=page><div class='ad'>Buy.</div>{ARTICLE}<section class='comments'><article>A reader says a lot.</article></section></form></body>",
+    f"<body><div class='widget'>{ARTICLE}</div><div class='ad'>Buy.</div></body>",
+])
+def test_whole_articles_are_not_skipped(page):
+    assert html.main_text(page) == TEXT
+
+
 def test_rows_that_hold_little(spark):
     pages = pages_frame(spark, [(1, None, None), (2, "u", ""), (None, "v", "<p>x"), (None, "v", "<p>x"), (4, "w", "plain &am"), (5, "w", "<nav>a</nav>"),
                                 (6, "w", "<p>" + "many words " * 100_000)])
