@@ -30,6 +30,8 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox ads
                   "recommended related reply replies respond share sharing sidebar sidebars signup social sponsor sponsored sponsors "
                   "subscribe toolbar widget widgets".split())
 HEADS = frozenset("header masthead topbar".split())  # not the article's, unless inside it
+PARAGRAPH, PER_TAG = 200, 20  # characters of a line, and for each tag before it, that make it part of the text wherever it stands
+PER_LINK = 8  # characters for each tag that a line of links has less than
 
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -79,6 +81,8 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.line_marks: list[int] = []
         self.open: list[tuple[str, bool, int, bool, int]] = []  # name, unwanted, region, in an article, innermost marked element
+        self.above = [0]  # per region the one around it
+        self.names = [""]
         self.mark_above = [0]
         self.articles: list[int] = []  # innermost marked element around each
         self.parts: list[str] = []
@@ -116,6 +120,8 @@ class Lines(HTMLParser):
             mark = len(self.mark_above) - 1
         if tag in REGION and not skip:
             self.regions += 1
+            self.above.append(region)
+            self.names.append(tag)
             region = self.regions
             if tag in ARTICLE or (attributes.get("role") or "") in ("main", "article") or (attributes.get("itemprop") or "").lower() == "articlebody":
                 article = True
@@ -165,6 +171,33 @@ class Lines(HTMLParser):
         kept = [x for x, m in zip(self.lines, self.line_marks, strict=True) if not gone.intersection(self._marks(m))]
         return kept or self.lines
 
+    def path(self, region: int) -> list[int]:
+        """A region and those around it, up to the page."""
+        out = [region]
+        while region:
+            region = self.above[region]
+            out.append(region)
+        return out
+
+    def around(self, regions: set[int], lines: list[tuple[str, int, int, bool]]) -> int:
+        """The smallest region that holds all of these; for one of several sections, or of several divisions of one line each, what holds them."""
+        paths = [self.path(r) for r in regions]
+        shared = set(paths[0]).intersection(*paths[1:])
+        whole = next(r for r in paths[0] if r in shared)
+        held: dict[int, list[tuple[str, int, int, bool]]] = {}
+        for line in lines:
+            for r in self.path(line[2]):
+                held.setdefault(r, []).append(line)
+        while whole:
+            alike = [held[r] for r in held if r not in (0, whole) and self.above[r] == self.above[whole] and self.names[r] == self.names[whole]]
+            if self.names[whole] != "section":
+                # A line of links is a menu, not a paragraph.
+                alike = [x for x in alike if len(x) == len(held[whole]) == 1 and len(x[0][0]) >= PER_LINK * x[0][1]]
+            if not alike:
+                break
+            whole = self.above[whole]
+        return whole
+
     def _marks(self, mark: int) -> list[int]:
         out = []
         while mark:
@@ -223,8 +256,8 @@ def main_text(html: str) -> str:
     Elements that are never content are passed over while parsing. The other lines are
     clustered by smoothed text-to-tag ratio, and the regions (article, section, division,
     cell) that hold lines of the upper cluster are content. If some of these lie in an
-    article, the page's content is all its articles, else it is the regions found: a
-    short line in a region of content stays.
+    article, the page's content is all its articles, else it is all lines of the smallest
+    region around the lines of the upper cluster and all long lines.
     """
     # A page may be cut off within a tag.
     opened = html.rfind("<")
@@ -237,8 +270,10 @@ def main_text(html: str) -> str:
         return ""
     content = content_lines(np.array([len(x[0]) for x in lines]), np.array([x[1] for x in lines]))
     regions = {x[2] for x, c in zip(lines, content, strict=True) if c}
-    in_article = any(x[3] and x[2] in regions for x in lines)
-    return " ".join(x[0] for x in lines if (x[3] if in_article else x[2] in regions))
+    if any(x[3] and x[2] in regions for x in lines):
+        return " ".join(x[0] for x in lines if x[3])
+    whole = parser.around(regions | {x[2] for x in lines if len(x[0]) >= PARAGRAPH and len(x[0]) >= PER_TAG * x[1]}, lines)
+    return " ".join(x[0] for x in lines if whole in parser.path(x[2]))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -96,6 +96,30 @@ def test_whole_articles_are_not_skipped(page):
     assert html.main_text(page) == TEXT
 
 
+def test_marks_that_hold_all_text_do_not_empty_a_page():
+    text = words(300)
+    assert html.main_text(f"<body><div class=widget>{text}</div><div class=promo>{text}</div></body>") == f"{text} {text}"
+
+
+def words(n):
+    return ("word " * n)[:n - 1] + "."
+
+
+@pytest.mark.parametrize("top", ["", "<nav><ul><li><a href=x>no</a><li><a href=y>no</a></ul></nav>"])
+@pytest.mark.parametrize("sizes", [(900, 700), (900, 3000), (250, 4000)])
+def test_sibling_sections_are_kept(top, sizes):
+    a, b, c = words(sizes[0]), words(80), words(sizes[1])
+    head = "<html><head><title>T</title><meta charset=x><style>p{}</style><script>x</script></head>"
+    page = f"{head}<body>{top}<div><section><p>{a}</p></section><section><h2>A heading of 20 chars</h2><p>{b}</p></section><section><p>{c}</p></section></div></body></html>"
+    assert html.main_text(page) == f"{a} A heading of 20 chars {b} {c}"
+
+
+@pytest.mark.parametrize("sizes", [(900, 60, 300, 2500, 40, 700), (60, 900, 150, 45, 80)])
+def test_a_division_per_paragraph(sizes):
+    texts = [words(n) for n in sizes]
+    assert html.main_text("<body><div id=x>" + "".join(f"<div><p>{t}</p></div>" for t in texts) + "</div></body>") == " ".join(texts)
+
+
 def test_rows_that_hold_little(spark):
     pages = pages_frame(spark, [(1, None, None), (2, "u", ""), (None, "v", "<p>x"), (None, "v", "<p>x"), (4, "w", "plain &am"), (5, "w", "<nav>a</nav>"),
                                 (6, "w", "<p>" + "many words " * 100_000)])
