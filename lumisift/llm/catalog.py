@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumisift.llm import classify, decontaminate, html, mix, near, pitmanyor, repeats, rules, tokens, warc
+from lumisift.llm import classify, decontaminate, html, merkle, mix, near, pitmanyor, repeats, rules, tokens, topk, warc, whiten
 from lumisift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,69 @@ def op9_token_counts(spark, sf_dir):
 @query("op10_main_text")
 def op10_main_text(spark, sf_dir):
     return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+_OP11 = r"""
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS x, rowid_ FROM (SELECT *, row_number() OVER () AS rowid_ FROM embeddings)
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT q.rowid_ AS asker, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+      FROM v q JOIN v c ON q.rowid_ <> c.rowid_ WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY asker ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
+
+@query("op11_top_products", _OP11)
+def op11_top_products(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+# Trees of all sources level by level (negative: the tree of their roots); crc32 bit by bit.
+_OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+           lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+                                      lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT) + z)) AS inverse FROM documents),
+f AS (SELECT *, concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+             coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-'),
+             coalesce(octet_length(encode(text)) || ':', '-')) AS head FROM d),
+l AS (SELECT doc_id, source, sha256(head || coalesce(text, '')) AS leaf,
+             CASE WHEN xor(inverse, 4294967295::UBIGINT) % 5 = 0
+                  THEN sha256(head || coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''))
+                  ELSE sha256(head || coalesce(text, '')) END AS seen FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM l),
+t AS (SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM r
+      UNION ALL
+      SELECT tree, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, lvl, pos // 16, n),
+s AS (SELECT tree, h FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, tree AS pos, (SELECT count(*) FROM s) AS n, h FROM s
+      UNION ALL
+      SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 16, n),
+tall AS (SELECT tree, max(lvl) AS tall FROM t GROUP BY tree),
+nodes AS (SELECT tree, lvl AS step, pos, h FROM t WHERE n > 1
+          UNION ALL SELECT tree, tall + lvl, pos, h FROM u, tall WHERE n > 1),
+own AS (SELECT r.doc_id, r.tree, r.pos, leaf, seen, k AS step, CASE WHEN k < tall THEN r.pos // power(16, k)::BIGINT ELSE r.tree // power(16, k - tall)::BIGINT END AS at
+        FROM r JOIN tall USING (tree), (SELECT unnest(range(0, 15)) AS k)),
+proofs AS (SELECT o.tree, o.pos, sha256(string_agg(h, '' ORDER BY o.step, nodes.pos)) AS proof
+           FROM own o JOIN nodes ON o.tree = nodes.tree AND o.step = nodes.step AND o.at // 16 = nodes.pos // 16 AND o.at <> nodes.pos GROUP BY o.tree, o.pos),
+folds AS (SELECT tree, pos, 0 AS step, seen AS h FROM r
+          UNION ALL
+          SELECT folds.tree, folds.pos, folds.step + 1, sha256(string_agg(CASE WHEN nodes.pos = o.at THEN folds.h ELSE nodes.h END, '' ORDER BY nodes.pos))
+          FROM folds JOIN own o ON folds.tree = o.tree AND folds.pos = o.pos AND folds.step = o.step
+          JOIN nodes ON nodes.tree = o.tree AND nodes.step = o.step AND nodes.pos // 16 = o.at // 16 GROUP BY folds.tree, folds.pos, folds.step),
+folded AS (SELECT tree, pos, arg_max(h, step) AS h FROM folds GROUP BY tree, pos)
+SELECT r.doc_id, r.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+       folded.h AS folded_root, folded.h = (SELECT h FROM u WHERE n = 1) AS verified
+FROM r JOIN s USING (tree) JOIN folded USING (tree, pos) LEFT JOIN proofs USING (tree, pos)
+"""
+
+
+@query("op12_merkle_manifest", _OP12)
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.tampering_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitened_embeddings")
+def op13_whitened_embeddings(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
