@@ -24,6 +24,7 @@ DEFAULTS = {
 
 
 _shipped: set[str] = set()
+_fallbacks: dict[str, str] = {}
 
 
 def session(app: str = "lumisift", **conf: str) -> SparkSession:
@@ -59,9 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="lumisift-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    # A running session does not take this setting any more, so the folder is kept here.
+    app = spark.sparkContext.applicationId
+    if app not in _fallbacks:
+        _fallbacks[app] = tempfile.mkdtemp(prefix="lumisift-")
+    return _fallbacks[app]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

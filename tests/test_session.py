@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from lumisift import session as s
@@ -21,7 +25,21 @@ def test_shared_folder_is_read_from_the_session():
     with pytest.raises(RuntimeError):
         s.shared_dir(FakeSession("yarn", {}))
     local = FakeSession("local[2]", {})
-    assert s.shared_dir(local) == local.conf["spark.checkpoint.dir"] == s.shared_dir(local)
+    assert s.shared_dir(local) == s.shared_dir(local) and os.path.isdir(s.shared_dir(local))
+
+
+def test_a_plain_local_session_needs_no_settings(tmp_path):
+    """Without any default settings, written tables and checkpoints go to a temporary folder."""
+    code = """
+from pyspark.sql import SparkSession
+from lumisift import session as s
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert s.cut(spark.range(3)).count() == s.pin(spark.range(3)).count() == 3
+assert s.shared_dir(spark) == s.shared_dir(spark)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"SPARK_CONF_DIR": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=os.path.dirname(os.path.dirname(s.__file__)))
 
 
 def test_cut_keeps_rows_and_types(spark):
