@@ -33,6 +33,8 @@ def hamming_pairs(df: DataFrame, max_distance: int, bits: int = 64, hash_col: st
     result exact: a pair in the bucket also agrees on some choice of finer blocks.
     Distinct hashes that agree on all but f bits number at most 2**f, so a refined
     bucket has a bound that does not depend on the data (2**15 for distance 3 of 60).
+
+    Choices of blocks are weak keys beyond about 6 bits: see `multi_index.hamming_pairs_far`.
     """
     require(df, hash_col, id_col)
     if not 0 <= max_distance < bits:
