@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lumisift.functions import hashing as hs
 from lumisift.operators import (batch, clusters, cosine, exact, features, fingerprints, groups, hamming, index, jaccard,
-                                quality, select, tags)
+                                multi_index, quality, select, tags)
 from lumisift.plans import curation
 from lumisift.session import cut, fresh_dir, ship
-from lumisift.sources import archives, captions, files, image_info, tables
+from lumisift.sources import archives, captions, copy_index, files, image_info, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -303,6 +303,56 @@ def hamming_pairs(spark, sf_dir):
     return hamming.hamming_pairs(document_simhash(spark, sf_dir), 3, hs.SIMHASH_BITS)
 
 
+@query("hamming_pairs_far", f"""
+WITH {SIMHASH}, first AS (SELECT hash, min(id) AS id FROM simhash GROUP BY hash)
+SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, bit_count(xor(a.hash, b.hash))::INTEGER AS distance
+FROM first a JOIN first b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 10
+UNION ALL
+SELECT f.id, s.id, 0 FROM simhash s JOIN first f ON s.hash = f.hash AND s.id <> f.id""")
+def hamming_pairs_far(spark, sf_dir):
+    return multi_index.hamming_pairs_far(document_simhash(spark, sf_dir), 10, hs.SIMHASH_BITS)
+
+
+# Documents without a label are stored first, labelled ones arrive later.
+LOADS = f"""
+WITH RECURSIVE {SIMHASH}, loads AS (SELECT s.id, hash, l.doc_id IS NOT NULL AS late FROM simhash s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = s.id),
+edges AS (SELECT a.id AS u, b.id AS v, a.late OR b.late AS late FROM loads a JOIN loads b ON a.id <> b.id AND bit_count(xor(a.hash, b.hash)) <= 3),
+reach(u, v) AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
+early(u, v) AS (SELECT u, v FROM edges WHERE NOT late UNION SELECT r.u, e.v FROM early r JOIN edges e ON r.v = e.u WHERE NOT e.late),
+grouped AS (SELECT u AS id, least(u, min(v)) AS group_id FROM reach GROUP BY u),
+before AS (SELECT u AS id, least(u, min(v)) AS group_id FROM early GROUP BY u),
+changes AS (SELECT g.id, g.group_id, b.group_id AS was FROM grouped g LEFT JOIN before b ON b.id = g.id WHERE b.group_id IS DISTINCT FROM g.group_id)"""
+
+
+def two_loads(spark, sf_dir) -> tuple[copy_index.CopyIndex, DataFrame]:
+    """An index that documents without a label were stored in, and the changes that the labelled ones then made."""
+    hashes = cut(document_simhash(spark, sf_dir), "hashes")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    stored = copy_index.CopyIndex.create(spark, fresh_dir(spark, "copies"), 3, hs.SIMHASH_BITS)
+    stored.add(hashes.join(labelled, "id", "left_anti"))
+    return stored, stored.add(hashes.join(labelled, "id", "left_semi"))
+
+
+@query("stored_groups", f"{LOADS} SELECT id, group_id FROM grouped")
+def stored_groups(spark, sf_dir):
+    return two_loads(spark, sf_dir)[0].groups()
+
+
+@query("arrival_changes", f"{LOADS} SELECT id, group_id, was FROM changes")
+def arrival_changes(spark, sf_dir):
+    return two_loads(spark, sf_dir)[1].select("id", "group_id", "was")
+
+
+@query("arrival_removals", f"""{LOADS},
+ranked AS (SELECT id, group_id, first_value(id) OVER (PARTITION BY group_id ORDER BY n_chars DESC, id) AS kept_id
+           FROM grouped JOIN documents ON doc_id = id WHERE group_id IN (SELECT group_id FROM changes))
+SELECT id, group_id, kept_id FROM ranked WHERE id <> kept_id""")
+def arrival_removals(spark, sf_dir):
+    stored, changes = two_loads(spark, sf_dir)
+    longest = documents(spark, sf_dir, (-F.col("n_chars")).alias("score"))
+    return copy_index.displaced(stored.groups(), changes, longest)
+
+
 JACCARD = """sets AS (
   SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))) AS s
   FROM documents),
