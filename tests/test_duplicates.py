@@ -142,12 +142,30 @@ def test_links_of_a_crowd_give_the_same_groups(spark, percent, kept):
         assert len(got) < len(every)
 
 
-def test_minhash_mode_gives_real_scores(spark):
+@pytest.mark.parametrize("bucket_rows", [5000, 3])
+def test_minhash_mode_gives_real_scores(spark, bucket_rows):
     sets = [(i, {f"w{j}" for j in range(i % 5, i % 5 + 20)} | {f"x{i}"}) for i in range(40)]
-    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets], "id bigint, text string")
-    got = pairs(jaccard.jaccard_pairs(df, hs.words(F.col("text")), 0.8, mode="lsh"))
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets] + [(99, None), (98, "")], "id bigint, text string")
+    got = pairs(jaccard.jaccard_pairs(df, hs.words(F.col("text")), 0.8, mode="lsh", bucket_rows=bucket_rows))
     want = brute_jaccard(sets, 80)
-    assert set(got) <= set(want) and len(got) >= 0.8 * len(want)
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+
+
+def test_minhash_finds_the_pairs_of_the_query(spark):
+    """At the query's threshold and on its table: a subset of the exact pairs, nine tenths of them at least."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id AS id", "text")
+    tokens = hs.words(F.col("text"))
+    exact, near = (pairs(jaccard.jaccard_pairs(df, tokens, 0.8, mode=m), "score") for m in ("exact", "lsh"))
+    assert set(near) <= set(exact) and len(near) >= 0.9 * len(exact) > 0
+    assert jaccard.minhash_recall(df, tokens, 0.8) >= 0.9
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 80, 95, 100])
+def test_minhash_bands_follow_the_threshold(percent):
+    bands, rows = jaccard.minhash_bands(percent)
+    assert bands * rows <= jaccard.MOST_HASHES
+    if percent >= 3:
+        assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.99
 
 
 def vectors(n, seed, dims=16):
