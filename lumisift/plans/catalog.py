@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from lumisift.operators import (batch, clusters, cosine, exact, features, finger
 from lumisift.plans import curation
 from lumisift.session import cut, fresh_dir, ship
 from lumisift.sources import archives, captions, copy_index, files, image_info, tables
+from lumisift.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -186,6 +188,44 @@ def update_index(spark, sf_dir):
     return index.diff_index(labelled.unionByName(gone), scan).select("path", "length", "change")
 
 
+def listed_times(spark, sf_dir) -> list[DataFrame]:
+    """Three listings: labelled documents and benchmark items, all documents, all but the toxic ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    path, length = F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("length")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"),
+                                                     F.length("text").cast("bigint").alias("length"), F.timestamp_seconds(F.length("text")).alias("mtime"))
+    mtime = F.timestamp_seconds("n_chars").alias("mtime")
+    early = docs.filter("toxic IS NOT NULL").select(path, length, F.timestamp_seconds(F.col("n_chars") + F.col("toxic")).alias("mtime"))
+    return [early.unionByName(items), docs.select(path, length, mtime), docs.filter("toxic IS NULL OR toxic = 0").select(path, length, mtime)]
+
+
+STREAM_INDEX = """
+WITH d AS (SELECT concat('documents/', doc_id) AS path, n_chars, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+listed AS (
+  SELECT 1 AS step, path, n_chars AS length, n_chars + toxic AS mtime FROM d WHERE toxic IS NOT NULL
+  UNION ALL SELECT 1, concat('benchmark/', item_id), length(text), length(text) FROM benchmark
+  UNION ALL SELECT 2, path, n_chars, n_chars FROM d
+  UNION ALL SELECT 3, path, n_chars, n_chars FROM d WHERE toxic IS NULL OR toxic = 0)
+SELECT coalesce(n.step, o.step + 1) AS step, coalesce(n.path, o.path) AS path, coalesce(n.length, o.length) AS length,
+       CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
+FROM listed n FULL JOIN listed o ON n.path = o.path AND n.step = o.step + 1
+WHERE coalesce(n.step, o.step + 1) <= 3 AND (n.path IS NULL OR o.path IS NULL OR n.length <> o.length OR n.mtime <> o.mtime)"""
+
+
+def stream_index(spark, sf_dir):
+    """One run of the stream per listing; each goes on from the state that the one before has left."""
+    folder = fresh_dir(spark, "watch")
+    for step, files_then in enumerate(listed_times(spark, sf_dir), 1):
+        watch.add_listing(files_then, f"{folder}/listings", datetime(2024, 1, step, tzinfo=timezone.utc))
+        watch.index_changes(spark, f"{folder}/listings", f"{folder}/changes", f"{folder}/state").awaitTermination()
+    found = spark.read.schema(watch.CHANGES).option("recursiveFileLookup", True).parquet(f"{folder}/changes")
+    return found.select(F.dayofmonth("seen_at").alias("step"), "path", "length", "change")
+
+
+if watch.available():
+    query("stream_index", STREAM_INDEX)(stream_index)
+
+
 @query("browse", """
 SELECT doc_id, lang, n_chars FROM documents
 WHERE lang = 'en' AND (n_chars < 2500 OR (n_chars = 2500 AND doc_id > 0)) ORDER BY n_chars DESC, doc_id LIMIT 50""")
