@@ -630,6 +630,45 @@ def read_generation_info(spark, sf_dir):
     return info.select("id", F.col("info")["parameters"].alias("parameters"), "error")
 
 
+def tagged_photos(spark, sf_dir) -> DataFrame:
+    """Documents as Exif comments: of JPEG files if they are short enough and of even length, else of WebP files.
+
+    Every seventh directory of tags names itself as the next one.
+    """
+    def number(value: Column, size: int, little: bool = False) -> Column:
+        if not little:
+            return F.unhex(F.lpad(F.hex(value), 2 * size, "0"))
+        return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftrightunsigned(value.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(size)])
+
+    def raw(digits: str) -> Column:
+        return F.unhex(F.lit(digits))
+
+    docs = documents(spark, sf_dir, "n_chars", "text", "source")
+    artist = F.concat(F.encode(F.concat(F.lit("source "), F.coalesce("source", F.lit(""))), "UTF-8"), raw("00"))
+    comment = F.concat(raw("554E49434F444500"), F.encode("text", "UTF-16BE"))
+    docs = docs.select("id", "n_chars", artist.alias("artist"), comment.alias("comment"))
+    a, c = F.length("artist"), F.length("comment")
+    following = F.when(F.col("n_chars") % 7 == 0, raw("00000008")).otherwise(raw("00000000"))
+    tags_of = F.concat(raw("4D4D002A000000080002013B0002"), number(a, 4), raw("00000038" "8769000400000001" "00000026"), following,
+                       raw("000192860007"), number(c, 4), number(a + 56, 4), raw("00000000"), F.col("artist"), F.col("comment"))
+    docs = docs.withColumn("tags", tags_of)
+    size = F.length("tags")
+    jpeg = F.concat(raw("FFD8FFE000104A46494600010100000100010000FFE1"), number(size + 8, 2), raw("457869660000"), F.col("tags"), raw("FFDA0002FFD9"))
+    chunks = F.concat(raw("57454250565038580A00000008000000000000000000"), raw("45584946"), number(size, 4, True), F.col("tags"),
+                      F.when(size % 2 == 1, raw("00")).otherwise(raw("")))
+    webp = F.concat(raw("52494646"), number(F.length(chunks), 4, True), chunks)
+    short = (F.col("n_chars") % 2 == 0) & (size < 65_000)
+    return docs.select("id", F.when(short, jpeg).otherwise(webp).alias("content"))
+
+
+@query("read_photo_info", """
+SELECT doc_id AS id, CASE WHEN n_chars % 7 <> 0 THEN text END AS parameters, CASE WHEN n_chars % 7 <> 0 THEN concat('source ', source) END AS artist,
+       CASE WHEN n_chars % 7 = 0 THEN 'ValueError: Exif directories in a cycle' END AS error FROM documents""")
+def read_photo_info(spark, sf_dir):
+    info = image_info.read_generation_info(tagged_photos(spark, sf_dir), content="content")
+    return info.select("id", image_info.parameters(F.col("info")).alias("parameters"), F.col("info")["Artist"].alias("artist"), "error")
+
+
 @query("check_images", """
 SELECT doc_id AS id, CASE WHEN n_chars % 2 = 1 THEN 'truncated' END AS problem FROM documents""")
 def check_images(spark, sf_dir):
