@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.schemas import require
 from lumisift.session import cut
 
+# Edges that one task settles at the end: some hundred kilobytes.
+LAST_EDGES = 16_000
+# Edges that a task contracts at a time.
+HELD_EDGES = 1_000_000
+
 
-def duplicate_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def duplicate_groups(pairs: DataFrame, max_rounds: int = 50, last_edges: int = LAST_EDGES) -> DataFrame:
     """groups(id, group_id) of every id in a pair; group_id is the lowest id of its group.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every round
     replaces edges so that each node points at a smaller one, until all edges of a
-    group point at its lowest id. Pairs may come either way round; self-pairs and
-    repeats are ignored. Each round is written to the shared folder, so a lost
-    executor costs at most one round.
+    group point at its lowest id. Before the first and after every round, each task
+    contracts the edges it holds to a star per group of its own (union and find), so a
+    chain gets shorter by the edges of a partition and not by half. Once no more than
+    `last_edges` are left, one task does the rest. Pairs may come either way round;
+    self-pairs, nulls and repeats are ignored. Each round is written to the shared folder,
+    so a lost executor costs at most one round.
     """
     require(pairs, "id_a", "id_b")
     low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
-    edges = cut(pairs.select(high.alias("u"), low.alias("v")).filter(F.col("u") != F.col("v")).distinct())
+    pairs = pairs.filter("id_a IS NOT NULL AND id_b IS NOT NULL")
+    edges = cut(_contracted(pairs.select(high.alias("u"), low.alias("v")).filter("u <> v").distinct()))
     before = _state(edges)
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges)))
-        now = _state(edges)
+        small = before[0] <= last_edges
+        # A handful of edges in one task; then they are all of their groups' and final.
+        edges = cut(_contracted(edges.coalesce(1), held=last_edges + 1) if small else _contracted(_small_star(_large_star(edges))))
+        now = before if small else _state(edges)
         if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("group_id")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(roots)
@@ -32,6 +47,44 @@ def duplicate_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"groups still changing after {max_rounds} rounds")
 
 
+def _contracted(edges: DataFrame, held: int | None = None) -> DataFrame:
+    """Per task, edges that connect the same nodes: one from each node to the lowest that it reaches within the task."""
+    held = held or HELD_EDGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            n += batch.num_rows
+            if n >= held:
+                yield _star(waiting, batch.schema.types[0])
+                waiting, n = [], 0
+        if n:
+            yield _star(waiting, batch.schema.types[0])
+    return edges.mapInArrow(run, edges.schema)
+
+
+def _star(edges: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(len(nodes)))  # places rise with ids, so the lowest place is the lowest id
+    for x, y in zip(place[:len(a)].tolist(), place[len(a):].tolist(), strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x < y:
+            root[y] = x
+        else:
+            root[x] = y
+    # A parent's place is lower, so it is settled before its children.
+    for x in range(len(root)):
+        root[x] = root[root[x]]
+    to = nodes[root]
+    own = to != nodes
+    return pa.RecordBatch.from_arrays([pa.array(x[own], kind) for x in (nodes, to)], ["u", "v"])
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and an order-free checksum; the decimal sum cannot overflow."""
     row = edges.agg(F.count(F.lit(1)).alias("n"),

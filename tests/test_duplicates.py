@@ -1,13 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumisift.functions import hashing as hs
-from lumisift.operators import cosine, exact, fingerprints, hamming, jaccard
+from lumisift.operators import cosine, exact, fingerprints, groups, hamming, jaccard
 from lumisift.operators.groups import duplicate_groups
 
 
@@ -245,10 +246,34 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("last_edges", [16_000, 0])
 @pytest.mark.parametrize("name", CASES)
-def test_groups_of_known_shapes(spark, name):
+def test_groups_of_known_shapes(spark, name, last_edges):
     df = spark.createDataFrame(CASES[name], "id_a bigint, id_b bigint")
-    assert {r["id"]: r["group_id"] for r in duplicate_groups(df).collect()} == components(CASES[name])
+    assert {r["id"]: r["group_id"] for r in duplicate_groups(df, last_edges=last_edges).collect()} == components(CASES[name])
+
+
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_contraction_keeps_what_is_connected(held):
+    rng = random.Random(held)
+    edges = [tuple(rng.sample(range(300), 2)) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"u": [max(e) for e in part], "v": [min(e) for e in part]}) for part in (edges[:90], edges[90:91], edges[91:])]
+    left = [e for i in range(0, 3, held) for b in [groups._star([(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches[i:i + held]], pa.int64())]
+            for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert components(left) == components(edges) and all(u > v for u, v in left)
+    assert held < 3 or sorted(left) == sorted((i, g) for i, g in components(edges).items() if i != g)
+
+
+def test_groups_of_names_nulls_and_a_long_chain(spark, monkeypatch):
+    named = spark.createDataFrame([("b", "a"), ("é", "b"), ("x", None), ("z", "y"), ("q", "q")], "id_a string, id_b string")
+    assert {r["id"]: r["group_id"] for r in duplicate_groups(named).collect()} == {"a": "a", "b": "a", "é": "a", "y": "y", "z": "y"}
+    rounds = []
+    write = groups.cut
+    monkeypatch.setattr(groups, "cut", lambda df: rounds.append(0) or write(df))
+    chain = spark.range(20_000).selectExpr("id AS id_a", "id + 1 AS id_b")
+    got = duplicate_groups(chain, last_edges=1_000)
+    assert got.count() == 20_001 and got.filter("group_id <> 0").count() == 0
+    assert len(rounds) <= 9  # 15 and more without contraction
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
@@ -258,20 +283,21 @@ def test_groups_of_any_pairs(spark, edges):
     assert {r["id"]: r["group_id"] for r in duplicate_groups(df).collect()} == components(edges)
 
 
-def test_rounds_are_capped(spark):
-    df = spark.createDataFrame(CASES["chain"], "id_a bigint, id_b bigint")
+def test_rounds_are_capped(spark, monkeypatch):
+    monkeypatch.setattr(groups, "_contracted", lambda edges, held=None: edges)
+    df = spark.range(500).selectExpr("id AS id_a", "id + 1 AS id_b")
     with pytest.raises(RuntimeError):
-        duplicate_groups(df, max_rounds=1)
+        duplicate_groups(df, max_rounds=1, last_edges=0)
 
 
 def test_exact_duplicates_and_best(spark):
     df = spark.createDataFrame([(1, "x", 1), (2, "x", 9), (3, "y", 5), (4, None, 1), (5, None, 2), (6, "x", 9)], "id int, t string, q int")
     found = exact.exact_duplicates(df, "t").collect()
     assert [(r["group_id"], r["n"]) for r in found] == [(1, 3)]
-    groups = exact.groups_from_links(exact.copy_links(df, F.col("t")))
-    kept = sorted(r["id"] for r in exact.keep_best(df, groups, [-F.col("q")]).collect())
+    linked = exact.groups_from_links(exact.copy_links(df, F.col("t")))
+    kept = sorted(r["id"] for r in exact.keep_best(df, linked, [-F.col("q")]).collect())
     assert kept == [2, 3, 4, 5]
-    assert sorted((r["id"], r["kept_id"]) for r in exact.removals(df, groups, [-F.col("q")]).collect()) == [(1, 2), (6, 2)]
+    assert sorted((r["id"], r["kept_id"]) for r in exact.removals(df, linked, [-F.col("q")]).collect()) == [(1, 2), (6, 2)]
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 8])
