@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lumisift.schemas import require
 from lumisift.sources.files import open_fs, read_content, scan_files, to_uri
@@ -33,85 +31,87 @@ def write_captions(df: DataFrame, folder: str, name: str = "name", caption: str
     """Write one `<name>.txt` per row below `folder`, folders in the name included.
 
     A null caption writes nothing; two rows of one name raise an error before anything is
-    written. Files are written under hidden names and get their own when the whole job
-    has succeeded; a failed job leaves none behind.
+    written. Tasks write the files below a hidden folder and list them in a manifest, a
+    written table; when all are there, tasks move them to their names. The driver sees
+    neither names nor files. A job that fails before the manifest is whole leaves the
+    old files as they were; one that fails while files are moved leaves each file either
+    old or new, and the hidden folder, with its manifest, from which
+    `publish_captions` goes on.
     """
     require(df, name, caption)
+    spark = df.sparkSession
     rows = df.select(F.col(name).cast("string").alias("name"), F.col(caption).cast("string").alias("caption"))
     rows = rows.filter(F.col("caption").isNotNull())
     twice = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
     if twice is not None:
         raise ValueError(f"{twice['n']} captions have the name {twice['name']!r}")
-    df.sparkSession.dataSource.register(CaptionFolder)
-    rows.write.format("caption_folder").mode("append").option("folder", to_uri(folder)).save()
-
-
-def write_caption_table(df: DataFrame, folder: str, name: str = "name", caption: str = "caption") -> None:
-    """The same pairs as a Parquet table, for numbers of captions that no folder should hold as files."""
-    require(df, name, caption)
-    df.select(F.col(name).cast("string").alias("name"), F.col(caption).cast("string").alias("caption")).write.mode("overwrite").parquet(to_uri(folder))
-
-
-class CaptionFolder(DataSource):
-    """Write-only source: text files in one folder tree."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "caption_folder"
-
-    def schema(self) -> str:
-        return "name string, caption string"
-
-    def writer(self, schema, overwrite: bool) -> CaptionFolderWriter:
-        return CaptionFolderWriter(self.options["folder"])
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    attempt: str
-    names: list[str]
-
-
-class CaptionFolderWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        """Files of one attempt at a task lie together in a hidden folder, under their final names below it."""
-        system, root = open_fs(self.folder)
-        attempt, names, made = f"{root}/_{uuid.uuid4().hex}.part", [], set()
+    staging = f"{to_uri(folder)}/_{uuid.uuid4().hex}.part"
+    try:
+        rows.mapInArrow(_staged(staging), "name string, staged string").write.parquet(f"{staging}/manifest")
+    except BaseException:
+        _remove(*open_fs(staging))
+        raise
+    publish_captions(spark, staging)
+
+
+def publish_captions(spark: SparkSession, staging: str) -> None:
+    """Move the files that a manifest lists to their names, and remove its folder; may be repeated."""
+    manifest = spark.read.schema("name string, staged string").parquet(f"{staging}/manifest")
+    # A move is a call to a remote store: as many at a time as there are cores.
+    tasks = max(spark.sparkContext.defaultParallelism, manifest.count() // 10_000)
+    moved = manifest.repartition(tasks, "name").mapInArrow(_moved(staging), "name string")
+    moved.write.format("noop").mode("overwrite").save()
+    _remove(*open_fs(staging))
+
+
+def _staged(staging: str):
+    """Write captions below the folder of one attempt at a task; (name, path below the staging folder) of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_fs(staging)
+        attempt, made = uuid.uuid4().hex, set()
         try:
             for batch in batches:
-                for name, caption in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    target = safe_join(attempt, f"{name}.txt")
-                    parent = target.rsplit("/", 1)[0]
-                    if parent not in made:
-                        system.create_dir(parent, recursive=True)
-                        made.add(parent)
+                names = [f"{name}.txt" for name in batch.column(0).to_pylist()]
+                for name, caption in zip(names, batch.column(1).to_pylist(), strict=True):
+                    target = safe_join(f"{root}/{attempt}", name)
+                    _make_parent(system, target, made)
                     with system.open_output_stream(target) as out:
                         out.write(caption.encode("utf-8"))
-                    names.append(f"{name}.txt")
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f"{attempt}/{n}" for n in names], pa.string())], ["name", "staged"])
         except BaseException:
-            _remove(system, attempt)
+            _remove(system, f"{root}/{attempt}")
             raise
-        return Written(attempt, names)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        system, root = open_fs(self.folder)
-        made = set()
-        for message in filter(None, messages):
-            for name in message.names:
-                parent = safe_join(root, name).rsplit("/", 1)[0]
-                if parent not in made:
-                    system.create_dir(parent, recursive=True)
-                    made.add(parent)
-                system.move(f"{message.attempt}/{name}", safe_join(root, name))
-            _remove(system, message.attempt)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        system, _ = open_fs(self.folder)
-        for message in filter(None, messages):
-            _remove(system, message.attempt)
+    return run
+
+
+def _moved(staging: str):
+    """Move staged files to their names. A file that is no longer staged was moved by an earlier attempt."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_fs(staging)
+        made, folder = set(), root.rsplit("/", 1)[0]
+        for batch in batches:
+            for name, staged in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target, source = safe_join(folder, name), f"{root}/{staged}"
+                _make_parent(system, target, made)
+                if system.get_file_info(source).type == pafs.FileType.File:
+                    system.move(source, target)
+                elif system.get_file_info(target).type != pafs.FileType.File:
+                    raise FileNotFoundError(f"neither {source} nor {target} is there")
+            yield batch.select(["name"])
+    return run
+
+
+def _make_parent(system: pafs.FileSystem, target: str, made: set[str]) -> None:
+    parent = target.rsplit("/", 1)[0]
+    if parent not in made:
+        system.create_dir(parent, recursive=True)
+        made.add(parent)
+
+
+def write_caption_table(df: DataFrame, folder: str, name: str = "name", caption: str = "caption") -> None:
+    """The same pairs as a Parquet table, for numbers of captions that no folder should hold as files."""
+    require(df, name, caption)
+    df.select(F.col(name).cast("string").alias("name"), F.col(caption).cast("string").alias("caption")).write.mode("overwrite").parquet(to_uri(folder))
 
 
 def _remove(system: pafs.FileSystem, folder: str) -> None:

@@ -100,6 +100,24 @@ def test_written_captions_read_back(spark, tmp_path):
     assert not [p for p in tmp_path.rglob("*") if p.name.endswith(".part")]
 
 
+def test_captions_that_stopped_half_way(spark, tmp_path, monkeypatch):
+    """A write that fails leaves the old files; one that stops while files are moved can be gone on with."""
+    first = spark.createDataFrame([("a", "old a"), ("b/c", "old c")], "name string, caption string")
+    captions.write_captions(first, str(tmp_path))
+    with pytest.raises(Exception, match="unsafe"):
+        captions.write_captions(spark.createDataFrame([("a", "new"), ("../x", "new")], "name string, caption string").coalesce(1), str(tmp_path))
+    read = lambda: {p.relative_to(tmp_path).as_posix(): p.read_text() for p in tmp_path.rglob("*.txt") if ".part" not in str(p)}
+    assert read() == {"a.txt": "old a", "b/c.txt": "old c"} and not list(tmp_path.glob("_*"))
+    publish = captions.publish_captions
+    monkeypatch.setattr(captions, "publish_captions", lambda spark, staging: None)
+    captions.write_captions(first.selectExpr("name", "replace(caption, 'old', 'new') AS caption"), str(tmp_path))
+    assert read() == {"a.txt": "old a", "b/c.txt": "old c"}
+    staging, = tmp_path.glob("_*.part")
+    next(p for p in staging.rglob("a.txt")).rename(tmp_path / "a.txt")  # moved before the job was lost
+    publish(spark, f"file:{staging}")
+    assert read() == {"a.txt": "new a", "b/c.txt": "new c"} and not staging.exists()
+
+
 def test_arrivals_are_taken_once(spark, tmp_path):
     source, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
     source.mkdir()
