@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +212,8 @@ def strength(groups: DataFrame, centre: Column) -> float:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-            path_col: str = "lang", threshold: float = 0.25, sample: int = SAMPLE, evidence: Evidence | None = None) -> DataFrame:
+            path_col: str = "lang", threshold: float = 0.25, sample: int = SAMPLE, evidence: Evidence | None = None,
+            row: Sequence[Column] = ()) -> DataFrame:
     """(id_col, host, path, own, site, score, kept) for every document.
 
     `own` is the probability by the document's words and shape that it is neither poor
@@ -227,10 +228,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     A null or empty text has only its shape as evidence. Null hosts and paths are sites
     of their own. A null id has no label; ids with several labels take the worst. Rows
     that repeat an id each get a row. Without usable labels all documents are kept.
+    Numbers that tell rows apart may be given as `row`: they come back as row_0, row_1, ...
     """
     scratch = Scratch(docs.sparkSession)
+    told = [f"row_{i}" for i in range(len(row))]
     names = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (host_col, path_col)]
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), names[0].alias("host"), names[1].alias("path"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), names[0].alias("host"), names[1].alias("path"),
+                       *[c.cast("long").alias(name) for c, name in zip(row, told, strict=True)])
     labelled = kinds(labels, id_col)
     evidence = evidence or fit(docs.select("id", "text"), labelled, sample)
 
@@ -239,11 +243,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             blobs = tx.blobs(batch.column("text"))
             good = [evidence.good(blobs[piece]) for piece in tx.chunks([len(b) for b in blobs], PIECE)]
             own = pa.array(np.rint(np.concatenate(good) * MICRO).astype(np.int64)) if good else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("path"), own], ["id", "host", "path", "own"])
+            kept = ["id", "host", "path", *told]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], own], [*kept, "own"])
 
-    scored = docs.mapInArrow(score, "id bigint, host string, path string, own bigint")
+    scored = docs.mapInArrow(score, ", ".join(["id bigint", "host string", "path string", *[f"{c} bigint" for c in told], "own bigint"]))
     known = F.when(F.col("kind") == GOOD, MICRO).when(F.col("kind").isNotNull(), 0).otherwise(F.col("own")).cast("long")
-    scored = scratch.cut(scored.join(labelled, "id", "left").select("id", "host", "path", "own", known.alias("good")), "scored")
+    scored = scratch.cut(scored.join(labelled, "id", "left").select("id", "host", "path", *told, "own", known.alias("good")), "scored")
 
     sums = [F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")]
     paths = scratch.cut(scored.groupBy("host", "path").agg(*sums), "paths")
@@ -266,4 +271,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     moved = odds(F.col("own") / MICRO) * odds(F.col("site")) / F.lit(mean / (1 - mean))
     return (both.withColumn("site", site).withColumn("score", moved / (1 + moved))
             .select(F.col("id").alias(id_col), F.nullif("host", F.lit("\x00")).alias("host"), F.nullif("path", F.lit("\x00")).alias("path"),
-                    (F.col("own") / MICRO).alias("own"), "site", "score", (F.col("score") >= threshold).alias("kept")))
+                    (F.col("own") / MICRO).alias("own"), "site", "score", (F.col("score") >= threshold).alias("kept"), *told))

@@ -46,8 +46,8 @@ def targets(sources: DataFrame, share: float, repeats: float) -> DataFrame:
 
 
 def fair_mix(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
-    """(id_col, size, source_size, target, taken) for every document.
+             share: float = 1.5, repeats: int = 2, seed: int = 17, keep_source: bool = False) -> DataFrame:
+    """(id_col, size, source_size, target, taken) for every document, and its source with `keep_source`.
 
     Sources in code point order, null last, have the weights of the list in turn. Each
     source's documents are shuffled by a hash of their id and queue up `repeats` times.
@@ -98,7 +98,8 @@ def fair_mix(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text
         if cut_at is not None:
             time, last = cut_at
             taken = taken + F.when(F.struct(finish[p], F.col("key"), F.lit(p)) <= F.struct(F.lit(time), F.lit(last[0]), F.lit(last[1])), F.col("size")).otherwise(F.lit(0))
-    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target",
+    named = [F.col("source").alias(source_col)] if keep_source else []
+    return queued.select(F.col("id").alias(id_col), *named, "size", "source_size", "target",
                          F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"))
 
 

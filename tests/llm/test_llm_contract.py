@@ -2,6 +2,7 @@ import re
 
 import pytest
 from check_sql import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumisift.llm import catalog, classify, stages
@@ -23,14 +24,42 @@ def test_one_query_per_operator():
 
 
 def test_pipeline_runs_its_stages_in_order(spark):
-    got = corpus_pipeline.run(spark, SF).collect()
+    got = corpus_pipeline.run(spark, SF)
     docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, SF)
-        if "taken" not in docs.columns:
+        if stage is not stages.source_mix:
             assert docs.columns == before.columns and dict(docs.dtypes) == dict(before.dtypes)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, docs.collect()))
-    assert 0 < len(got) < table(spark, SF, "documents").count()
+    rows = got.collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, docs.collect()))
+    assert 0 < len(rows) < table(spark, SF, "documents").count()
+    # The mix has the texts themselves, and how often each is in it.
+    assert all(r.times >= 1 and r.taken == r.times * r.size == r.times * len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows)
+
+
+def test_verdicts_are_by_row(spark):
+    """Poor rows without an id, or under the id of a clean one, go; the clean one stays."""
+    labels = table(spark, SF, "labels")
+    docs = table(spark, SF, "documents")
+    known = sorted((r.own, r.doc_id) for r in classify.quality(docs, labels).collect())
+    poor, clean = (docs.filter(F.col("doc_id") == known[at][1]) for at in (0, -1))  # by their words alone, as no label goes with them
+    nameless = poor.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" ")))
+    shared = poor.withColumn("doc_id", F.lit(clean.first().doc_id).cast("long")).withColumn("text", F.concat("text", F.lit("  ")))
+    rows = docs.unionByName(nameless).unionByName(shared)
+    verdicts = {(r.doc_id, r.text): r.kept for r in
+                classify.quality(rows, labels, row=[F.xxhash64("text")]).join(rows.select("text", F.xxhash64("text").alias("row_0")).distinct(), "row_0").collect()}
+    kept = {(r.doc_id, r.text) for r in stages.quality_classifier(spark, rows, SF).collect()}
+    assert kept == {key for key, keep in verdicts.items() if keep}
+    assert (clean.first().doc_id, clean.first().text) in kept
+    assert (None, nameless.first().text) not in kept
+
+
+def test_near_copies_under_shared_ids(spark, make):
+    texts = [" ".join(f"t{d}w{i}" for i in range(80)) for d in range(4)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[1] + " end"), (None, texts[3]), (None, texts[0]), (4, None), (4, "")]
+    kept = sorted(map(str, ((r.doc_id, (r.text or "")[:4]) for r in stages.near_duplicates(spark, make(rows, extra=False), SF).collect())))
+    # Texts 0 and 1 are kept under the ids that are theirs alone; 2 and 3 have no other copy.
+    assert kept == sorted(map(str, [(1, "t0w0"), (2, "t2w0"), (3, "t1w0"), (None, "t3w0"), (4, ""), (4, "")]))
 
 
 def test_every_stage_on_messy_and_empty_tables(spark, make, messy):
@@ -40,7 +69,7 @@ def test_every_stage_on_messy_and_empty_tables(spark, make, messy):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, SF)
             assert out.count() <= rows.count()
-            if "taken" not in out.columns:
+            if stage is not stages.source_mix:
                 assert out.columns == rows.columns
 
 
