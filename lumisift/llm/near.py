@@ -16,7 +16,9 @@ BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 # Of 200 coordinates a pair at 0.8 agrees in 160 +- 5.7; below 116 is eight deviations away.
 SIGNED, MIN_AGREE = 200, 116
-TURNS = 3  # further pivots that the odd members of crowded buckets meet before they meet all members
+TURNS = 1  # further pivots that the odd members of crowded buckets meet before they meet all members
+# Pairs of a bucket beyond which its members are compared inside tasks, in blocks of about so many shingles and rows.
+CROWDED, BLOCK_SHINGLES, BLOCK_ROWS = 20_000, 1 << 19, 1_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +113,74 @@ def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("ia").filter(near), batch.column("ib").filter(near)], ["ia", "ib"])
 
 
+def _met_in_blocks(percent: int):
+    """Links between a block of odd members and a block of members, exact, as many as join what was apart.
+
+    Every shingle lists the members that have it; an odd member's shingles add up what it
+    shares with each. Links within a component, and further links between two that have
+    been joined here, are left out, so at most one row per member leaves the task.
+    """
+    def fn(t: pa.Table) -> pa.Table:
+        odd = t["odd"].to_numpy(zero_copy_only=False)
+        ids, comps = t["id"].to_numpy(), t["comp"].to_numpy()
+        sets = t["s"].combine_chunks()
+        sizes, flat = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), sets.flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(ids)), sizes)
+        here = ~odd[of]
+        order = np.argsort(flat[here], kind="stable")
+        shingles, members = flat[here][order], of[here][order]
+        root = {int(c): int(c) for c in comps}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(odd):
+            own = flat[ends[i] - sizes[i]:ends[i]]
+            low, high = np.searchsorted(shingles, own), np.searchsorted(shingles, own, "right")
+            width = high - low
+            at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
+            common = np.bincount(members[at], minlength=len(ids))
+            for j in np.flatnonzero(common * (100 + percent) >= (sizes + sizes[i]) * percent):
+                if not odd[j]:
+                    a, b = find(int(comps[i])), find(int(comps[j]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        return pa.table({"id_a": pa.array(cols[0], pa.int64()), "id_b": pa.array(cols[1], pa.int64())})
+    return fn
+
+
+def _crowd_links(scratch: Scratch, crowded: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that members of crowded buckets still lack: crowded(key, id, comp, main, n).
+
+    Buckets that share members are one crowd, so a member's set moves once per block and
+    not once per bucket. Each block of odd members meets each block of all members in a
+    task of its own; both are bounded in rows and shingles.
+    """
+    edges = crowded.groupBy("key").agg(F.min("id").alias("id_a")).join(crowded.select("key", F.col("id").alias("id_b")), "key").select("id_a", "id_b").distinct()
+    crowds = scratch.cut(_components(edges), "crowds")
+    members = crowded.groupBy("id", "comp", "n").agg(F.max(F.col("comp") != F.col("main")).alias("odd"))
+    members = scratch.cut(members.join(crowds, "id").withColumnRenamed("group_id", "crowd"), "members")
+    blocks = members.groupBy("crowd").agg(
+        *[F.ceil(F.greatest(F.count_if(kind) / F.lit(BLOCK_ROWS), F.sum(F.when(kind, F.col("n")).otherwise(0)) / F.lit(BLOCK_SHINGLES))).cast("int").alias(name)
+          for kind, name in ((F.col("odd"), "odd_blocks"), (F.lit(True), "all_blocks"))])
+    needed = few(scratch.cut(members.select("id").distinct(), "needed"))
+    sets = by_row(docs.join(needed, "id", "left_semi"), _sets(size), "id bigint, s array<bigint>").dropDuplicates(["id", "s"])
+    rows = scratch.cut(members.join(blocks, "crowd").join(sets, "id"), "crowd-sets")
+    spread = F.xxhash64("id")
+    odd = rows.filter("odd").select("crowd", F.pmod(spread, "odd_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), "id", "comp", "s", "odd")
+    all_rows = rows.filter("odd_blocks > 0").select("crowd", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("x"), F.pmod(spread, "all_blocks").alias("y"), "id", "comp", "s",
+                                                    F.lit(False).alias("odd"))
+    pairs = odd.select(*all_rows.columns).withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")})
+    pairs = pairs.unionByName(all_rows.withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")}))
+    return scratch.cut(pairs.groupBy("crowd", "x", "y").applyInArrow(_met_in_blocks(percent), "id_a bigint, id_b bigint").distinct(), "crowd-links")
+
+
 def _verified(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (ia, ib) whose full shingle sets have 100 * |a & b| >= percent * |a | b|."""
     sig = reps.select("id", "sig")
@@ -142,10 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal sets are one class, represented by its lowest id; only
     representatives are sketched into bands and compared. Each bucket of a band first
-    compares its members with one of them (its pivot), which joins most of them into
-    components; in crowded buckets members outside the largest component then meet a few
-    more of its members, one at a time, and at last all members of other components. So a bucket of k copies costs k comparisons, yet
-    every pair in a bucket is either compared or already connected. Candidates whose
+    compares its members with one of them (its pivot), unless other buckets have joined
+    them already, which makes components of most of them; in crowded buckets members outside the largest component then meet one
+    more of its members, and at last all members of other components: as pairs, or, in
+    buckets that are still crowded, inside tasks that each hold a block of either side
+    and give back the links alone. So a bucket of k copies costs k comparisons, yet every
+    pair in a bucket is either compared or already connected. Candidate pairs whose
     sketches disagree far beyond chance are dropped, all others are verified on their
     full sets.
 
@@ -163,18 +235,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classed")
     lone = classed.filter("id <> rep").select("id").distinct().join(classed.filter("id = rep").select("id"), "id", "left_anti")
     copies = few(scratch.cut(lone, "copies"))
-    reps = with_id.select("id", "bands", "sig").join(copies, "id", "left_anti")
+    reps = scratch.cut(with_id.select("id", "sig").join(copies, "id", "left_anti"), "reps")
 
-    rows = reps.select("id", F.explode("bands").alias("key"))
+    rows = with_id.join(copies, "id", "left_anti").select("id", F.explode("bands").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last")
     shared = scratch.cut(rows.join(pivots.select("key", "pivot"), "key"), "shared")
-    star = shared.filter("id <> pivot").select(F.col("pivot").alias("ia"), F.col("id").alias("ib")).distinct()
-    links = _verified(scratch, star, reps, docs, shingle, percent)
+    # A quarter of the buckets joins most of what belongs together; the others compare only what is still apart.
+    to_pivot = shared.filter("id <> pivot").select(F.col("pivot").alias("ia"), F.col("id").alias("ib"), "key")
+    tested = scratch.cut(to_pivot.filter("key & 3 = 0").select("ia", "ib").distinct(), "star")
+    links = _verified(scratch, tested, reps, docs, shingle, percent)
+    groups = _components(links)
+    apart = (to_pivot.select("ia", "ib").distinct().join(groups.withColumnsRenamed({"id": "ia", "group_id": "ga"}), "ia", "left")
+             .join(groups.withColumnsRenamed({"id": "ib", "group_id": "gb"}), "ib", "left")
+             .filter(F.coalesce("ga", "ia") != F.coalesce("gb", "ib")).select("ia", "ib").join(tested, ["ia", "ib"], "left_anti"))
+    apart = scratch.cut(apart, "apart")
+    links = links.unionByName(_verified(scratch, apart, reps, docs, shingle, percent))
+    tested = tested.unionByName(apart)
     groups = _components(links)
 
     sizes = classed.filter("id = rep").groupBy("id").agg(F.max("n").alias("n"))
     near_size = F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent
-    tested = star
     for turn in range(TURNS + 1):
         # Buckets that are not yet one component, and their odd members: those outside the largest.
         placed = shared.join(groups, "id", "left").withColumn("comp", F.coalesce("group_id", "id")).select("key", "id", "comp")
@@ -184,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_rows = scratch.cut(placed.join(split, "key").join(sizes, "id"), "open")
         odd = open_rows.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
         load = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("odd"))
-        rows, pairs = load.agg(F.sum("all"), F.sum(F.col("all") * F.col("odd"))).first()
+        load = scratch.cut(load.select("key", (F.col("all") * F.col("odd")).alias("pairs"), "all"), "load")
+        rows, pairs = load.agg(F.sum("all"), F.sum("pairs")).first()
         if turn == TURNS or (pairs or 0) <= 4 * (rows or 0):
             break
         # Many pairs are left: the odd members first meet one more member of the largest component, another in each bucket.
@@ -196,7 +277,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = tested.unionByName(met)
         groups = _components(links)
         scratch.drop(open_rows)
-    met = (odd.join(open_rows, "key").filter((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id"))) & near_size)
+    crowded = few(scratch.cut(load.filter(F.col("pairs") > CROWDED).select("key"), "crowded"))
+    links = links.unionByName(_crowd_links(scratch, open_rows.join(crowded, "key", "left_semi"), docs, shingle, percent))
+    sparse = open_rows.join(crowded, "key", "left_anti")
+    met = (odd.join(sparse, "key").filter((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id"))) & near_size)
            .select(F.least("x", "id").alias("ia"), F.greatest("x", "id").alias("ib")).distinct().join(tested, ["ia", "ib"], "left_anti"))
     more = _verified(scratch, met, reps, docs, shingle, percent)
     scratch.drop(shared, open_rows, sketches)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumisift.llm import near
 from lumisift.llm import text as tx
@@ -68,6 +69,27 @@ def test_crowd_of_linked_and_unlinked_texts(make):
     assert found(near.near_duplicates(make(rows), shingle=4)) == brute(rows, 4)
 
 
+@pytest.mark.parametrize("rows_of_a_block", [7])
+def test_crowded_buckets_compared_in_blocks(make, monkeypatch, rows_of_a_block):
+    """Texts around a common one at all similarities, links between odd members among them."""
+    monkeypatch.setattr(near, "CROWDED", 0)
+    monkeypatch.setattr(near, "BLOCK_ROWS", rows_of_a_block)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for doc in range(140):
+        w = words(r.choice(rows)[1]) if rows and r.random() < 0.4 else list(base)
+        for _ in range(r.randrange(9)):
+            w[r.randrange(len(w))] = f"o{r.randrange(10 ** 6)}"
+        rows.append((doc, " ".join(w)))
+    rows += [(500 + i, f"alone{i} " * 3 + "x y z") for i in range(20)] + [(0, rows[5][1]), (None, rows[3][1])]
+    # Nothing is found pair by pair, so all links must come from the blocks.
+    monkeypatch.setattr(near, "_verified", lambda scratch, pairs, *rest: pairs.select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b")).limit(0))
+    assert found(near.near_duplicates(make(rows[:-2]), shingle=4)) == brute(rows[:-2], 4)
+    monkeypatch.undo()
+    assert len(near.near_duplicates(make(rows), shingle=4).collect()) == len(rows)
+
+
 def test_messy_and_empty(make, messy):
     assert found(near.near_duplicates(make(messy), shingle=4)) == brute(messy, 4)
     assert found(near.near_duplicates(make([]), shingle=4)) == []
