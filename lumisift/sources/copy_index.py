@@ -81,7 +81,7 @@ class CopyIndex:
         path = f"{self.folder}/{kind}-{generation:04d}"
         name = f"copy_index_{kind}_{hashlib.md5(path.encode()).hexdigest()[:20]}"
         if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{path.replace(chr(39), chr(92) + chr(39))}'")
         return name
 
     def _read(self, kind: str, at: Commit) -> DataFrame:
