@@ -18,7 +18,7 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIGNED, MIN_AGREE = 200, 116
 TURNS = 1  # further pivots that the odd members of crowded buckets meet before they meet all members
 # Pairs of a bucket beyond which its members are compared inside tasks, in blocks of about so many shingles and rows.
-CROWDED, BLOCK_SHINGLES, BLOCK_ROWS = 20_000, 1 << 19, 1_000
+CROWDED, BLOCK_SHINGLES, BLOCK_ROWS = 500, 1 << 19, 1_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,9 @@ def _crowd_links(scratch: Scratch, crowded: DataFrame, docs: DataFrame, size: in
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (ia, ib) whose full shingle sets have 100 * |a & b| >= percent * |a | b|."""
+    """Pairs (ia, ib), a written table, whose full shingle sets have 100 * |a & b| >= percent * |a | b|."""
+    if pairs.isEmpty():
+        return pairs.select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"))
     sig = reps.select("id", "sig")
     both = (pairs.join(sig.withColumnsRenamed({"id": "ia", "sig": "sig_a"}), "ia")
             .join(sig.withColumnsRenamed({"id": "ib", "sig": "sig_b"}), "ib"))
@@ -277,12 +279,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = tested.unionByName(met)
         groups = _components(links)
         scratch.drop(open_rows)
-    crowded = few(scratch.cut(load.filter(F.col("pairs") > CROWDED).select("key"), "crowded"))
-    links = links.unionByName(_crowd_links(scratch, open_rows.join(crowded, "key", "left_semi"), docs, shingle, percent))
-    sparse = open_rows.join(crowded, "key", "left_anti")
+    crowded, sparse = scratch.cut(load.filter(F.col("pairs") > CROWDED).select("key"), "crowded"), open_rows
+    if not crowded.isEmpty():
+        crowded = few(crowded)
+        links = links.unionByName(_crowd_links(scratch, open_rows.join(crowded, "key", "left_semi"), docs, shingle, percent))
+        sparse = open_rows.join(crowded, "key", "left_anti")
     met = (odd.join(sparse, "key").filter((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id"))) & near_size)
            .select(F.least("x", "id").alias("ia"), F.greatest("x", "id").alias("ib")).distinct().join(tested, ["ia", "ib"], "left_anti"))
-    more = _verified(scratch, met, reps, docs, shingle, percent)
+    more = _verified(scratch, scratch.cut(met, "met"), reps, docs, shingle, percent)
     scratch.drop(shared, open_rows, sketches)
     groups = _components(links.unionByName(more))
     component = F.when(F.col("id").isNotNull(), F.coalesce("group_id", "rep", "id"))
