@@ -23,11 +23,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-def bit_run(value: Column, start: int, width: int) -> Column:
-    """`width` bits of `value` from bit `start` (0 = least significant); safe for negatives."""
-    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

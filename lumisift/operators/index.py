@@ -87,10 +87,3 @@ def orphan_captions(images: DataFrame, texts: DataFrame) -> DataFrame:
     keyed = images.select(folder(F.col("path")).alias("_folder"), stem(F.col("path")).alias("_stem"))
     return (texts.withColumn("_folder", folder(F.col("path"))).withColumn("_stem", stem(F.col("path")))
             .join(keyed, ["_folder", "_stem"], "left_anti").select(*texts.columns))
-
-
-def attach_sidecar(images: DataFrame, records: DataFrame, key: str) -> DataFrame:
-    """Left join of one sidecar record per image on a shared unique key."""
-    require(images, key)
-    require(records, key)
-    return images.join(records, key, "left")
