@@ -81,7 +81,9 @@ def _close_pairs(distinct: DataFrame, k: int, bits: int, blocks: int, bucket_row
     keyed = _keyed(distinct, coarse, k, [])
     # Keys held by one hash, nearly all of them, leave before the self-join.
     counts = keyed.groupBy("k0", "v0").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    sized = keyed.join(counts, ["k0", "v0"])
+    # Spark takes exploded rows to be as small as the table they come from, and would
+    # broadcast them: joins of keys are merge joins.
+    sized = keyed.join(counts.hint("merge"), ["k0", "v0"])
     largest = counts.agg(F.max("_n")).first()[0] or 0
     if largest <= bucket_rows:
         return _join(sized, [("k0", "v0", coarse)], k)
@@ -109,7 +111,7 @@ def _join(keyed: DataFrame, levels: list[tuple[str, str, list[int]]], k: int) ->
     # A pair may agree on several choices: it is taken from one of them only, which
     # needs no distinct over the pairs. The cheap distance test comes first.
     once = " AND ".join(f"{number} = {_canonical_choice('(ha ^ hb)', parts, k)}" for number, _, parts in levels)
-    return (a.join(b, keys).filter(F.expr(f"ia < ib AND if(bit_count(ha ^ hb) <= {k}, {once}, false)"))
+    return (a.join(b.hint("merge"), keys).filter(F.expr(f"ia < ib AND if(bit_count(ha ^ hb) <= {k}, {once}, false)"))
             .select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.expr("bit_count(ha ^ hb)").alias("distance")))
 
 
