@@ -151,5 +151,6 @@ def joined(entries: DataFrame, probes: DataFrame, keys: list[str], conditions: l
     a = entries.withColumnsRenamed({"h": "ha", "id": "ia"})
     b = probes.withColumnsRenamed({"h": "hb", "id": "ib"})
     near = f"if(bit_count(ha ^ hb) <= {distance}, {' AND '.join(conditions)}, false)"
-    return (a.join(b, keys).filter(F.expr(near))
+    # Spark takes exploded rows to be as small as the table they come from, and would broadcast them.
+    return (a.join(b.hint("merge"), keys).filter(F.expr(near))
             .select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.expr("bit_count(ha ^ hb)").alias("distance")))

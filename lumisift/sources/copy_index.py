@@ -146,7 +146,7 @@ class CopyIndex:
         b = asked.withColumnsRenamed({"h": "hb", "id": "ib", "part": "pb"})
         # `pa - pb = 0` is no join key: the stored side is bucketed by `key` alone.
         near = f"if(bit_count(ha ^ hb) <= {self.distance}, pa - pb = 0 AND {first}, false)"
-        pairs = (a.join(b, "key").filter(F.expr(near))
+        pairs = (a.join(b.hint("merge"), "key").filter(F.expr(near))
                  .select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.expr("bit_count(ha ^ hb)").alias("distance")))
         return pairs if deeper is None else pairs.unionByName(deeper)
 

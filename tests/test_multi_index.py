@@ -79,3 +79,22 @@ def test_rows_sent_are_bounded_and_as_stated():
     # More hashes are met with longer substrings.
     assert [mi.choose_parts(n, 64, 10) for n in (10**4, 10**6, 10**8)] == sorted((mi.choose_parts(n, 64, 10) for n in (10**4, 10**6, 10**8)), reverse=True)
     assert mi.choose_parts(10**8, 64, 10) < mi.choose_parts(10**4, 64, 10)
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_exploded_keys_are_never_broadcast(spark, far, monkeypatch):
+    """Spark takes exploded rows to be as small as their table, so it would send them all to the driver."""
+    from lumisift.operators import hamming
+
+    rng = random.Random(3)
+    hashes = spark.createDataFrame([(i, rng.getrandbits(60)) for i in range(300)], "id long, h long")
+    seen = []
+    if far:
+        cuts, within = mi.cut_bits(60, 5), mi.radii(10, 5)
+        seen = [mi.joined(mi.listed_rows(hashes, cuts, within), mi.asked_rows(hashes, cuts, within), ["c0", "v0"], ["ia < ib"], 10)]
+    else:
+        join = hamming._join
+        monkeypatch.setattr(hamming, "_join", lambda *a: seen.append(join(*a)) or seen[-1])
+        hamming.hamming_pairs(hashes.withColumnRenamed("h", "hash"), 3, 60)
+    plans = [found._jdf.queryExecution().executedPlan().toString() for found in seen]
+    assert plans and all("Generate" in p and "SortMergeJoin" in p and "Broadcast" not in p for p in plans)
