@@ -20,6 +20,10 @@ from lumisift.session import cut
 MAX_PIVOTS = 256  # bounds what the driver holds: pivots, cell statistics, cell pairs
 MISSED = 0.01  # chance that `lsh` misses a pair whose cosine is the threshold; likelier pairs are missed less
 SENT = 300  # products of two vectors that take as long as sending one vector to a task
+SHARES = 32  # shares of all rows that meet two by two: a row is sent to about so many of them
+MOST_HELD = 32_768  # rows of such a share, at most
+HELD_BYTES = 32 << 20  # bytes of such a share, at most
+MOST_SENT = 2 * SHARES  # times that `lsh` sends a row, where some number of signs allows it
 PAIRS = "id_a bigint, id_b bigint, score double"
 
 
@@ -81,42 +85,65 @@ def _grid_pairs(distinct: DataFrame, threshold: float, block_rows: int, all_pair
     placed = (distinct.withColumn("_c", nearest("u")).select("id", "u", "_c.*")
               .withColumn("cell", F.col("home") * 2 + (F.col("cosine") < threshold).cast("int")))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least")).collect()
-    blocks = {c["cell"]: math.ceil(c["n"] / block_rows) for c in cells}
     radius = {c["cell"]: math.acos(min(1.0, max(-1.0, c["least"]))) for c in cells}
     reach = math.acos(min(1.0, threshold)) + 1e-4
     between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
-    routes = []  # at most (2 * MAX_PIVOTS) ** 2 rows: each cell and a partner it must meet
-    for a in blocks:
-        for b in blocks:
-            if a == b and a % 2 == 0 and not all_pairs:
-                continue  # all of them hang together by their pivot
-            if a == b or between[a // 2, b // 2] - radius[a] - radius[b] <= reach:
-                routes.append((a, blocks[a], b, blocks[b]))
+    # Cells that must meet: at most (2 * MAX_PIVOTS) ** 2. Members of an even one hang together by their pivot.
+    numbers = sorted(radius)
+    width = np.array([radius[c] for c in numbers])
+    home = np.array(numbers, dtype=int) // 2
+    near = np.zeros((2 * len(pivots), 2 * len(pivots)), bool)
+    near[np.ix_(numbers, numbers)] = between[np.ix_(home, home)] - width[:, None] - width[None, :] <= reach
+    near[numbers, numbers] = [all_pairs or c % 2 == 1 for c in numbers]
     links = placed.filter((F.col("cell") % 2 == 0) & (F.col("id") != F.col("pivot"))).select(
         F.least("id", "pivot").alias("id_a"), F.greatest("id", "pivot").alias("id_b"), F.col("cosine").alias("score"))
-    routed = spark.createDataFrame(routes, "cell int, parts int, other int, other_parts int")
-    # A crowded cell is cut into parts by id hash. Each row goes to every part it must meet.
-    here = F.struct("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    there = F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
-    sent = (placed.select("id", "u", "cell").join(F.broadcast(routed), "cell")
-            .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-            .select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), (here <= there).alias("is_a"),
-                    "id", "u"))
+    # Parts of crowded cells, dealt out by id hash, fill shares of bounded size. A row goes
+    # to every share that holds a part of a cell it must meet, and meets those cells there.
+    parts, shares = _filled({c["cell"]: c["n"] for c in cells}, share_rows(n, block_rows, pivots.shape[1]))
+    holding = {cell: {share for (c, _), share in shares.items() if c == cell} for cell in parts}
+    others = {cell: set().union(*(holding[d] for d in parts if near[cell, d])) for cell in parts}
+    routes = [(cell, part, share, other) for (cell, part), share in shares.items() for other in others[cell]]
+    routed = spark.createDataFrame(routes, "cell int, part int, share int, other int")
+    sizes = spark.createDataFrame(list(parts.items()), "cell int, parts int")
+    sent = (placed.select("id", "u", "cell").join(F.broadcast(sizes), "cell")
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+            .join(F.broadcast(routed), ["cell", "part"])
+            .select(F.least("share", "other").alias("a"), F.greatest("share", "other").alias("b"),
+                    (F.col("share") <= F.col("other")).alias("is_a"), "cell", "id", "u"))
 
     def meet(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
-        left = group if same else group[group["is_a"]]
-        right = group if same else group[~group["is_a"]]
-        return _block_product(left, right, same, threshold)
+        ids, x, cell = group["id"].to_numpy(), matrix(group["u"]), group["cell"].to_numpy()
+        is_a = group["is_a"].to_numpy()
+        sides = [{c: np.flatnonzero(here & (cell == c)) for c in np.unique(cell[here])}
+                 for here in ((is_a, is_a) if same else (is_a, ~is_a))]
+        found = []
+        for c, left in sides[0].items():
+            for d, right in sides[1].items():
+                if near[c, d] and (c <= d or not same):
+                    found += _products(ids[left], x[left], ids[right], x[right], same and c == d, threshold)
+        return _frame(found)
 
     met = sent.groupBy("a", "b").applyInPandas(meet, PAIRS)
     return (met if all_pairs else met.unionByName(links)).withColumn("score", F.round("score", 6))
 
 
-def _block_product(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
-    if not len(left) or not len(right):
-        return _frame([])
-    return _frame(_products(left["id"].to_numpy(), matrix(left["u"]), right["id"].to_numpy(), matrix(right["u"]), same, threshold))
+def share_rows(n: int, block_rows: int, dims: int) -> int:
+    """Rows that a task holds of each side: a share of all, so that sending grows with the rows and not with their square."""
+    return max(block_rows, min(MOST_HELD, HELD_BYTES // (8 * dims), math.ceil(n / SHARES)))
+
+
+def _filled(sizes: dict[int, int], room: int) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+    """(parts of each cell, share of each part): cells follow each other into shares of about `room` rows."""
+    parts, shares, share, held = {}, {}, 0, 0
+    for cell in sorted(sizes):
+        parts[cell] = math.ceil(sizes[cell] / room)
+        for part in range(parts[cell]):
+            rows = sizes[cell] / parts[cell]
+            if held and held + rows > 1.25 * room:
+                share, held = share + 1, 0
+            shares[cell, part], held = share, held + rows
+    return parts, shares
 
 
 def _products(ids_l: np.ndarray, x: np.ndarray, ids_r: np.ndarray, y: np.ndarray, same: bool, threshold: float,
@@ -148,28 +175,35 @@ def banding(n: int, threshold: float, bucket_rows: int, bands: int | None = None
     """(bands, signs per band) that find pairs at the threshold among `n` vectors with least work.
 
     More signs make smaller buckets and need more bands. A row is sent once per band and
-    block it meets, and multiplied with the rows of its bucket. At low thresholds no
-    signs at all can be cheapest: then one bucket holds all, cut into blocks.
+    block it meets, and multiplied with the rows of its bucket. It is sent no more than
+    MOST_SENT times if some number of signs allows that, else as seldom as can be. At low
+    thresholds no signs at all can be cheapest: then one bucket holds all, cut into blocks.
     """
     def work(bits: int) -> float:
         crowd = n / 2 ** bits
         return bands_needed(threshold, bits) * (SENT * max(1.0, crowd / bucket_rows) + crowd / 2)
 
+    def sent(bits: int) -> float:
+        return bands_needed(threshold, bits) * max(1.0, n / 2 ** bits / bucket_rows)
+
     if band_bits is None:
         fit = [b for b in range(49) if bands is None or bands_needed(threshold, b) <= bands]
-        band_bits = min(fit, key=work)
+        few = [b for b in fit if sent(b) <= MOST_SENT] or [min(fit, key=sent)]
+        band_bits = min(few, key=work)
     return bands_needed(threshold, band_bits) if bands is None else bands, band_bits
 
 
 def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int | None = None, band_bits: int | None = None,
-               bucket_rows: int = 2_000, seed: int = 17) -> DataFrame:
+               bucket_rows: int | None = None, seed: int = 17) -> DataFrame:
     """Vectors agreeing on all signs of a band.
 
     `bands` and `band_bits` follow the threshold and the number of vectors unless given
-    (see `banding`). `bucket_rows` only cuts the work.
+    (see `banding`). `bucket_rows` only cuts the work: a share of all rows unless given.
     """
     distinct = cut(distinct, "units")
-    bands, band_bits = banding(distinct.count(), threshold, bucket_rows, bands, band_bits)
+    n, ids, dims = distinct.agg(F.count(F.lit(1)), F.count_distinct("id"), F.max(F.size("u"))).first()
+    bucket_rows = bucket_rows or share_rows(n, 2_000, dims or 1)
+    bands, band_bits = banding(n, threshold, bucket_rows, bands, band_bits)
 
     @F.pandas_udf("array<bigint>")
     def signatures(u: pd.Series) -> pd.Series:
@@ -222,6 +256,8 @@ def _lsh_pairs(distinct: DataFrame, threshold: float, bands: int | None = None,
             yield settle(rest[0], np.zeros(1, np.int64))
 
     met = sent.repartition(*block).sortWithinPartitions(*block).mapInPandas(meet, PAIRS)
+    if bands == 1 and ids == n:
+        return met.withColumn("score", F.round("score", 6))
     # A pair may meet in many bands.
     return met.groupBy("id_a", "id_b").agg(F.round(F.max("score"), 6).alias("score"))
 

@@ -198,6 +198,31 @@ def test_cosine_links_give_the_same_groups(spark):
     assert set(some) <= set(every) and len(some) < len(every) and components(some) == components(every)
 
 
+def sendings(monkeypatch, kind, name):
+    """Calls of a DataFrame method that deals rows out; each as the frame that it is called on."""
+    seen, real = [], getattr(kind, name)
+    monkeypatch.setattr(kind, name, lambda self, *a: seen.append(self) or real(self, *a))
+    return seen
+
+
+@pytest.mark.parametrize("mode", ["exact", "lsh"])
+def test_cosine_sends_a_row_a_bounded_number_of_times(spark, monkeypatch, mode):
+    """With blocks of a fixed size a row would be sent to as many as there are: the square of the rows."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 8)))], "id bigint, features array<double>")
+    blocks = {"block_rows": 16} if mode == "exact" else {}
+    if mode == "lsh":
+        monkeypatch.setattr(cosine, "share_rows", lambda n, least, dims, real=cosine.share_rows: real(n, 16, dims))
+    seen = sendings(monkeypatch, type(df), "groupBy" if mode == "exact" else "repartition")
+    found = pairs(cosine.cosine_pairs(df, 0.35, mode=mode, **blocks))
+    sent = [frame.count() for frame in seen if "is_a" in frame.columns]
+    assert len(sent) == 1 and sent[0] <= 3000 * cosine.MOST_SENT
+    if mode == "exact":
+        u = np.array([r["features"] for r in df.orderBy("id").collect()])
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        assert found == [(int(i), int(j)) for i, j in np.argwhere(np.triu(np.round(u @ u.T, 9) >= 0.35, 1))]
+
+
 def test_cosine_lsh_recall(spark):
     v = vectors(300, 4)
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id bigint, features array<double>")
