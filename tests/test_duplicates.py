@@ -113,6 +113,30 @@ def test_jaccard_equals_brute_force(spark, percent, bucket_rows, broadcast_bytes
     assert pairs(got) == brute_jaccard(sets, percent)
 
 
+def test_sets_too_far_apart_never_become_candidates(spark):
+    """They share a rare word but little else: their number grows with the square of the rows."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    sets = [(i, set(rng.sample(words, 30)) | {f"x{i % 3}"}) for i in range(120)]
+    sets += [(200 + i, (s - {sorted(s)[0]}) | {f"y{i % 2}"}) for i, s in sets[:20]]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets], "id bigint, s array<string>")
+    ranked = jaccard._ranked_sets(df, 80, 10**6).cache()
+    found = jaccard._candidates(ranked, 80, 5000, True).select(F.least("ia", "ib"), F.greatest("ia", "ib")).distinct()
+    want = {p[:2] for p in brute_jaccard(sets, 80)}
+    assert len(want) >= 20 and {tuple(r) for r in found.collect()} == want
+
+
+def test_only_rows_of_rarer_words_are_shuffled(spark, monkeypatch):
+    """A vocabulary too large to be sent to every task: its commonest words still are."""
+    sets = [(i, {"a", "b", "c", "d", "e", f"p{i}", f"q{i // 2}"}) for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets], "id bigint, text string")
+    seen, real = [], jaccard.salted_join
+    monkeypatch.setattr(jaccard, "salted_join", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    got = jaccard.jaccard_pairs(df, hs.words(F.col("text")), 0.8, broadcast_bytes=400)
+    assert pairs(got) == brute_jaccard(sets, 80)
+    assert [rows.count() for rows in seen] == [400]
+
+
 def test_word_on_every_row(spark):
     # One token on all rows, so its bucket holds everything, and few similar sets.
     rng = random.Random(2)
