@@ -16,7 +16,8 @@ from lumisift.llm.common import PIECE, Scratch, by_row
 
 GRAM = 40  # bytes of an anchor
 SHARD = 1 << 19  # bytes of text in one suffix array
-HOT = 1_000  # different neighbourhoods of one anchor that are still kept together; those of others go by windows
+HOT = 1_000  # different neighbourhoods of one anchor that are still kept together; those of others go by slices
+SLICE = 16  # windows of a slice: the anchor's offset in them differs by less than this
 _PLACE_BITS, _BLOCK = 24, 1 << 22  # places of one array that are numbered at a time
 _BASE = 0xA24BAED4963EE407 | 1
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -107,63 +108,115 @@ def _runs(window: int):
 
 
 _WINDOWS = "anchor bigint, content bigint, first bigint, last bigint"
-_PIECES = "anchor bigint, content bigint, weight bigint, bytes binary, part int, w1 bigint, w2 bigint"
+_PIECES = "anchor bigint, content bigint, weight bigint, bytes binary, part int, core bigint, own bigint, cut binary"
+_NAMES = "anchor bigint, content bigint, weight bigint, part int, w1 bigint, w2 bigint"
+
+
+def _key(raw: bytes, salt: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=salt.to_bytes(4, "little")).digest(), "little", signed=True)
+
+
+def slices(raw: bytes, at: int, window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first window, key of the core, key of all bytes, bytes) of the slices that a run of windows is cut into.
+
+    Windows whose offset of the anchor lies in the same SLICE are one slice. The core are
+    the bytes that all windows of such a slice hold, whichever of them the run has: equal
+    windows lie in slices of one number with equal cores.
+    """
+    x, more, offset = at >> 24, at >> 12 & 0xFFF, at & 0xFFF
+    place, most, i = x + offset, window - min(GRAM, window), 0
+    while i <= more:
+        number = (offset - i) // SLICE
+        least = number * SLICE
+        last = min(more, offset - least)
+        core = raw[place - least:place - min(least + SLICE - 1, most) + window]
+        own = raw[x + i:x + last + window]
+        yield i, _key(core, number), _key(own), own
+        i = last + 1
 
 
 def _neighbourhoods(window: int):
-    """Bytes around each wanted anchor: (anchor, content, weight, bytes, part, w1, w2).
+    """Bytes around each wanted anchor: (anchor, content, weight, bytes, part, core, own, cut).
 
-    The neighbourhoods of a hot anchor are not sent: each window of theirs, the one at
-    `part`, is named by two hashes, so that equal windows can be counted before they meet.
+    The neighbourhoods of a hot anchor are not sent as a whole but in slices, which begin at
+    window `part`: `cut` are the bytes of a slice, `core` and `own` name those that its windows
+    share and all of them.
     """
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("weight", pa.int64()), ("bytes", pa.binary()),
-                        ("part", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+                        ("part", pa.int32()), ("core", pa.int64()), ("own", pa.int64()), ("cut", pa.binary())])
 
     def sent(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        none = pa.nulls(len(rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types[:4], strict=True)]
-                                          + [none.cast(t) for t in schema.types[4:]], schema=schema)
-
-    def cut_up(raw: bytes, w: dict) -> pa.RecordBatch:
-        x, n = w["at"] >> 24, (w["at"] >> 12 & 0xFFF) + 1
-        codes = b"".join(hashlib.blake2b(raw[i:i + window], digest_size=16).digest() for i in range(x, x + n))
-        codes = np.frombuffer(codes, np.int64).reshape(n, 2)
-        cols = [np.full(n, w["anchor"]), np.full(n, w["content"]), np.full(n, w["weight"]), pa.nulls(n, pa.binary()),
-                np.arange(n, dtype=np.int32), np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-                raw, rows, cuts, n = text.as_py().encode(), [], [], 0
+                raw, rows = text.as_py().encode(), []
                 for w in wanted.as_py():
-                    x, more = w["at"] >> 24, w["at"] >> 12 & 0xFFF
-                    if not w["hot"]:
-                        rows.append((w["anchor"], w["content"], w["weight"], raw[x:x + more + window]))
-                        continue
-                    cuts.append(cut_up(raw, w))
-                    n += more + 1
-                    if n > 1 << 16:
-                        yield from pa.Table.from_batches(cuts).combine_chunks().to_batches()
-                        cuts, n = [], 0
-                if cuts:
-                    yield from pa.Table.from_batches(cuts).combine_chunks().to_batches()
+                    name = (w["anchor"], w["content"], w["weight"])
+                    if w["hot"]:
+                        rows += [(*name, None, *part) for part in slices(raw, w["at"], window)]
+                    else:
+                        x, more = w["at"] >> 24, w["at"] >> 12 & 0xFFF
+                        rows.append((*name, raw[x:x + more + window], None, None, None, None))
+                    if len(rows) > 1 << 14:
+                        yield sent(rows)
+                        rows = []
                 if rows:
                     yield sent(rows)
     return run
 
 
-def _runs_of_parts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(anchor, content, first, last) of the parts that follow each other."""
+def _windows_of(window: int):
+    """Windows of slices(core, own, weight, cut) by two hashes: (anchor, content, weight, part, w1, w2)."""
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raws = batch.column("cut").to_pylist()
+        counts = np.array([len(raw) - window + 1 for raw in raws])
+        codes = b"".join(hashlib.blake2b(raw[i:i + window], digest_size=16).digest() for raw, n in zip(raws, counts, strict=True) for i in range(n))
+        codes = np.frombuffer(codes, np.int64).reshape(-1, 2)
+        part = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        cols = [*(np.repeat(batch.column(c).to_numpy(), counts) for c in ("core", "own", "weight")), part.astype(np.int32),
+                np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "content", "weight", "part", "w1", "w2"])
+    return fn
+
+
+def _joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(anchor, content, first, last) of the runs [first, last] in `runs` that overlap or follow each other, as one."""
     rows = []
-    for anchor, content, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        p = np.sort(np.array(parts))
-        edge = np.flatnonzero(np.diff(p) > 1)
-        rows += [(anchor, content, int(i), int(j)) for i, j in zip(p[np.append(0, edge + 1)], p[np.append(edge, len(p) - 1)], strict=True)]
+    for anchor, content, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        first, last = np.array(sorted((r["first"], r["last"]) for r in runs)).T
+        edge = np.flatnonzero(first[1:] > np.maximum.accumulate(last)[:-1] + 1)
+        ends = np.maximum.accumulate(last)[np.append(edge, len(last) - 1)]
+        rows += [(anchor, content, int(i), int(j)) for i, j in zip(first[np.append(0, edge + 1)], ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["anchor", "content", "first", "last"])
 
 
+def _by_slices(parts: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(anchor, content, first, last) of the repeated windows of hot anchors, whose slices `parts` are; the tables it reads.
+
+    Slices meet by core, and equal ones as one piece with a weight. Only where more than
+    HOT different ones share a core are their windows counted one by one.
+    """
+    own = scratch.cut(parts.groupBy("core", "own").agg(F.sum("weight").alias("weight"), F.first("cut").alias("cut")), "slices")
+    met = (own.groupBy("core").agg(F.sum("weight").alias("places"), F.count(F.lit(1)).alias("variants"))
+           .filter("places > 1").select("core", (F.col("variants") > HOT).alias("hot")))
+    shared = scratch.cut(own.join(met, "core"), "shared")
+    scratch.drop(own)
+    apart = _shards(shared.filter("NOT hot").select(F.col("core").alias("anchor"), F.col("own").alias("content"), "weight", F.col("cut").alias("bytes")), window)
+    # Equal windows are summed in the tasks before they are sent.
+    single = scratch.cut(by_row(shared.filter("hot"), _windows_of(window), _NAMES), "names")
+    often = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2")
+    one = single.join(often, ["w1", "w2"]).select("anchor", "content", F.col("part").cast("long").alias("first"), F.col("part").cast("long").alias("last"))
+    found = _with_joined_runs(apart.unionByName(one)).withColumnsRenamed({"anchor": "core", "content": "own"})
+    out = _with_joined_runs(parts.join(found, ["core", "own"]).select("anchor", "content", (F.col("part") + F.col("first")).alias("first"), (F.col("part") + F.col("last")).alias("last")))
+    return out, [shared, single]
+
+
+def _with_joined_runs(runs: DataFrame) -> DataFrame:
+    return by_row(runs.groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs")), _joined_runs, _WINDOWS)
+
+
 def repeated_windows(pieces: list[bytes], weights: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, first start, last start) of the maximal runs of windows that occur more than once.
 
@@ -213,6 +266,11 @@ def _sorted_shards(window: int):
     return run
 
 
+def _shards(pieces: DataFrame, window: int) -> DataFrame:
+    """Repeated windows of pieces(anchor, content, weight, bytes)."""
+    return pieces.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sorted_shards(window), _WINDOWS)
+
+
 def text_key() -> list:
     """Two hashes that name a text: equal texts share all they are found to hold."""
     return [F.xxhash64("text").alias("ka"), F.xxhash64(F.lit(1), "text").alias("kb")]
@@ -229,9 +287,9 @@ def repeated_passages(docs: DataFrame, window: int, scratch: Scratch) -> DataFra
     so equal windows meet without any window being sent alone. Anchors found in one
     place only leave here. Neighbourhoods with equal bytes are one piece with a weight.
     The pieces are joined into shards of bounded size by anchor, a suffix array of each
-    is built by induced sorting, and common prefixes tell the repeated windows. Windows of
-    anchors with more than HOT neighbourhoods are counted one by one: however many texts
-    hold one, a task is sent one sum per task that read them.
+    is built by induced sorting, and common prefixes tell the repeated windows. The
+    neighbourhoods of anchors with more than HOT of them are cut into slices of some
+    windows, which meet by the bytes that all windows of a slice hold.
     """
     found = by_row(docs.select(*text_key(), "text").filter(F.octet_length("text") >= window), _runs(window),
                    "anchor bigint, content bigint, ka bigint, kb bigint, at bigint")
@@ -248,14 +306,10 @@ def repeated_passages(docs: DataFrame, window: int, scratch: Scratch) -> DataFra
     texts = (docs.filter(F.octet_length("text") >= window).select(*text_key(), "text").groupBy("ka", "kb").agg(F.first("text").alias("text"))
              .join(wanted, ["ka", "kb"]).select("text", "wanted"))
     pieces = scratch.cut(texts.mapInArrow(_neighbourhoods(window), _PIECES), "pieces")
-    shards = pieces.filter("bytes IS NOT NULL").select("anchor", "content", "weight", "bytes").repartition("anchor").sortWithinPartitions("anchor", "content")
-    sorted_out = shards.mapInArrow(_sorted_shards(window), _WINDOWS)
-    # Equal windows of hot anchors are summed in the tasks before they are sent.
-    single = pieces.filter("bytes IS NULL")
-    often = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2")
-    parts = single.join(often, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_list("part").alias("parts"))
-    windows = scratch.cut(sorted_out.unionByName(by_row(parts, _runs_of_parts, _WINDOWS)), "windows")
-    scratch.drop(pieces)
+    whole = _shards(pieces.filter("bytes IS NOT NULL").select("anchor", "content", "weight", "bytes"), window)
+    hot, read = _by_slices(pieces.filter("bytes IS NULL").select("anchor", "content", "weight", "part", "core", "own", "cut"), window, scratch)
+    windows = scratch.cut(whole.unionByName(hot), "windows")
+    scratch.drop(pieces, *read)
     x = F.shiftright("at", 24)
     spans = (places.join(windows, ["anchor", "content"])
              .select("ka", "kb", F.struct((x + F.col("first")).alias("first"), (x + F.col("last")).alias("last")).alias("span")).distinct()

@@ -124,3 +124,17 @@ def test_cutting_keeps_rows_columns_and_characters(make, messy):
     texts = {r.doc_id: r.text for r in out.collect()}
     # An odd window leaves half a character at one end: it stays whole.
     assert texts[2] is None and texts[3] == "" and set(texts[20]) <= set("xyé") and len(texts[20]) <= 4 and texts[7] == "a b"
+
+
+def test_variants_of_a_hot_anchor_go_by_slices(make, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 10)
+    r = random.Random(4)
+
+    def near_copy():  # one character in forty is another
+        return "".join(r.choice("abcdefg") if r.random() < 0.025 else c for c in LONG_TEXT)
+    rows = [(i, near_copy()) for i in range(60)]
+    want = {i: t.encode() for i, t in rows}
+    count = Counter(x[i:i + 64] for x in want.values() for i in range(len(x) - 63))
+    got, seen = rows_sent(monkeypatch, lambda: found(repeats.passage_report(make(rows), window=64)))
+    repeated = sum(count[x[i:i + 64]] > 1 for x in want.values() for i in range(len(x) - 63))
+    assert got == brute(rows, 64) and 0 < len(seen["names"]) < repeated / 4
