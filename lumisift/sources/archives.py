@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import math
 import re
+import shutil
+import struct
+import tempfile
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -28,6 +33,7 @@ SHARD_NAME = re.compile(r"part-\d{5,}\.zip")
 # What a binary cell holds. A larger member is an error row of `import_archive`;
 # `extract_archive` streams members of any size.
 MAX_MEMBER_BYTES = (1 << 31) - (1 << 20)
+DIRECTORY_ROWS = 10_000  # entries of an archive's directory that a task holds
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1_000  # what a task holds before it hands rows on
 
 
@@ -108,30 +114,28 @@ class ZipShardWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
         system, root = open_fs(self.folder)
         system.create_dir(root, recursive=True)
-        partial, open_zips = {}, {}
+        partial: dict[int, str] = {}
+        open_zips: dict[int, _Shard] = {}
         try:
             for batch in batches:
                 for shard, path, member in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     if shard not in open_zips:
                         # One name per attempt: a retried or doubled task cannot clash.
                         partial[shard] = f"{root}/_{uuid.uuid4().hex}.part"
-                        sink = system.open_output_stream(partial[shard])
-                        open_zips[shard] = (zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), sink)
+                        open_zips[shard] = _Shard(system.open_output_stream(partial[shard]))
                     source, inner = open_fs(path)
-                    with source.open_input_stream(inner) as data, open_zips[shard][0].open(member, "w", force_zip64=True) as entry:
-                        while chunk := data.read(1 << 20):
-                            entry.write(chunk)
+                    with source.open_input_stream(inner) as data:
+                        open_zips[shard].add(member, data)
         except BaseException:
             # Nobody else knows the names of this attempt's files.
-            for _, sink in open_zips.values():
-                sink.close()
+            for archive in open_zips.values():
+                archive.close()
             for path in partial.values():
                 if system.get_file_info(path).type == pafs.FileType.File:
                     system.delete_file(path)
             raise
-        for archive, sink in open_zips.values():
-            archive.close()
-            sink.close()
+        for archive in open_zips.values():
+            archive.finish()
         return Shards(partial)
 
     def commit(self, messages: list[Shards | None]) -> None:
@@ -154,6 +158,113 @@ class ZipShardWriter(DataSourceArrowWriter):
                     system.delete_file(path)
 
 
+class _Shard:
+    """An archive being written to a stream. Its directory grows in a file of the executor, not in memory."""
+
+    def __init__(self, sink):
+        self.sink, self.at, self.count, self.aside = sink, 0, 0, None
+        self.entries = tempfile.TemporaryFile()
+        self.part = zipfile.ZipFile(self, "w", zipfile.ZIP_DEFLATED)
+
+    # What an archive asks of a stream that only goes forward.
+    def write(self, data) -> int:
+        if self.aside is not None:
+            self.aside += data
+        else:
+            self.sink.write(data)
+            self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at + len(self.aside or b"")
+
+    def flush(self) -> None:
+        pass
+
+    def add(self, member: str, data) -> None:
+        with self.part.open(member, "w", force_zip64=True) as entry:
+            while chunk := data.read(1 << 20):
+                entry.write(chunk)
+        self.count += 1
+        if self.count % DIRECTORY_ROWS == 0:
+            self._put_aside()
+            self.part = zipfile.ZipFile(self, "w", zipfile.ZIP_DEFLATED)
+
+    def _put_aside(self) -> None:
+        """Take the entries of the members since the last time; they name places in the whole archive."""
+        self.aside = bytearray()
+        self.part.close()
+        taken, self.aside = bytes(self.aside), None
+        self.entries.write(taken[:struct.unpack("<L", taken[-10:-6])[0]])
+
+    def finish(self) -> None:
+        self._put_aside()
+        start, size = self.at, self.entries.tell()
+        self.entries.seek(0)
+        shutil.copyfileobj(self.entries, self)
+        self.write(_end_record(self.count, size, start))
+        self.close()
+
+    def close(self) -> None:
+        self.part.fp = None  # nothing more is written when it is collected
+        self.entries.close()
+        self.sink.close()
+
+
+def _end_record(count: int, size: int, start: int) -> bytes:
+    """What follows a directory of `size` bytes at `start`."""
+    wide = b""
+    if count >= 0xFFFF or max(size, start) >= 0xFFFFFFFF:
+        wide = struct.pack("<4sQ2H2L4Q4sLQL", b"PK\6\6", 44, 45, 45, 0, 0, count, count, size, start, b"PK\6\7", 0, start + size, 1)
+    short = min(count, 0xFFFF)
+    return wide + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, short, short, min(size, 0xFFFFFFFF), min(start, 0xFFFFFFFF), 0)
+
+
+def _directory(file) -> tuple[int, int, int]:
+    """(place of the directory, its size, bytes that were put before the archive)."""
+    try:
+        end = zipfile._EndRecData(file)
+    except OSError:
+        end = None
+    if not end:
+        raise zipfile.BadZipFile("File is not a zip file")
+    start = end[zipfile._ECD_LOCATION] - end[zipfile._ECD_SIZE]
+    if end[zipfile._ECD_SIGNATURE] == zipfile.stringEndArchive64:
+        start -= zipfile.sizeEndCentDir64 + zipfile.sizeEndCentDir64Locator
+    if start < 0:
+        raise zipfile.BadZipFile("Bad offset for central directory")
+    return start, end[zipfile._ECD_SIZE], start - end[zipfile._ECD_OFFSET]
+
+
+def _infos(entries: list[bytes]) -> list[zipfile.ZipInfo]:
+    directory = b"".join(entries)
+    with zipfile.ZipFile(io.BytesIO(directory + _end_record(len(entries), len(directory), 0))) as part:
+        return part.infolist()
+
+
+def _entries(file, start: int, size: int) -> Iterator[tuple[zipfile.ZipInfo, bytes]]:
+    """Members with the bytes of their directory entry; so many are held at a time, however many there are."""
+    file.seek(start)
+    held, at, entries = b"", 0, []
+    while size or at < len(held):
+        if len(held) - at < 1 << 18 and size:  # three names of the greatest length
+            more = file.read(min(size, 1 << 20))
+            size = size - len(more) if more else 0
+            held, at = held[at:] + more, 0
+        head = held[at:at + 46]
+        if len(head) < 46:
+            raise zipfile.BadZipFile("Truncated central directory")
+        if head[:4] != b"PK\1\2":
+            raise zipfile.BadZipFile("Bad magic number for central directory")
+        length = 46 + sum(struct.unpack("<3H", head[28:34]))
+        entries.append(held[at:at + length])
+        at += length
+        if len(entries) == DIRECTORY_ROWS:
+            yield from zip(_infos(entries), entries, strict=True)
+            entries = []
+    yield from zip(_infos(entries), entries, strict=True)
+
+
 def list_members(archives: DataFrame, path: str = "path") -> DataFrame:
     """members(archive, member, length, error) from the archives' directories; no member is read.
 
@@ -167,22 +278,30 @@ def _listed(archives: DataFrame, path: str) -> DataFrame:
     """The members with their packed size and `slice`, the place of that size in the archive in steps of SLICE_BYTES."""
     require(archives, path)
 
+    columns = ["archive", "member", "length", "error", "slice", "packed"]
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for uri in batch[path]:
-                rows, before = [], 0
                 try:
-                    with _open_zip(uri) as archive:
-                        for info in archive.infolist():
+                    system, inner = open_fs(uri)
+                    with system.open_input_file(inner) as file:
+                        start, size, _ = _directory(file)
+                        for _ in _entries(file, start, size):  # damage shows before any row goes out
+                            pass
+                        rows, before = [], 0
+                        for info, _ in _entries(file, start, size):
                             if not info.is_dir():
                                 error = "unsafe name" if unsafe_member(info.filename) else None
                                 rows.append((uri, info.filename, info.file_size, error, before // SLICE_BYTES, info.compress_size))
                                 before += info.compress_size
+                            if len(rows) == DIRECTORY_ROWS:
+                                yield _frame(rows, columns)
+                                rows = []
                 except (OSError, zipfile.BadZipFile, pa.ArrowException) as e:
                     rows = [(uri, None, None, f"{type(e).__name__}: {e}", 0, 0)]
-                for start in range(0, len(rows), 10_000):
-                    part = pd.DataFrame(rows[start:start + 10_000], columns=["archive", "member", "length", "error", "slice", "packed"])
-                    yield part.astype({"length": "Int64"})
+                if rows:
+                    yield _frame(rows, columns)
 
     return archives.select(path).mapInPandas(entries, "archive string, member string, length bigint, error string, slice bigint, packed bigint")
 

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import zipfile
 
 import pytest
@@ -110,3 +111,25 @@ def test_a_small_archive_is_opened_by_one_task(spark, image_tree, tmp_path, monk
     monkeypatch.setattr(archives, "SLICE_BYTES", 100)
     cut = archives._listed(zips(spark, tmp_path / "o"), "path").select("archive", "slice").distinct().count()
     assert cut > len(placed)
+
+
+@pytest.mark.parametrize("members, held", [(8, 3), (66_000, 10_000)])  # the second needs wide fields
+def test_directories_are_held_in_parts(tmp_path, monkeypatch, members, held):
+    monkeypatch.setattr(archives, "DIRECTORY_ROWS", held)
+    with open(tmp_path / "a.zip", "wb") as sink:
+        shard = archives._Shard(sink)
+        for i in range(members):
+            shard.add(f"é/{i}.txt", io.BytesIO(b"%d" % i))
+            assert len(shard.part.filelist) <= held
+        shard.finish()
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        want = [(i.filename, i.file_size, i.header_offset) for i in z.infolist()]
+        assert len(want) == members and z.read(f"é/{members - 1}.txt") == b"%d" % (members - 1) and (members > 100 or z.testzip() is None)
+    (tmp_path / "b.zip").write_bytes(b"put before" + (tmp_path / "a.zip").read_bytes())
+    parts, whole = [], archives._infos
+    monkeypatch.setattr(archives, "_infos", lambda entries: parts.append(len(entries)) or whole(entries))
+    for name, before in (("a.zip", 0), ("b.zip", 10)):
+        with open(tmp_path / name, "rb") as file:
+            start, size, extra = archives._directory(file)
+            assert extra == before and [(i.filename, i.file_size, i.header_offset) for i, _ in archives._entries(file, start, size)] == want
+    assert max(parts) <= held
