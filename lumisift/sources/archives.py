@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from lumisift.schemas import MEMBERS, require
 from lumisift.session import cut
-from lumisift.sources.captions import safe_join, unsafe_member
+from lumisift.sources.captions import _make_parent, safe_join, unsafe_member
 from lumisift.sources.files import open_fs, to_uri
 
 SHARD_BYTES = 1 << 30
 SLICE_BYTES = 128 << 20  # packed bytes of one archive that one task reads
+MEMBER_COST = 16 << 10  # packed bytes that take as long as opening a member
 SHARD_NAME = re.compile(r"part-\d{5,}\.zip")
 # What a binary cell holds. A larger member is an error row of `import_archive`;
 # `extract_archive` streams members of any size.
@@ -265,20 +267,51 @@ def _entries(file, start: int, size: int) -> Iterator[tuple[zipfile.ZipInfo, byt
     yield from zip(_infos(entries), entries, strict=True)
 
 
+def _whole(file, start: int, size: int, shift: int) -> tuple[np.ndarray, dict[str, tuple[bytes, int]]]:
+    """Where the member or directory after each member begins; entry and that place of the last of each name used twice."""
+    offsets, names = array("q"), array("q")
+    for info, _ in _entries(file, start, size):
+        offsets.append(info.header_offset + shift)
+        names.append(hash(info.filename))
+    begins = np.array(offsets, np.int64)
+    order = np.argsort(begins, kind="stable")
+    stops = np.empty_like(begins)
+    stops[order] = np.append(begins[order], start)[1:]
+    found, times = np.unique(np.array(names, np.int64), return_counts=True)
+    twice = set(found[times > 1].tolist())
+    if not twice:
+        return stops, {}
+    return stops, {info.filename: (entry, int(stops[k])) for k, (info, entry) in enumerate(_entries(file, start, size)) if hash(info.filename) in twice}
+
+
+def _member(file, row) -> tuple[zipfile.ZipFile, zipfile.ZipInfo]:
+    """An archive of one member, whose directory is the entry in the row, and that member."""
+    archive = zipfile.ZipFile(io.BytesIO(row.entry + _end_record(1, len(row.entry), 0)))
+    info = archive.infolist()[0]
+    info.header_offset += int(row.shift)
+    info._end_offset = int(row.stop)
+    archive.fp = file
+    return archive, info
+
+
 def list_members(archives: DataFrame, path: str = "path") -> DataFrame:
     """members(archive, member, length, error) from the archives' directories; no member is read.
 
     Folder entries are left out. A broken archive gives one row with its error, and
     so does a member whose name would leave the target folder.
     """
-    return _listed(archives, path).drop("slice", "packed")
+    return _listed(archives, path).select("archive", "member", "length", "error")
 
 
 def _listed(archives: DataFrame, path: str) -> DataFrame:
-    """The members with their packed size and `slice`, the place of that size in the archive in steps of SLICE_BYTES."""
+    """The members with their cost in packed bytes and `slice`, its place in the archive in steps of SLICE_BYTES.
+
+    `entry`, `shift` and `stop` let a task read a member without the archive's directory: what
+    it says of the member, what its places in the file are short of, and where the next begins.
+    """
     require(archives, path)
 
-    columns = ["archive", "member", "length", "error", "slice", "packed"]
+    columns = ["archive", "member", "length", "error", "slice", "packed", "entry", "shift", "stop"]
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -286,30 +319,32 @@ def _listed(archives: DataFrame, path: str) -> DataFrame:
                 try:
                     system, inner = open_fs(uri)
                     with system.open_input_file(inner) as file:
-                        start, size, _ = _directory(file)
-                        for _ in _entries(file, start, size):  # damage shows before any row goes out
-                            pass
+                        start, size, shift = _directory(file)
+                        # Damage shows before any row goes out; 16 bytes a member are kept.
+                        stops, last = _whole(file, start, size, shift)
                         rows, before = [], 0
-                        for info, _ in _entries(file, start, size):
+                        for k, (info, entry) in enumerate(_entries(file, start, size)):
                             if not info.is_dir():
                                 error = "unsafe name" if unsafe_member(info.filename) else None
-                                rows.append((uri, info.filename, info.file_size, error, before // SLICE_BYTES, info.compress_size))
-                                before += info.compress_size
+                                entry, stop = last.get(info.filename) or (entry, int(stops[k]))
+                                cost = info.compress_size + MEMBER_COST
+                                rows.append((uri, info.filename, info.file_size, error, before // SLICE_BYTES, cost, entry, shift, stop))
+                                before += cost
                             if len(rows) == DIRECTORY_ROWS:
                                 yield _frame(rows, columns)
                                 rows = []
                 except (OSError, zipfile.BadZipFile, pa.ArrowException) as e:
-                    rows = [(uri, None, None, f"{type(e).__name__}: {e}", 0, 0)]
+                    rows = [(uri, None, None, f"{type(e).__name__}: {e}", 0, 0, None, 0, 0)]
                 if rows:
                     yield _frame(rows, columns)
 
-    return archives.select(path).mapInPandas(entries, "archive string, member string, length bigint, error string, slice bigint, packed bigint")
+    return archives.select(path).mapInPandas(entries, "archive string, member string, length bigint, error string, slice bigint, packed bigint, entry binary, shift bigint, stop bigint")
 
 
 def _placed(archives: DataFrame, path: str) -> DataFrame:
     """Members dealt out by archive and slice: an archive below a slice is opened by one task.
 
-    The number of tasks follows the bytes. The listing is written once, so that counting
+    The number of tasks follows the bytes and the members. The listing is written once, so that counting
     and reading do not list twice.
     """
     listed = cut(_listed(archives, path), "members")
@@ -333,10 +368,11 @@ DAMAGE = (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError, KeyErr
 
 
 def _read_members(batches: Iterator[pd.DataFrame], max_bytes: int) -> Iterator[pd.DataFrame]:
-    def content(archive: zipfile.ZipFile, row) -> bytes:
+    def content(file, row) -> bytes:
         if row.length > max_bytes:
             raise ValueError(f"member of {row.length} bytes is above the limit of {max_bytes}")
-        return archive.read(row.member)
+        archive, info = _member(file, row)
+        return archive.read(info)
 
     rows, held = [], 0
     for row, value, error in _each_member(batches, content):
@@ -354,8 +390,8 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 
 def _each_member(batches: Iterator[pd.DataFrame], use):
-    """(row, use(open archive, row), error) per member; an archive stays open while its rows last."""
-    current, archive = None, None
+    """(row, use(open file, row), error) per member; an archive's file stays open while its rows last."""
+    current, file = None, None
     try:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -363,17 +399,19 @@ def _each_member(batches: Iterator[pd.DataFrame], use):
                 if error is None:
                     try:
                         if row.archive != current:
-                            if archive is not None:
-                                archive.close()
-                            current, archive = None, _open_zip(row.archive)
+                            if file is not None:
+                                file.close()
+                            current, file = None, None
+                            system, inner = open_fs(row.archive)
+                            file = system.open_input_file(inner)
                             current = row.archive
-                        value = use(archive, row)
+                        value = use(file, row)
                     except (ValueError, *DAMAGE) as e:
                         error = f"{type(e).__name__}: {e}"
                 yield row, value, error
     finally:
-        if archive is not None:
-            archive.close()
+        if file is not None:
+            file.close()
 
 
 def extract_archive(archives: DataFrame, out: str, path: str = "path") -> DataFrame:
@@ -389,13 +427,14 @@ def extract_archive(archives: DataFrame, out: str, path: str = "path") -> DataFr
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = open_fs(target)
         system.create_dir(root, recursive=True)
+        made: set[str] = set()
 
-        def copy(archive: zipfile.ZipFile, row) -> None:
+        def copy(file, row) -> None:
             name = safe_join(root, row.member)
-            parent = name.rsplit("/", 1)[0]
-            system.create_dir(parent, recursive=True)
-            partial = f"{parent}/_{uuid.uuid4().hex}.part"
-            with archive.open(row.member) as data, system.open_output_stream(partial) as sink:
+            _make_parent(system, name, made)
+            partial = f"{name.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}.part"
+            archive, info = _member(file, row)
+            with archive.open(info) as data, system.open_output_stream(partial) as sink:
                 while chunk := data.read(1 << 20):
                     sink.write(chunk)
             system.move(partial, name)
@@ -410,8 +449,3 @@ def extract_archive(archives: DataFrame, out: str, path: str = "path") -> DataFr
             yield _frame(rows, ["archive", "member", "length", "error"])
 
     return _placed(archives, path).mapInPandas(write, "archive string, member string, length bigint, error string")
-
-
-def _open_zip(uri: str) -> zipfile.ZipFile:
-    system, inner = open_fs(uri)
-    return zipfile.ZipFile(system.open_input_file(inner))

@@ -133,3 +133,27 @@ def test_directories_are_held_in_parts(tmp_path, monkeypatch, members, held):
             start, size, extra = archives._directory(file)
             assert extra == before and [(i.filename, i.file_size, i.header_offset) for i, _ in archives._entries(file, start, size)] == want
     assert max(parts) <= held
+
+
+def test_an_archive_of_many_small_members_is_read_by_several_tasks(spark, tmp_path):
+    with open(tmp_path / "a.zip", "wb") as sink:
+        shard = archives._Shard(sink)
+        for i in range(20_000):
+            shard.add(f"{i % 3}/{i}.txt", io.BytesIO(b"%d" % i))
+        shard.finish()
+    found = zips(spark, tmp_path)
+    assert archives._listed(found, "path").select("slice").distinct().count() > 1
+    got = archives.extract_archive(found, str(tmp_path / "new")).agg(F.count("member"), F.count("error"), F.sum("length")).first()
+    assert tuple(got) == (20_000, 0, sum(len(str(i)) for i in range(20_000)))
+    assert all((tmp_path / "new" / str(i % 3) / f"{i}.txt").read_bytes() == b"%d" % i for i in range(0, 20_000, 7))
+
+
+@pytest.mark.filterwarnings("ignore:Duplicate name")
+def test_the_last_member_of_a_name_is_read_for_all(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, text in (("a", "old"), ("b", "other"), ("a", "newer")):
+            z.writestr(name, text)
+    (tmp_path / "a.zip").write_bytes(b"put before" + (tmp_path / "a.zip").read_bytes())
+    rows = archives.import_archive(zips(spark, tmp_path)).collect()
+    assert sorted((r["member"], r["length"], bytes(r["content"]), r["error"]) for r in rows) == [
+        ("a", 3, b"newer", None), ("a", 5, b"newer", None), ("b", 5, b"other", None)]
