@@ -370,3 +370,21 @@ def test_vectors_with_nan_or_infinity_pair_with_nothing(spark):
 def test_zero_has_one_sign(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0])], "id long, features array<double>")
     assert [(r.id_a, r.id_b, r.score) for r in cosine.cosine_pairs(df, 0.9).collect()] == [(1, 2, 1.0)]
+
+
+def test_a_cell_is_sent_each_set_once_and_counts_each_token_once():
+    pairs = pa.table({"ia": [1, 1, 2], "ib": [2, 3, 3], "cell": [0, 0, 0]})
+    sets = pa.table({"of": [0] * 4, "id": [1, 2, 3, 3], "n": [3, 3, 2, 1],
+                     "r": pa.array([["a", "b", "c", "c"], ["b", "c", "d", "d"], ["c", None], ["x"]])})
+    got = sorted(zip(*jaccard._common_tokens(pairs, sets).to_pydict().values()))
+    assert got == [(1, 2, 2, 6), (1, 3, 0, 4), (1, 3, 1, 5), (2, 3, 0, 4), (2, 3, 1, 5)]
+    assert jaccard._common_tokens(pairs, sets.slice(0, 0)).num_rows == 0
+
+
+def test_rows_that_come_twice_score_as_one(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, words), (2, words[:19] + ["x"]), (3, ["y"])]
+    df = spark.createDataFrame([*rows, *rows], "id bigint, t array<string>")
+    for mode in ("exact", "lsh"):
+        got = jaccard.jaccard_pairs(df, F.col("t"), 0.8, mode=mode).distinct().collect()
+        assert [(r.id_a, r.id_b, round(r.score, 6)) for r in got if r.id_a != r.id_b] == [(1, 2, round(19 / 21, 6))]
