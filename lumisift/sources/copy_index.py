@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumisift.operators import multi_index as mi
 from lumisift.operators.exact import copy_links, first_of_value
-from lumisift.operators.groups import duplicate_groups
+from lumisift.operators.groups import contracted_links, duplicate_groups
 from lumisift.plans.skew import broadcast_if_small
 from lumisift.schemas import require
 from lumisift.session import cut
@@ -126,6 +126,14 @@ class CopyIndex:
         rows = (mi.asked_rows if probe else mi.listed_rows)(rows, *self._cuts())
         return rows.withColumns({"part": F.col("c0"), "key": F.xxhash64("c0", "v0")}).drop("c0", "v0")
 
+    def equal_stored(self, distinct: DataFrame, at: Commit | None = None) -> DataFrame:
+        """pairs(id_a, id_b) of stored hashes (id_a) and equal ones of distinct(h, id). Only the latter are shuffled."""
+        cuts, within = self._cuts()
+        part = within.index(max(within))  # every hash is listed under this substring
+        stored = self._read("entries", at or self.commit()).filter(F.col("part") == part).select("key", F.col("h").alias("ha"), F.col("id").alias("id_a"))
+        asked = self._keyed(distinct, probe=False).filter(F.col("part") == part).select("key", F.col("h").alias("hb"), F.col("id").alias("id_b"))
+        return stored.join(asked.hint("merge"), "key").filter("ha = hb").select("id_a", "id_b")
+
     def near_stored(self, distinct: DataFrame, at: Commit | None = None, bucket_rows: int = mi.BUCKET_ROWS) -> DataFrame:
         """pairs(id_a, id_b, distance) of stored hashes (id_a) and those of distinct(h, id).
 
@@ -161,13 +169,15 @@ class CopyIndex:
         at, load = self.commit(), uuid.uuid4().hex
         new = cut(rows.select(F.col(id_col).cast("long").alias("id"), F.col(hash_col).cast("long").alias("h")).filter("id IS NOT NULL AND h IS NOT NULL"), "load")
         distinct = cut(first_of_value(new, F.col("h")).withColumnRenamed("value", "h"), "distinct")
-        links = copy_links(new, F.col("h")).select("id_a", "id_b")
+        # Hashes already stored are represented by the stored row, whose near ones are in its group; the others are looked up and listed from now on.
+        same = cut(self.equal_stored(distinct, at), "same")
+        fresh = cut(distinct.join(broadcast_if_small(same.select(F.col("id_b").alias("id"))), "id", "left_anti"), "fresh")
+        links = copy_links(new, F.col("h")).select("id_a", "id_b").unionByName(same.filter("id_a <> id_b"))
         if self.distance:
-            links = links.unionByName(mi.hamming_pairs_far(distinct.withColumnRenamed("h", "hash"), self.distance, self.bits).select("id_a", "id_b"))
-        old = cut(self.near_stored(distinct, at), "near")
-        # Hashes already stored are represented by the stored row; the others are listed from now on.
-        fresh = distinct.join(broadcast_if_small(old.filter("distance = 0").select(F.col("id_b").alias("id"))), "id", "left_anti")
-        links = cut(links.unionByName(old.select("id_a", "id_b")).filter("id_a <> id_b"), "links")
+            near = mi.look_up(fresh, fresh, self.bits, self.distance, [], ["ia < ib"], mi.BUCKET_ROWS).unionByName(self.near_stored(fresh, at))
+            links = links.unionByName(near.select("id_a", "id_b"))
+        # Near pairs grow with the square of the rows: the tasks that find them pass on what connects the same ids.
+        links = cut(contracted_links(links), "links")
 
         # Groups of groups: a stored end of a link stands for its whole group.
         ends = cut(links.select(F.col("id_a").alias("id")).unionByName(links.select(F.col("id_b").alias("id"))).distinct(), "ends")

@@ -7,6 +7,7 @@ from test_multi_index import near_copies
 
 from lumisift.operators.groups import duplicate_groups
 from lumisift.operators.multi_index import hamming_pairs_far
+from lumisift.sources import copy_index
 from lumisift.sources.copy_index import CopyIndex, displaced
 
 
@@ -130,3 +131,36 @@ def test_index_agrees_with_one_join(spark, tmp_path):
         index.add(frame(spark, part))
     at_once = duplicate_groups(hamming_pairs_far(frame(spark, values), 8, 60))
     assert groups(index) == {r["id"]: r["group_id"] for r in at_once.collect()}
+
+
+def test_a_crowd_is_not_written_pair_by_pair(spark, tmp_path, monkeypatch):
+    """Some 40,000 pairs of 800 hashes are within the distance; what a load writes grows with the hashes."""
+    hashes = [0, *(1 << i for i in range(40)), *(1 << i | 1 << j for i in range(40) for j in range(i))][:800]
+    random.Random(4).shuffle(hashes)
+    values, written, cut = list(enumerate(hashes)), {}, copy_index.cut
+
+    def counted(df, label="table"):
+        out = cut(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(copy_index, "cut", counted)
+    index = CopyIndex.create(spark, str(tmp_path / "index"), 3, 60, buckets=4)
+    for part in (values[:400], values[400:]):
+        index.add(frame(spark, part))
+    pairs = sum((h ^ g).bit_count() <= 3 for i, h in enumerate(hashes) for g in hashes[:i])
+    assert groups(index) == brute(values, 3) and pairs > 30_000
+    assert max(written.values()) < 10 * len(values)
+
+
+def test_stored_hashes_that_come_again_are_not_looked_up(spark, tmp_path, monkeypatch):
+    values = near_copies(random.Random(8), 60, 60, 3)
+    index = CopyIndex.create(spark, str(tmp_path / "index"), 3, 60, buckets=2)
+    index.add(frame(spark, values))
+    asked, near_stored = [], CopyIndex.near_stored
+    monkeypatch.setattr(CopyIndex, "near_stored", lambda self, distinct, at: asked.append(distinct.count()) or near_stored(self, distinct, at))
+    again = [(i - 100, h) for i, h in values] + [(500, values[0][1] ^ 3), (501, values[1][1])]
+    changes = index.add(frame(spark, again))
+    now, before = brute([*values, *again], 3), brute(values, 3)
+    assert asked == [len({h for _, h in again} - {h for _, h in values})] and groups(index) == now
+    assert {tuple(r) for r in changes.select("id", "group_id", "was").collect()} == {(i, g, before.get(i)) for i, g in now.items() if before.get(i) != g}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -84,6 +85,30 @@ def test_simhash_counts_occurrences(spark):
     assert got == {1: sum(1 << i for i in range(60) if votes[i] > 0), 4: int(hashlib.md5(b"b").hexdigest()[:15], 16)}
 
 
+def test_simhash_hashes_a_token_once_a_batch(spark):
+    """Tokens are not exploded; nulls count as tokens without bits, rows of one id are one text, however the counters are cut up."""
+    rows = [(1, ["a", None, "b"]), (1, ["a"]), (2, []), (3, None), (4, [None]), (5, ["é", "日本", ""]), (None, ["x", "y"]), (6, ["z"] * 50 + ["a"] * 49)]
+    df = spark.createDataFrame(rows, "id int, t array<string>").coalesce(1)
+    want = {}
+    for i, tokens in rows:
+        want.setdefault(i, []).extend(tokens or [])
+    hashes = {i: [0 if t is None else int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in tokens] for i, tokens in want.items() if tokens}
+    want = {i: sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in found) > len(found)) for i, found in hashes.items()}
+    got = fingerprints.simhash(df, F.col("t"))
+    assert {r["id"]: r["hash"] for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [1, 4, 10**6])
+def test_counters_are_the_same_in_any_slices(monkeypatch, held):
+    tokens = [["a", "b"], [], ["c"], None, ["a"] * 9, [None, "d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(6)]), pa.array(tokens, pa.list_(pa.string()))], ["id", "_t"])
+    whole = pa.Table.from_batches(fingerprints._token_votes(iter([batch])))
+    monkeypatch.setattr(fingerprints, "_HELD_TOKENS", held)
+    assert pa.Table.from_batches(fingerprints._token_votes(iter([batch]))).combine_chunks().equals(whole.combine_chunks())
+    assert whole["id"].to_pylist() == [0, 2, 4, 5] and whole["_n"].to_pylist() == [2, 1, 9, 2]
+
+
 def brute_jaccard(sets, percent):
     first = {}
     for i, s in sorted(sets):
