@@ -1,11 +1,14 @@
-"""All pairs of hashes within a large Hamming distance: multi-index hashing (Norouzi, Punjani, Fleet 2012)."""
+"""All pairs of hashes within a large Hamming distance: multi-index hashing (Norouzi, Punjani, Fleet 2012), or blocks that all meet."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,12 @@ ROW_COST = 50
 # Hashes that share a substring beyond which they are cut again.
 BUCKET_ROWS = 2_000
 DEPTH = 3
+# Comparisons of a block with a block that take as long as one inside a join.
+BLOCK_SPEED = 4
+# Hashes of a block: some megabytes for the two that meet in a task. Few hashes are dealt to as many blocks as keep all cores busy.
+BLOCK_ROWS, SMALL_BLOCK, MANY_BLOCKS = 65_536, 2_048, 24
+# Pairs compared at a time, and pairs of a batch that a task returns.
+AT_ONCE, PAIRS_SENT = 1 << 17, 1 << 16
 
 
 def hamming_pairs_far(df: DataFrame, max_distance: int, bits: int = 64, hash_col: str = "hash", id_col: str = "id",
@@ -40,6 +49,10 @@ def hamming_pairs_far(df: DataFrame, max_distance: int, bits: int = 64, hash_col
     one as well, of bits dealt out another way, and by a third: a near pair agrees nearly
     in some substring of any cut. Distinct hashes left under one key are then bounded by
     the bits that no key holds.
+
+    Where hashes lie so close that such buckets hold a good part of all pairs, looking up
+    compares no less than all of them, and sends far more. The work is measured, and if that of
+    all pairs is less, they meet in blocks: 16 bytes a hash and block, and no row for a look-up.
     """
     require(df, hash_col, id_col)
     if not 0 <= max_distance < bits <= 64:
@@ -50,10 +63,87 @@ def hamming_pairs_far(df: DataFrame, max_distance: int, bits: int = 64, hash_col
     if max_distance == 0:
         return copies
     distinct = cut(first_of_value(hashes, F.col("h")).withColumnRenamed("value", "h"), "distinct")
-    found = look_up(distinct, distinct, bits, max_distance, [], ["ia < ib"], bucket_rows, substrings)
+    if substrings is None and blocks_are_cheaper(distinct, bits, max_distance):
+        found = block_pairs(distinct, max_distance)
+    else:
+        found = look_up(distinct, distinct, bits, max_distance, [], ["ia < ib"], bucket_rows, substrings)
     return found.unionByName(copies)
 
 
+def blocks_are_cheaper(distinct: DataFrame, bits: int, distance: int) -> bool:
+    """Whether comparing all of distinct(h, id) is less work than looking up, by the rows that each substring really has."""
+    rows = distinct.count()
+    parts = choose_parts(rows, bits, distance)
+    cuts, within = cut_bits(bits, parts), radii(distance, parts)
+    sizes = listed_rows(distinct, cuts, within).groupBy("c0", "v0").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    squares = dict(sizes.groupBy("c0").agg(F.sum(F.col("_n") * F.col("_n"))).collect())
+    # Hashes under one substring, times those under another, are at most half of both squares.
+    compared = sum(_flips(len(cuts[c]), within[c]) * n for c, n in squares.items())
+    return rows * rows / 2 <= BLOCK_SPEED * (compared + ROW_COST * rows_sent(bits, distance, parts) * rows)
+
+
+def block_pairs(distinct: DataFrame, distance: int) -> DataFrame:
+    """Pairs of distinct(h, id) within the distance: every block of hashes meets every block, each two in one task."""
+    rows = distinct.filter("id IS NOT NULL").select("id", "h")
+    n = rows.count()
+    blocks = max(ceil(n / BLOCK_ROWS), min(MANY_BLOCKS, ceil(n / SMALL_BLOCK)), 1)
+    own, other = F.pmod(F.xxhash64("h"), F.lit(blocks)), F.col("_o")
+    cells = (rows.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select(F.least("_b", other).alias("i"), F.greatest("_b", other).alias("j"), (F.col("_b") > other).alias("second"), "id", "h")
+             .repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "id"))
+    kind = distinct.schema["id"].dataType.simpleString()
+    found = cells.mapInArrow(_compared(distance), f"ia {kind}, ib {kind}, distance int")
+    # The same id may have two hashes.
+    return found.filter("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "distance")
+
+
+def _compared(distance: int):
+    """Arrow batches of (i, j, second, id, h), sorted by cell (i, j) and id -> (ia, ib, distance)."""
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows.column("id").combine_chunks()
+        h = rows.column("h").to_numpy().view(np.uint64)
+        if rows.column("i")[0] == rows.column("j")[0]:
+            first = second = np.arange(len(h))
+        else:
+            side = rows.column("second").to_numpy()
+            first, second = np.flatnonzero(~side), np.flatnonzero(side)
+        if not len(first) or not len(second):
+            return
+        step, others = max(1, AT_ONCE // len(second)), h[second]
+        found, held = [], 0
+        for at in range(0, len(first), step):
+            a = first[at:at + step]
+            bits = np.bitwise_count(h[a][:, None] ^ others[None, :]).ravel()
+            near = np.flatnonzero(bits <= distance)
+            x, y = np.divmod(near, len(second))
+            if first is second:
+                once = y > x + at
+                near, x, y = near[once], x[once], y[once]
+            found.append((a[x], second[y], bits[near].astype(np.int32)))
+            held += len(near)
+            if held >= PAIRS_SENT or at + step >= len(first):
+                x, y, far = (np.concatenate(part) for part in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(far)], ["ia", "ib", "distance"])
+                found, held = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = pc.add(pc.multiply(batch.column("i"), 1 << 32), batch.column("j")).to_numpy()
+            edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+            for start, end in zip(edges, edges[1:]):
+                piece = batch.slice(start, end - start)
+                if waiting and (waiting[0].column("i")[0], waiting[0].column("j")[0]) != (piece.column("i")[0], piece.column("j")[0]):
+                    yield from pairs(pa.Table.from_batches(waiting))
+                    waiting = []
+                waiting.append(piece)
+        if waiting:
+            yield from pairs(pa.Table.from_batches(waiting))
+    return run
+
+
 def radii(distance: int, parts: int) -> list[int]:
     """Bits by which substrings may differ: hashes `distance` apart are that near in one of them at least.
 

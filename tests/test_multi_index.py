@@ -98,3 +98,26 @@ def test_exploded_keys_are_never_broadcast(spark, far, monkeypatch):
         hamming.hamming_pairs(hashes.withColumnRenamed("h", "hash"), 3, 60)
     plans = [found._jdf.queryExecution().executedPlan().toString() for found in seen]
     assert plans and all("Generate" in p and "SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def test_close_hashes_meet_in_blocks(spark, monkeypatch):
+    """Where most hashes share most substrings, no row is sent to be looked up, and every block meets every block."""
+    monkeypatch.setattr(mi, "SMALL_BLOCK", 40)
+    monkeypatch.setattr(mi, "AT_ONCE", 100)
+    monkeypatch.setattr(mi, "PAIRS_SENT", 50)
+    monkeypatch.setattr(mi, "look_up", None)
+    rng = random.Random(8)
+    values = [(i, signed(rng.getrandbits(20) | 1 << 63)) for i in range(300)]
+    values += [(1000 + i, h) for i, h in values[:20]]
+    df = spark.createDataFrame([*values, (999, None), (None, 5)], "id bigint, hash bigint").repartition(3)
+    found = mi.hamming_pairs_far(df, 5, 64)
+    assert pairs(found, "distance") == brute_hamming(values, 5)
+    named = mi.hamming_pairs_far(df.withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0"))), 5, 64)
+    assert sorted((int(a[1:]), int(b[1:]), d) for a, b, d in named.collect()) == sorted(tuple(r) for r in found.collect())
+
+
+def test_spread_hashes_are_looked_up(spark, monkeypatch):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(signed(rng.getrandbits(64)), i) for i in range(20_000)], "h bigint, id bigint")
+    assert not mi.blocks_are_cheaper(df, 64, 3)
+    assert mi.blocks_are_cheaper(df.withColumn("h", F.expr("h & 1048575")), 64, 10)
