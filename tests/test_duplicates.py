@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -413,3 +414,69 @@ def test_rows_that_come_twice_score_as_one(spark):
     for mode in ("exact", "lsh"):
         got = jaccard.jaccard_pairs(df, F.col("t"), 0.8, mode=mode).distinct().collect()
         assert [(r.id_a, r.id_b, round(r.score, 6)) for r in got if r.id_a != r.id_b] == [(1, 2, round(19 / 21, 6))]
+
+
+def test_packed_ranks_come_back():
+    rng = random.Random(4)
+    lists = [sorted(rng.sample(range(1 << most), min(1 << most, rng.randint(1, 40)))) for most in (1, 7, 8, 14, 21, 35, 50, 62) for _ in range(3)]
+    lists[5:5] = [[], []]
+    lists += [[0], []]
+    packed = jaccard._packed(np.array([x for r in lists for x in r], np.int64), np.array([len(r) for r in lists]))
+    for strings, want in ((packed, lists), (packed.slice(4, 9), lists[4:13]), (packed.slice(5, 2), [[], []]), (packed.slice(0, 0), [])):
+        ranks, lengths = jaccard._unpacked(strings)
+        assert [r.tolist() for r in np.split(ranks, np.cumsum(lengths))[:-1]] == want
+    assert sum(len(x.as_py()) for x in jaccard._packed(np.arange(1000), np.array([1000]))) == 1000
+
+
+def test_sets_leave_a_task_whole(spark):
+    """One string for each set and task, not one for each token."""
+    df = spark.createDataFrame([(i % 30, [f"w{j}" for j in range(i % 30, i % 30 + 9)]) for i in range(60)], "id bigint, s array<string>").coalesce(2)
+    rows = jaccard._rows_of_tokens(df).withColumn("rank", F.substring("token", 2, 9).cast("bigint")).select("id", "n", "_row", "rank")
+    pieces = rows.mapInArrow(jaccard._strings, "id bigint, n int, piece binary").collect()
+    assert sorted((r.id, r.n) for r in pieces) == sorted((i % 30, 9) for i in range(60))
+
+
+def tables_of(monkeypatch):
+    """Tables that the operator writes, by label, as it writes them."""
+    seen, real = {}, jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, label, *a: seen.setdefault(label, real(df, label, *a)))
+    return seen
+
+
+def test_a_crowd_is_sent_to_few_cells(spark, monkeypatch):
+    """Near copies that are not all alike have several lowest partners; their sets are not sent once for each of those."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(40)]
+    sets = [(i, set(rng.sample(template, 37))) for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets], "id bigint, text string")
+    seen = tables_of(monkeypatch)
+    got = pairs(jaccard.jaccard_pairs(df, hs.words(F.col("text")), 0.86))
+    assert got == brute_jaccard(sets, 86) and len(got) > 9_000
+    assert seen["cells"].select("cell", F.explode(F.array("ia", "ib"))).distinct().count() < 2 * 300
+
+
+def test_tables_go_when_they_are_read(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9, i % 9 + 20))) for i in range(40)], "id bigint, text string")
+    seen = tables_of(monkeypatch)
+    kept = {}
+    real = jaccard.dropped
+    monkeypatch.setattr(jaccard, "dropped", lambda *tables: (kept.update({id(t): t.inputFiles() for t in tables}), real(*tables)))
+    found = jaccard.jaccard_pairs(df, hs.words(F.col("text")), 0.8)
+    assert {label for label, t in seen.items() if id(t) in kept} >= {"sets", "candidates", "met"}
+    assert not any(os.path.exists(f.removeprefix("file://")) for files in kept.values() for f in files)
+    assert pairs(found) == brute_jaccard([(r.id, set(r.text.split())) for r in df.collect()], 80)
+
+
+def test_large_buckets_are_paired_in_place(spark, monkeypatch):
+    """Pairs are taken in slices of tokens and passed on in lists, whatever their sizes."""
+    run = jaccard._pairs_of_tokens(80)
+    rng = random.Random(12)
+    rows = sorted((t, 20, i) for t in range(6) for i in rng.sample(range(50), 30))
+    table = pa.table({"token": [r[0] for r in rows], "n": [20] * len(rows), "id": [r[2] for r in rows], "size": [20] * len(rows), "index": [3] * len(rows),
+                      "pos": [0] * len(rows), **{b: [0] * len(rows) for b in jaccard.BITMAP}})
+    want = {(a, b) for t in range(6) for a in range(50) for b in range(a + 1, 50) if (t, 20, a) in rows and (t, 20, b) in rows}
+    for paired, held in ((10**6, 10**6), (7, 10**6), (40, 5)):
+        monkeypatch.setattr(jaccard, "PAIRED_ROWS", paired)
+        monkeypatch.setattr(jaccard, "PAIRS_HELD", held)
+        got = [(r["ia"], x) for b in run(iter(table.to_batches(max_chunksize=11))) for r in b.to_pylist() for x in r["partners"]]
+        assert set(got) == want
